@@ -1,15 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, tokenbin, topk, warc
+from . import chat, secrets, tokenbin, topk, warc
 
 QUERIES = {
     "op1_token_planes": tokenbin.op1_token_planes,
     "op2_chat": chat.op2_chat,
+    "op4_secrets": secrets.op4_secrets,
     "op5_exact_topk": topk.op5_exact_topk,
     "op10_warc": warc.op10_warc,
 }
 ORACLE_SQL = {
     "op2_chat": chat.ORACLE,
+    "op4_secrets": secrets.ORACLE,
     "op5_exact_topk": topk.ORACLE,
     "op10_warc": warc.ORACLE,
 }
