@@ -1,12 +1,13 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, jaccard, secrets, tokenbin, topk, warc
+from . import chat, decontam, jaccard, secrets, tokenbin, topk, warc
 
 QUERIES = {
     "op1_token_planes": tokenbin.op1_token_planes,
     "op2_chat": chat.op2_chat,
     "op4_secrets": secrets.op4_secrets,
     "op5_exact_topk": topk.op5_exact_topk,
+    "op7_decontamination": decontam.op7_decontamination,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op10_warc": warc.op10_warc,
 }

@@ -17,6 +17,9 @@ _U = np.uint64
 _LUT = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _LUT[ord("A") : ord("Z") + 1] = _LUT[ord("a") : ord("z") + 1]
 _LUT[[9, 10, 11, 12, 13, 32]] = 0
+#: For words of letters and digits: other ASCII characters separate them, too.
+PLAIN = _LUT.copy()
+PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 0
 _R = _U(0x9E3779B97F4A7C15)
 _R_INV = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 SLICE = 1 << 20
@@ -54,13 +57,13 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         a = b
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, the first word of each row (rows + 1 entries), and each word's first and end byte."""
+def words(data: np.ndarray, off: np.ndarray, table: np.ndarray = _LUT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, the first word of each row (rows + 1 entries), and each word's first and end byte. table: 0 for bytes that separate words."""
     global _POW, _INV
     n = len(data)
     if len(_POW) < n + 1:
         _POW, _INV = _powers(_R, 2 * n + 1), _powers(_R_INV, 2 * n + 1)
-    v = _LUT[data]
+    v = table[data]
     full = v != 0
     first = off[:-1][off[:-1] < off[1:]]
     start, stop = full.copy(), full.copy()

@@ -24,7 +24,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_dir, stored
+from .common import new_dir, partitions, stored
 
 INDEX = "path string, offset long, length long, page_id long, url string, digest string, record_type string"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, out: str, min_bytes: int = 100, max_file: i
     return stored(index, f"{out}/index.parquet")
 
 
-def byte_ranges(index: DataFrame, max_gap: int = 64 << 10, max_range: int = 8 << 20) -> DataFrame:
+def byte_ranges(index: DataFrame, max_gap: int = 64 << 10, max_range: int = 1 << 20) -> DataFrame:
     """(path, start, stop, members): selected records whose gap is at most max_gap share a range; a range is cut at multiples of max_range."""
     w = Window.partitionBy("path").orderBy("offset")
     far = F.col("offset") - F.lag(F.col("offset") + F.col("length")).over(w) > max_gap
@@ -124,7 +124,7 @@ def read_archives(index: DataFrame, payloads: bool = False, **limits: int) -> Da
                 out = pd.DataFrame(rows, dtype=object)
                 yield out if payloads else out.drop(columns="payload")
 
-    ranges = byte_ranges(index, **limits).select("path", "start", "stop", "members")
+    ranges = byte_ranges(index, **limits).select("path", "start", "stop", "members").repartition(partitions(index.sparkSession), "path", "start")
     return ranges.mapInPandas(task, RECORD + (", payload binary" if payloads else ""))
 
 
