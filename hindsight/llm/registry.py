@@ -1,10 +1,11 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontam, jaccard, secrets, tokenbin, topk, warc
+from . import chat, decontam, jaccard, quality, secrets, tokenbin, topk, warc
 
 QUERIES = {
     "op1_token_planes": tokenbin.op1_token_planes,
     "op2_chat": chat.op2_chat,
+    "op3_quality": quality.op3_quality,
     "op4_secrets": secrets.op4_secrets,
     "op5_exact_topk": topk.op5_exact_topk,
     "op7_decontamination": decontam.op7_decontamination,

@@ -20,6 +20,15 @@ _LUT[[9, 10, 11, 12, 13, 32]] = 0
 #: For words of letters and digits: other ASCII characters separate them, too.
 PLAIN = _LUT.copy()
 PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 0
+
+
+def exact_table() -> np.ndarray:
+    """A table that keeps case."""
+    t = np.random.default_rng(20240102).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+    t[[9, 10, 11, 12, 13, 32]] = 0
+    return t
+
+
 _R = _U(0x9E3779B97F4A7C15)
 _R_INV = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 SLICE = 1 << 20
