@@ -17,7 +17,6 @@ Layout: MAGIC, blocks, footer (Arrow stream: documents; then JSON: chunk index),
 from __future__ import annotations
 
 import json
-import os
 import struct
 import uuid
 import zlib
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_dir, partitions, stored
-from .words import ChunkCoder, library, slices
+from .words import ChunkCoder, library
 
 MAGIC = b"PLANES1\n"
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, bytes long"
@@ -145,12 +144,10 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int | None =
     end = [] if end_id is None else [end_id]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         coder, writer, done = ChunkCoder(library(tokenizer)), None, []
         for b in batches:
             ids_of = b.column("doc_id")
-            for first, texts in slices(b.column("text")):
-                ids, sizes, _ = coder.batch(texts)
+            for first, rows, ids, sizes in coder.slices(b.column("text")):
                 if end:
                     ids = np.insert(ids, np.cumsum(sizes), end_id)
                     sizes = sizes + 1
@@ -160,7 +157,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int | None =
                     fs, root = pafs.FileSystem.from_uri(out)
                     fs.create_dir(root, recursive=True)
                     writer = ShardWriter(f"{out}/{uuid.uuid4().hex}.planes", block, bits, level)
-                writer.add(ids_of.slice(first, len(texts)).to_pylist(), sizes.tolist(), ids)
+                writer.add(ids_of.slice(first, rows).to_pylist(), sizes.tolist(), ids)
         if writer:
             done.append(writer.close())
         part = TaskContext.get().partitionId()

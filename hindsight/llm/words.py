@@ -1,96 +1,87 @@
-"""White-space chunks of texts, and their token ids from a bounded cache per Python worker.
+"""Token ids of whole texts from the ids of their white-space chunks.
 
-The word-level tokenizer normalises white space away and never joins characters across it, so the ids
-of a text are the ids of its chunks in order; tests compare this with whole-text encoding.
+The word-level tokenizer normalises white space away and never joins characters across it, so a text's
+ids are its chunks' ids in order; tests compare this with whole-text encoding. Chunks are cut and hashed
+on the Arrow buffers; a table of fixed size per Python worker remembers the ids of recent chunks, and
+only chunks that it doesn't hold become strings and are encoded.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: str.split() also splits at these four, which the tokenizer's white-space class doesn't hold.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+from . import shingles
 
+#: Hash table of bytes that keeps case: only ASCII white space is 0.
+EXACT = shingles.exact_table()
 
-def chunks(text: str | None) -> list[str]:
-    if not text:
-        return []
-    if _SEPARATORS.search(text):
-        return [x for x in _SPACE.split(text) if x]
-    return text.split()
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions start[i] .. start[i] + size[i] - 1 for each i, in one array."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(start - (ends - size), size)
 
 
 class ChunkCoder:
-    """Ids of chunks by encode(list of new chunks) -> list of id lists; at most `most` chunks are remembered."""
-
-    def __init__(self, encode: Callable[[list[str]], list], most: int = 300_000):
-        self.encode, self.most = encode, most
-        self._clear()
-
-    def _clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids = np.empty(1 << 16, np.uint32)
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def codes(self, words: list[str]) -> np.ndarray:
-        """A code per word; valid until the next call."""
-        if len(self.code) > self.most:
-            self._clear()
-        code = self.code
-        new = [w for w in dict.fromkeys(words) if w not in code]
-        if new:
-            coded = self.encode(new)
-            first, n = len(code), len(new)
-            if first + n > len(self.start):
-                grow = max(2 * len(self.start), first + n)
-                self.start, self.size = np.resize(self.start, grow), np.resize(self.size, grow)
-            sizes = np.fromiter(map(len, coded), np.int64, n)
-            total = int(sizes.sum())
-            if self.used + total > len(self.ids):
-                self.ids = np.resize(self.ids, max(2 * len(self.ids), self.used + total))
-            self.ids[self.used : self.used + total] = np.fromiter((i for x in coded for i in x), np.uint32, total)
-            self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
-            self.size[first : first + n] = sizes
-            self.used += total
-            code.update(zip(new, range(first, first + n), strict=True))
-        return np.fromiter(map(code.__getitem__, words), np.int64, len(words))
-
-    def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """All ids of the texts in one array, the number of ids of each text, and the texts' chunks."""
-        split = [chunks(t) for t in texts]
-        codes = self.codes([w for x in split for w in x])
-        size = self.size[codes]
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(total) + np.repeat(self.start[codes] - (ends - size), size)]
-        last = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        sums = np.concatenate([[0], ends])[last] if len(split) else last
-        return ids, np.diff(sums, prepend=0), split
-
-
-def slices(texts, chars: int = 1 << 21):
-    """(first, list of texts) of an Arrow string column, about `chars` characters at a time."""
-    held, size, first = [], 0, 0
-    for i in range(0, len(texts), 64):
-        for t in texts.slice(i, 64).to_pylist():
-            held.append(t)
-            size += len(t or "")
-            if size >= chars:
-                yield first, held
-                first, held, size = first + len(held), [], 0
-    if held:
-        yield first, held
-
-
-def library(path: str):
-    """encode() for ChunkCoder by the tokenizers library, without truncation or padding."""
+    """Ids of chunks by encode(list of chunks) -> list of id lists.
+
+    Holds 2**bits chunks at most, each in one of two places, and `most` ids, after which it starts anew.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list], bits: int = 21, most: int = 1 << 24):
+        self.encode, self.mask, self.most = encode, np.uint64((1 << bits) - 1), most
+        self.key = np.zeros(1 << bits, np.uint64)
+        self.start, self.size = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int32)
+        self.ids, self.used = np.empty(1 << 20, np.uint32), 0
+
+    def _new(self, data: np.ndarray, a: np.ndarray, b: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes the chunks at data[a:b] with hashes h, all different; gives their places in ids."""
+        raw = data.tobytes()
+        coded = self.encode([raw[i:j].decode() for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        total = int(size.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.empty(max(len(self.ids), total), np.uint32)])
+        self.ids[self.used : self.used + total] = np.fromiter((i for x in coded for i in x), np.uint32, total)
+        start = self.used + np.cumsum(size) - size
+        self.used += total
+        one, two = h & self.mask, (h >> np.uint64(40)) & self.mask
+        at = np.where(self.key[one] == 0, one, two)
+        at, last = np.unique(at[::-1], return_index=True)
+        last = len(h) - 1 - last
+        self.key[at], self.start[at], self.size[at] = h[last], start[last], size[last]
+        return start, size
+
+    def slices(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, rows, all ids, ids per row) of a text column, about a megabyte at a time; a null is an empty text."""
+        for first, rows, data, off in shingles.text_slices(column):
+            if self.used > self.most:
+                self.key[:], self.used = 0, 0
+            h, at, a, b = shingles.words(data, off, EXACT)
+            h[h == 0] = 1
+            one, two = h & self.mask, (h >> np.uint64(40)) & self.mask
+            slot = np.where(self.key[one] == h, one, two)
+            miss = np.flatnonzero(self.key[slot] != h)
+            start, size = self.start[slot], self.size[slot].astype(np.int64)
+            if len(miss):
+                new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
+                where = miss[where]
+                s, n = self._new(data, a[where], b[where], new)
+                start[miss], size[miss] = s[back], n[back]
+            sums = np.concatenate([[0], np.cumsum(size)])
+            yield first, rows, self.ids[ragged(start, size)], np.diff(sums[at])
+
+
+def library(path: str) -> Callable[[list[str]], list]:
+    """encode() by the tokenizers library, without truncation, padding or special tokens of its own."""
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
