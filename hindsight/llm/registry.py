@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat, decontam, jaccard, quality, secrets, tokenbin, topk, warc
+from . import bpe, chat, decontam, jaccard, quality, secrets, tokenbin, topk, warc
 
 QUERIES = {
     "op1_token_planes": tokenbin.op1_token_planes,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_secrets": secrets.op4_secrets,
     "op5_exact_topk": topk.op5_exact_topk,
+    "op6_bpe": bpe.op6_bpe,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op10_warc": warc.op10_warc,
