@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, decontam, jaccard, quality, secrets, tokenbin, topk, warc
+from . import bpe, chat, decontam, jaccard, quality, secrets, tokenbin, topk, urls, warc
 
 QUERIES = {
     "op1_token_planes": tokenbin.op1_token_planes,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_bpe": bpe.op6_bpe,
     "op7_decontamination": decontam.op7_decontamination,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
+    "op9_url_lists": urls.op9_url_lists,
     "op10_warc": warc.op10_warc,
 }
 ORACLE_SQL = {
@@ -18,5 +19,6 @@ ORACLE_SQL = {
     "op4_secrets": secrets.ORACLE,
     "op5_exact_topk": topk.ORACLE,
     "op8_ngram_jaccard": jaccard.ORACLE,
+    "op9_url_lists": urls.ORACLE,
     "op10_warc": warc.ORACLE,
 }
