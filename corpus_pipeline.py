@@ -1,6 +1,65 @@
-STAGES = []
+"""A training corpus from raw documents: five stages, each one of the operators of hindsight.llm.
+
+Every stage takes what its predecessor kept. Rows that repeat a doc_id are judged as one document by the
+second and third stage; rows with a null doc_id stay unless a row with a null doc_id is dropped.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hindsight.llm import bpe, decontam, jaccard, quality, secrets
+from hindsight.llm.common import new_dir, stored, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest-neighbour vote doesn't reject."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    rows = quality.scored(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, "row")
+    return rows.where("score >= 0.7").select("row.*")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    kept = jaccard.near_groups(docs, n=5, share=80).where("doc_id <=> component_id").select("doc_id").distinct()
+    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item leaks into."""
+    gone = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("leak_id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("leak_id")), "left_anti")
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with the secrets in its text masked and n_chars to match."""
+    rows = secrets.redacted(docs, new_dir(spark, "ledger"))
+    return rows.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long"))) if "n_chars" in rows.columns else rows
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, and the digests of the ids and of the text decoded from them."""
+    import public_tokenizers
+
+    return bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"), "doc_id", digests=True)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", without_benchmark),
+    ("secret scans", without_secrets),
+    ("BPE encoding and decoding", encoded),
+]
+#: The classifier, the tiling and the tokenizer are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = stored(docs, new_dir(spark, "stage"))
+    return docs

@@ -120,13 +120,15 @@ def findings(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
 
 def redacted(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, mask: str = "[REDACTED]") -> DataFrame:
     """versions with each secret's value replaced by the mask; overlapping values become one mask. Texts without secrets stay as they are."""
-    f = findings(versions, ledger, rules)
+    rows = versions.select(F.struct(*versions.columns).alias("row"), "text")
+    f = findings(rows, ledger, rules)
     spans = F.array_sort(F.transform("findings", lambda x: F.struct(x["secret"].alias("a"), x["end"].alias("b"))))
     upto = lambda i: F.coalesce(F.array_max(F.transform(F.slice("spans", F.lit(1), i), lambda x: x["b"])), F.lit(0))
-    part = lambda x, i: F.when(x["a"] >= upto(i), F.concat(F.expr("text").substr(upto(i) + 1, x["a"] - upto(i)), F.lit(mask))).otherwise(F.lit(""))
+    part = lambda x, i: F.when(x["a"] >= upto(i), F.concat(F.col("text").substr(upto(i) + 1, x["a"] - upto(i)), F.lit(mask))).otherwise(F.lit(""))
     tail = F.expr("substring(text, array_max(transform(spans, s -> s.b)) + 1)")
     text = F.when(F.size("spans") > 0, F.concat(F.array_join(F.transform("spans", part), ""), tail)).otherwise(F.col("text"))
-    return f.withColumn("spans", spans).withColumn("text", text).select(*versions.columns)
+    done = f.withColumn("spans", spans).select("row", text.alias("text"))
+    return done.select(*((F.col("text") if c == "text" else F.col("row")[c]).alias(c) for c in versions.columns))
 
 
 def _joined(f: Column) -> Column:
