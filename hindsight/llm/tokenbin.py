@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_dir, partitions, stored
-from .words import ChunkCoder, library
+from .words import library_coder
 
 MAGIC = b"PLANES1\n"
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long, bytes long"
@@ -144,7 +144,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int | None =
     end = [] if end_id is None else [end_id]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, writer, done = ChunkCoder(library(tokenizer)), None, []
+        coder, writer, done = library_coder(tokenizer), None, []
         for b in batches:
             ids_of = b.column("doc_id")
             for first, rows, ids, sizes in coder.slices(b.column("text")):

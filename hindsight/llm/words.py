@@ -8,6 +8,7 @@ only chunks that it doesn't hold become strings and are encoded.
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Callable, Iterator
 
@@ -77,6 +78,12 @@ class ChunkCoder:
             yield first, rows, self.ids[ragged(start, size)], np.diff(sums[at])
 
 
+@functools.lru_cache(maxsize=1)
+def library_coder(path: str) -> ChunkCoder:
+    """The coder of this Python worker for a tokenizer file: later tasks of the worker find its chunks."""
+    return ChunkCoder(library(path))
+
+
 def library(path: str) -> Callable[[list[str]], list]:
     """encode() by the tokenizers library, without truncation, padding or special tokens of its own."""
     from tokenizers import Tokenizer
