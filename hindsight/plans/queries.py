@@ -1,6 +1,6 @@
 """All queries of the engine's own operators."""
 
-from ..operators import aggregates, pit, predicates  # noqa: F401
+from ..operators import aggregates, pit, predicates, tables, windows  # noqa: F401
 from .catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
