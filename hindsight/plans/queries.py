@@ -1,6 +1,7 @@
 """All queries of the engine's own operators."""
 
-from ..operators import aggregates, pit, predicates, tables, windows  # noqa: F401
+from ..operators import aggregates, evaluation, pit, predicates, sequential, tables, windows  # noqa: F401
+from ..sources import scans  # noqa: F401
 from .catalog import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
