@@ -87,7 +87,7 @@ def json_ld_event(doc: Column) -> Column:
 def text_lines(html: Column) -> Column:
     """A page's text as non-empty trimmed lines, without scripts and styles."""
     bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>", " "), "<[^>]+>", "\n")
-    return F.filter(F.transform(F.split(bare, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(bare, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 @query("s13_text_lines", r"SELECT page_id, len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '<[^>]+>', chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS n_lines FROM pages")
