@@ -1,16 +1,18 @@
 """Exact Jaccard join of texts by word n-grams with several global token orders.
 
-1. Heavy n-grams are counted over all texts (per-task counts of what repeats, summed in Spark); the
-   `heavy` most frequent, a fixed number, are broadcast. They come last in every token order; within
-   their class tokens follow an order of their own for each of the orders.
+1. Words and n-grams are counted over all texts (per-task counts of what repeats, summed in Spark); the
+   `heavy` most frequent of each, a fixed number, are broadcast. Every token order goes by bands of the
+   frequency of an n-gram's rarest word, which bounds its own, with heavy n-grams last; within a band
+   each order has a sequence of its own.
 2. A set that overlaps another enough shares a token with it among its first
    |set| - ceil(share * |set|) + 1 tokens under every order. Texts of one n-gram set are one node; nodes
    are grouped by the tokens of their first-order prefix (heavy tokens are salted).
-3. Star round: each node is checked against the smallest node of its groups. Before verification a
-   pair must also share prefix tokens under the second and third order.
-4. Rest: groups whose nodes are not yet in one component give all pairs of different components;
-   groups over `small` nodes are first split by the prefix tokens of the second, then the third order.
-   So every pair that can link is verified, or joined by links already.
+3. Star round: each node is paired with the smallest node of its groups. Pairs whose sizes fit must
+   share, under each of the three orders, as many prefix tokens as a link would force them to; what
+   passes all the filters is verified.
+4. Rest: groups whose nodes are not yet in one component give all pairs of different components, for
+   the same filters; groups over `small` nodes are first split by the prefix tokens of the second, then
+   the third order. So every pair that can link is verified, or joined by links already.
 
 Verification compares whole sets, in integers. Components come from `components`.
 
@@ -40,40 +42,51 @@ def prefix_size(n: int, share: int) -> int:
     return n - -(-n * share // 100) + 1
 
 
-def heavy_tokens(docs: DataFrame, n: int, most: int, window: int = 4_000_000, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Up to `most` n-grams by document frequency (sorted hashes, counts), counted over all texts.
+Heavy = tuple[shingles.Rarity, np.ndarray, np.ndarray]
 
-    A task counts `window` tokens at a time and passes on what occurs in `least` texts of them; the
-    order made from these counts steers speed only, never results.
+
+def heavy_tokens(docs: DataFrame, n: int, most: int, window: int = 4_000_000, least: int = 3) -> Heavy:
+    """Up to `most` words, as bands, and up to `most` n-grams by document frequency (sorted hashes, counts), counted over all texts.
+
+    A task counts `window` tokens at a time and passes on what occurs `least` times among them; the
+    orders made from these counts steer speed only, never results.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size = ([], []), 0
 
         def counted():
-            t, c = np.unique(np.concatenate(held), return_counts=True)
-            t, c = t[c >= least], c[c >= least]
-            return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names=["token", "n"])
+            for kind in (0, 1):
+                t, c = np.unique(np.concatenate(held[kind]), return_counts=True)
+                total, t, c = c.sum(), t[c >= least], c[c >= least]
+                t, c = np.append(t, np.uint64(0)), np.append(c, total)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), kind, np.int32)), pa.array(t.view(np.int64)), pa.array(c.astype(np.int64))], names=["kind", "token", "n"])
 
         for b in batches:
-            for _, s in shingles.sets(b.column("text"), n):
-                held.append(s)
+            for _, s, h in shingles.sets(b.column("text"), n):
+                held[0].append(h)
+                held[1].append(s)
                 size += len(s)
                 if size >= window:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
-
-    counts = docs.select("text").mapInArrow(task, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(most).toArrow()
-    token, count = (top.column(c).to_numpy() for c in ("token", "n"))
-    order = np.argsort(token.view(np.uint64))
-    return token.view(np.uint64)[order], count[order]
+                    yield from counted()
+                    held, size = ([], []), 0
+        if size:
+            yield from counted()
+
+    counts = docs.select("text").mapInArrow(task, "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
+    counts = stored(counts, new_dir(docs.sparkSession, "heavy"))
+    total = counts.where("kind = 0 AND token = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = []
+    for kind in (0, 1):
+        t = counts.where(f"kind = {kind} AND token <> 0").orderBy(F.desc("n"), "token").limit(most).toArrow()
+        token, count = t.column("token").to_numpy().view(np.uint64), t.column("n").to_numpy()
+        order = np.argsort(token)
+        top.append((token[order], count[order]))
+    return shingles.Rarity(*top[0], total), *top[1]
 
 
 class Orders:
-    """The global token orders, as 64-bit keys: light tokens by a mixed hash, heavy ones after them by count."""
+    """The global token orders, as 64-bit keys: light tokens by band and mixed hash, heavy ones after them by count."""
 
     def __init__(self, token: np.ndarray, count: np.ndarray):
         self.token, self.count = token, np.minimum(count, 2**31 - 1).astype(np.uint64)
@@ -82,6 +95,7 @@ class Orders:
 
     def heavy(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of heavy tokens in s, and their counts."""
+        s = s & shingles.LOW
         at = np.flatnonzero(self.maybe[s & np.uint64((1 << 20) - 1)])
         if not len(at):
             return at, np.empty(0, np.uint64)
@@ -94,8 +108,8 @@ class Orders:
         at, count = self.heavy(s)
         out = []
         for o in orders:
-            key = shingles.mix(s, 100 + o) >> np.uint64(1)
-            key[at] = (np.uint64(1) << np.uint64(63)) | (count << np.uint64(32)) | (key[at] >> np.uint64(31))
+            key = ((shingles.mix(s, 100 + o) & shingles.LOW) | (s & ~shingles.LOW)) >> np.uint64(1)
+            key[at] = (np.uint64(1) << np.uint64(63)) | (count << np.uint64(32)) | (key[at] & np.uint64(2**32 - 1))
             pick = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
             out.append((s[pick], key[pick] >> np.uint64(63) != 0))
         return out
@@ -104,7 +118,7 @@ class Orders:
 def _lists(values: list[np.ndarray]) -> pa.Array:
     off = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     flat = np.concatenate(values) if values else np.empty(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(flat.dtype.str.replace("u", "i"))))
 
 
 def _node(s: np.ndarray) -> int:
@@ -114,48 +128,69 @@ def _node(s: np.ndarray) -> int:
     return int(shingles.mix(a + b * np.uint64(0xC2B2AE3D27D4EB4F), 9)[0] >> np.uint64(1))
 
 
-def _first_pass(docs: DataFrame, n: int, share: int, heavy) -> DataFrame:
-    """(doc_id, key, node, size, light, dense): each row's set id and size, and its first-order prefix by class of token."""
+def _first_pass(docs: DataFrame, n: int, share: int, heavy: Heavy) -> DataFrame:
+    """(doc_id, key, node, size, light, dense, second, third): each row's set id and size, its first-order prefix by class of token, and 32 bits of the tokens of its other prefixes."""
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def task(batches):
-        orders = Orders(*known.value)
+        rarity, *rest = known.value
+        orders = Orders(*rest)
+        none = (np.empty(0, np.uint64), np.empty(0, bool))
         for b in batches:
-            node, size, light, dense = [], [], [], []
-            for _, s in shingles.sets(b.column("text"), n):
+            node, size, light, dense, other = [], [], [], [], ([], [])
+            for _, s, _ in shingles.sets(b.column("text"), n, rarity):
                 size.append(len(s))
                 node.append(_node(s) if len(s) else None)
-                t, h = orders.prefixes(s, prefix_size(len(s), share), range(1))[0] if len(s) else (s, s != 0)
+                (t, h), *more = orders.prefixes(s, prefix_size(len(s), share), range(ORDERS)) if len(s) else [none] * ORDERS
                 light.append(t[~h])
                 dense.append(t[h])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), _lists(light), _lists(dense)], names=["doc_id", "key", "node", "size", "light", "dense"])
+                for held, (t, _) in zip(other, more, strict=True):
+                    held.append(np.unique(t.astype(np.uint32)))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), *map(_lists, (light, dense, *other))], names=["doc_id", "key", "node", "size", "light", "dense", "second", "third"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(task, "doc_id long, key long, node long, size int, light array<long>, dense array<long>")
+    return docs.select("doc_id", "key", "text").mapInArrow(task, "doc_id long, key long, node long, size int, light array<long>, dense array<long>, second array<int>, third array<int>")
 
 
-def _second_pass(docs: DataFrame, n: int, share: int, heavy) -> DataFrame:
-    """(node, size, second, third, tokens) of each row: its other prefixes and its whole set."""
-    known = docs.sparkSession.sparkContext.broadcast(heavy)
+def _whole_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int, heavy: Heavy, broadcast_most: int = 1 << 20) -> DataFrame:
+    """(node, tokens) of the nodes(node), from one text of each. Their keys are broadcast up to broadcast_most of 8 bytes, else joined by a shuffle."""
+    keys = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key").distinct()
+    few = keys.limit(broadcast_most + 1).count() <= broadcast_most
+    texts = docs.join(F.broadcast(keys) if few else keys, "key", "left_semi")
+    known = docs.sparkSession.sparkContext.broadcast(heavy[0])
 
     def task(batches):
-        orders = Orders(*known.value)
         for b in batches:
-            rows = [s for _, s in shingles.sets(b.column("text"), n) if len(s)]
+            rows = [s for _, s, _ in shingles.sets(b.column("text"), n, known.value) if len(s)]
             for i in range(0, len(rows), 500):
                 part = rows[i : i + 500]
-                other = [orders.prefixes(s, prefix_size(len(s), share), range(1, ORDERS)) for s in part]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in part], pa.int64()), pa.array([len(s) for s in part], pa.int32()), *(_lists([o[k][0] for o in other]) for k in range(ORDERS - 1)), _lists(part)], names=["node", "size", "second", "third", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in part], pa.int64()), _lists(part)], names=["node", "tokens"])
 
-    return docs.select("text").mapInArrow(task, "node long, size int, second array<long>, third array<long>, tokens array<long>")
+    return texts.select("text").mapInArrow(task, "node long, tokens array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _filtered(pairs: DataFrame, members: DataFrame, share: int) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough under each order.
+
+    A link needs `need` shared tokens; all but |x| - need of x's first p tokens are then among the
+    first shared ones, and likewise for y. Tokens that coincide in their 32 bits are allowed for.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    p = lambda n: f"({n} - ceil({n} * {share} / 100) + 1)"
+    sig = members.join(nodes, "node", "left_semi").select("node", "size", F.concat("light", "dense").alias("first"), "second", "third").dropDuplicates(["node"])
+    left, right = (sig.select(*(F.col(c).alias(f"{c}_{s}" if c != "node" else s) for c in sig.columns)) for s in "ab")
+    need = f"ceil({share} * (size_a + size_b) / (100 + {share}))"
+    floor = f"greatest(1, least({p('size_a')} - size_a, {p('size_b')} - size_b) + {need})"
+    lost = lambda c: f"({p('size_a')} - size({c}_a) + {p('size_b')} - size({c}_b))"
+    ok = " AND ".join(f"size(array_intersect({c}_a, {c}_b)) >= greatest(1, {floor} - {lost(c)})" for c in ("first", "second", "third"))
+    return pairs.join(left, "a").join(right, "b").where(ok).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) that pass the filters of the other orders and then the exact comparison."""
-    left, right = (sets.select(F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "second", "third", "tokens"))) for s in "ab")
+    """The pairs (a, b) whose whole sets are similar enough."""
+    left, right = (sets.select(F.col("node").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab")
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    near = F.when(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b"), 100 * shared >= share * (F.col("size_a") + F.col("size_b") - shared)).otherwise(False)
-    return both.where(near).select("a", "b")
+    return both.where(100 * shared >= share * (F.size("tokens_a") + F.size("tokens_b") - shared)).select("a", "b")
 
 
 def _sized(share: int):
@@ -169,7 +204,7 @@ def _several(rows: DataFrame, key: str) -> DataFrame:
     return rows.join(kept, key)
 
 
-def near_groups(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18, small: int = 64, salts: int = 64) -> DataFrame:
+def near_groups(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18, small: int = 1024, salts: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs(doc_id, text): texts whose sets of word n-grams have a Jaccard similarity of share/100 or more are linked."""
     spark = docs.sparkSession
     work = new_dir(spark, "jaccard")
@@ -177,34 +212,37 @@ def near_groups(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 <<
     docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("key"), "text")
     top = heavy_tokens(docs, n, heavy)
     members = stored(_first_pass(docs, n, share, top), f"{work}/members")
-    nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"), F.first("size").alias("size"), F.first("light").alias("light"), F.first("dense").alias("dense"))
-    typed = F.array(F.struct(F.lit(False).alias("heavy"), F.col("light").alias("t")), F.struct(F.lit(True).alias("heavy"), F.col("dense").alias("t")))
-    tokens = nodes.select("node", "key", "size", F.explode(typed).alias("c")).select("node", "key", "size", "c.heavy", F.explode("c.t").alias("token"))
-    tokens = tokens.withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("node"), F.lit(salts))).otherwise(0).cast("int"))
+    nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("light").alias("light"), F.first("dense").alias("dense"))
+    # salt: -1 for a light token, else the part of a heavy token's group in which the node stands
+    salt = F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")
+    typed = F.array(F.struct(F.lit(-1).alias("salt"), F.col("light").alias("t")), F.struct(salt.alias("salt"), F.col("dense").alias("t")))
+    tokens = nodes.select("node", "size", F.explode(typed).alias("c")).select("node", "size", "c.salt", F.explode("c.t").alias("token"))
     w = Window.partitionBy("token", "salt")
     groups = tokens.select("*", F.min(F.struct("node", "size")).over(w).alias("pivot"), F.max("node").over(w).alias("last"))
-    groups = stored(groups.where("heavy OR pivot.node <> last").select("token", "salt", "heavy", "node", "key", "size", "pivot"), f"{work}/groups")
-    over = groups.where("heavy AND node = pivot.node").select("token", "node", "size", F.min(F.struct("node", "size")).over(Window.partitionBy("token")).alias("pivot"))
+    groups = stored(groups.where("salt >= 0 OR pivot.node <> last").select("token", "salt", "node", "size", "pivot"), f"{work}/groups")
+    over = groups.where("salt >= 0 AND node = pivot.node").select("token", "node", "size", F.min(F.struct("node", "size")).over(Window.partitionBy("token")).alias("pivot"))
     star = groups.select("node", "size", "pivot").unionByName(over.select("node", "size", "pivot"))
     star = star.where("node <> pivot.node").select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.col("size").alias("size_a"), F.col("pivot.size").alias("size_b")).where(_sized(share)).select("a", "b").distinct()
-    star = stored(star, f"{work}/star")
-    wanted = groups.groupBy("node").agg(F.first("key").alias("key"))
-    texts = docs.join(wanted.select("key").distinct(), "key", "left_semi")
-    sets = _second_pass(texts, n, share, top).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    sets = stored(sets, f"{work}/sets")
+    star = stored(_filtered(star, members, share), f"{work}/star")
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stored(_whole_sets(docs, members, ends(star), n, top), f"{work}/sets1")
     links = stored(_verified(star, sets, share), f"{work}/links")
     roots = components(links, f"{work}/cc1")
     rows = groups.select("token", "node", "size", F.col("pivot.node").alias("pivot")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rows = stored(_several(rows.withColumnRenamed("token", "g"), "g"), f"{work}/rest1")
     pairs = [_cross(rows.where(F.col("n") <= small), share)]
     for level, order in enumerate(("second", "third"), 2):  # the two other orders
-        more = rows.where(F.col("n") > small).drop("n").join(sets.select("node", order), "node")
-        more = more.withColumn("t", F.explode(order)).withColumn("g", F.xxhash64("g", "t")).drop("t", order)
+        large = rows.where(F.col("n") > small).drop("n")
+        prefix = members.join(large.select("node").distinct(), "node", "left_semi").select("node", order).dropDuplicates(["node"])
+        more = large.join(prefix, "node").withColumn("t", F.explode(order)).withColumn("g", F.xxhash64("g", "t")).drop("t", order)
         rows = stored(_several(more, "g"), f"{work}/rest{level}")
         pairs.append(_cross(rows.where(F.col("n") <= small) if level < ORDERS else rows, share))
     rest = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
-    ends = [F.col(c) for c in ("a", "b")]
-    found = _verified(rest, sets, share).select(*ends)
+    rest = stored(_filtered(rest, members, share), f"{work}/rest")
+    missing = ends(rest).join(sets.select("node"), "node", "left_anti")
+    if not missing.isEmpty():
+        sets = sets.unionByName(stored(_whole_sets(docs, members, missing, n, top), f"{work}/sets2"))
+    found = _verified(rest, sets, share)
     for c in ("a", "b"):
         found = found.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
     found = stored(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), f"{work}/links2")
@@ -216,11 +254,11 @@ def near_groups(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 <<
 
 
 def _cross(rows: DataFrame, share: int) -> DataFrame:
-    """Pairs of nodes of one group whose components differ, sizes permit a link, and which no star has compared."""
-    a = rows.select("g", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"), F.col("pivot").alias("pivot_a"))
-    b = rows.select("g", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.col("pivot").alias("pivot_b"))
-    both = a.join(b, "g").where("a < b AND root_a <> root_b AND pivot_b <> a AND pivot_a <> b").where(_sized(share))
-    return both.select("a", "b").distinct()
+    """Pairs of nodes of one group whose components differ, sizes permit a link, and which no star has compared; each pair once, in the first group that both are in."""
+    rows = rows.join(rows.groupBy("node").agg(F.collect_list("g").alias("gs")), "node")
+    left, right = (rows.select("g", F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "root", "pivot", "gs"))) for s in "ab")
+    both = left.join(right, "g").where("a < b AND root_a <> root_b AND pivot_b <> a AND pivot_a <> b").where(_sized(share))
+    return both.where(F.array_min(F.array_intersect("gs_a", "gs_b")) == F.col("g")).select("a", "b")
 
 
 ORACLE = """

@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes that are not ASCII white space; A-Z are lower-cased, other characters
 stay. A word's hash is a polynomial of its bytes modulo 2**64 over a fixed random table, mixed; two
-different words or shingles share a hash with a probability of about 2**-64 a pair.
+different words share a hash with a probability of about 2**-64, two shingles of about 2**-59.
 """
 
 from __future__ import annotations
@@ -98,11 +98,37 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out, n)
 
 
-def sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes). A text of fewer than n words has its whole sequence as its one shingle; without words it has none."""
+LOW = _U((1 << 59) - 1)
+
+
+class Rarity:
+    """Bands of words by their share of all words: 0 for what isn't in the table (rare), up to 31, half a power of two each."""
+
+    def __init__(self, word: np.ndarray, count: np.ndarray, total: int, bits: int = 21):
+        self.mask = _U((1 << bits) - 1)
+        self.key, self.band = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint8)
+        band = np.clip(np.floor(2 * np.log2(count / max(total, 1) * 2**20)) + 1, 1, 31).astype(np.uint8)
+        order = np.argsort(band, kind="stable")  # of two words in one place the more frequent stays
+        at = word[order] & self.mask
+        self.key[at], self.band[at] = word[order], band[order]
+
+    def bands(self, h: np.ndarray) -> np.ndarray:
+        at = h & self.mask
+        return np.where(self.key[at] == h, self.band[at], 0).astype(np.uint64)
+
+
+def sets(column: pa.Array, n: int, rarity: Rarity | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, its sorted distinct shingle tokens, its words). A text of fewer than n words has its whole sequence as its one shingle; without words it has none.
+
+    A token is 59 bits of hash; with a rarity table the 5 bits above are its rarest word's band, an upper
+    bound of its own frequency, so that rare tokens come first in order of value.
+    """
     for first, rows, data, off in text_slices(column):
         h, at, _, _ = words(data, off)
-        s = shingle_hashes(h, n)
+        s = shingle_hashes(h, n) & LOW
+        if rarity is not None and len(s):
+            band = rarity.bands(h)
+            s |= np.min([band[k : k + len(s)] for k in range(n)], axis=0) << _U(59)
         for i in range(rows):
             a, b = at[i], at[i + 1]
             if b - a >= n:
@@ -110,8 +136,8 @@ def sets(column: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
                 keep = np.empty(len(x), bool)
                 keep[0] = True
                 np.not_equal(x[1:], x[:-1], out=keep[1:])
-                yield first + i, x[keep]
+                yield first + i, x[keep], h[a:b]
             elif b > a:
-                yield first + i, shingle_hashes(h[a:b], int(b - a))
+                yield first + i, shingle_hashes(h[a:b], int(b - a)) & LOW, h[a:b]
             else:
-                yield first + i, np.empty(0, np.uint64)
+                yield first + i, np.empty(0, np.uint64), h[a:b]
