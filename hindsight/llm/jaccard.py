@@ -10,9 +10,11 @@
 3. Star round: each node is paired with the smallest node of its groups. Pairs whose sizes fit must
    share, under each of the three orders, as many prefix tokens as a link would force them to; what
    passes all the filters is verified.
-4. Rest: groups whose nodes are not yet in one component give all pairs of different components, for
-   the same filters; groups over `small` nodes are first split by the prefix tokens of the second, then
-   the third order. So every pair that can link is verified, or joined by links already.
+4. Rest: groups whose nodes are not yet in one component give pairs of different components, for the
+   same filters; groups over `small` nodes are first split by the prefix tokens of the second, then the
+   third order. All that two sets share stands at or after their first shared token, so a pair comes
+   only from where both have enough tokens left, and nodes too deep in a group for any partner leave it
+   before its size counts. So every pair that can link is verified, or joined by links already.
 
 Verification compares whole sets, in integers. Components come from `components`.
 
@@ -104,13 +106,14 @@ class Orders:
         return at[hit], self.count[k[hit]]
 
     def prefixes(self, s: np.ndarray, p: int, orders: range) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The first p tokens of s under each order, and which of them are heavy."""
+        """The first p tokens of s under each order, those of the first order sorted by it, and which of them are heavy."""
         at, count = self.heavy(s)
         out = []
         for o in orders:
             key = ((shingles.mix(s, 100 + o) & shingles.LOW) | (s & ~shingles.LOW)) >> np.uint64(1)
             key[at] = (np.uint64(1) << np.uint64(63)) | (count << np.uint64(32)) | (key[at] & np.uint64(2**32 - 1))
             pick = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
+            pick = pick[np.lexsort((s[pick], key[pick]))] if o == 0 else pick
             out.append((s[pick], key[pick] >> np.uint64(63) != 0))
         return out
 
@@ -197,11 +200,22 @@ def _sized(share: int):
     return F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * share
 
 
-def _several(rows: DataFrame, key: str) -> DataFrame:
-    """rows(key, node, size, root, pivot) of groups that still hold different components, one group for each set of nodes; n: its nodes."""
-    agg = rows.groupBy(key).agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), F.sum(F.col("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"))
-    kept = agg.where("r0 <> r1").groupBy("n", "s", "x").agg(F.min(key).alias(key)).select(key, "n")
-    return rows.join(kept, key)
+def _several(rows: DataFrame, share: int) -> DataFrame:
+    """rows(g, node, size, pos, root, pivot) of groups that still hold different components, one group for each set of nodes; n: its nodes.
+
+    Of groups with the same nodes, the one whose token comes first stays. Nodes go whose tokens from pos
+    on are too few for the smallest partner that the group may have.
+    """
+    agg = rows.groupBy("g").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"), F.sum(F.col("node").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum("pos").alias("at"), F.min("size").alias("lo"), F.max(F.col("size") - F.col("pos")).alias("left"))
+    kept = agg.where("r0 <> r1").groupBy("n", "s", "x").agg(F.min(F.struct("at", "g", "lo", "left")).alias("k")).select("n", "k.g", "k.lo", "k.left")
+    near = f"{share} * (size + greatest(lo, ceil(size * {share} / 100))) <= (100 + {share}) * least(size - pos, left)"
+    return rows.join(kept, "g").where(near).drop("lo", "left")
+
+
+def _open_groups(rows: DataFrame, share: int, path: str) -> DataFrame:
+    """_several, and again for what is left, so that n counts only nodes that can have a partner."""
+    rows = stored(_several(rows, share), f"{path}_all")
+    return stored(_several(rows.drop("n"), share), path)
 
 
 def near_groups(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18, small: int = 1024, salts: int = 64) -> DataFrame:
@@ -215,11 +229,12 @@ def near_groups(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 <<
     nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("light").alias("light"), F.first("dense").alias("dense"))
     # salt: -1 for a light token, else the part of a heavy token's group in which the node stands
     salt = F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")
-    typed = F.array(F.struct(F.lit(-1).alias("salt"), F.col("light").alias("t")), F.struct(salt.alias("salt"), F.col("dense").alias("t")))
-    tokens = nodes.select("node", "size", F.explode(typed).alias("c")).select("node", "size", "c.salt", F.explode("c.t").alias("token"))
+    typed = F.array(F.struct(F.lit(-1).alias("salt"), F.lit(0).alias("start"), F.col("light").alias("t")), F.struct(salt.alias("salt"), F.size("light").alias("start"), F.col("dense").alias("t")))
+    tokens = nodes.select("node", "size", F.explode(typed).alias("c")).select("node", "size", "c.salt", "c.start", F.posexplode("c.t").alias("at", "token"))
+    tokens = tokens.select("node", "size", "salt", (F.col("start") + F.col("at")).alias("pos"), "token")
     w = Window.partitionBy("token", "salt")
     groups = tokens.select("*", F.min(F.struct("node", "size")).over(w).alias("pivot"), F.max("node").over(w).alias("last"))
-    groups = stored(groups.where("salt >= 0 OR pivot.node <> last").select("token", "salt", "node", "size", "pivot"), f"{work}/groups")
+    groups = stored(groups.where("salt >= 0 OR pivot.node <> last").select("token", "salt", "node", "size", "pos", "pivot"), f"{work}/groups")
     over = groups.where("salt >= 0 AND node = pivot.node").select("token", "node", "size", F.min(F.struct("node", "size")).over(Window.partitionBy("token")).alias("pivot"))
     star = groups.select("node", "size", "pivot").unionByName(over.select("node", "size", "pivot"))
     star = star.where("node <> pivot.node").select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.col("size").alias("size_a"), F.col("pivot.size").alias("size_b")).where(_sized(share)).select("a", "b").distinct()
@@ -228,14 +243,14 @@ def near_groups(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 <<
     sets = stored(_whole_sets(docs, members, ends(star), n, top), f"{work}/sets1")
     links = stored(_verified(star, sets, share), f"{work}/links")
     roots = components(links, f"{work}/cc1")
-    rows = groups.select("token", "node", "size", F.col("pivot.node").alias("pivot")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = stored(_several(rows.withColumnRenamed("token", "g"), "g"), f"{work}/rest1")
+    rows = groups.select(F.col("token").alias("g"), "node", "size", "pos", F.col("pivot.node").alias("pivot")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = _open_groups(rows, share, f"{work}/rest1")
     pairs = [_cross(rows.where(F.col("n") <= small), share)]
     for level, order in enumerate(("second", "third"), 2):  # the two other orders
         large = rows.where(F.col("n") > small).drop("n")
         prefix = members.join(large.select("node").distinct(), "node", "left_semi").select("node", order).dropDuplicates(["node"])
         more = large.join(prefix, "node").withColumn("t", F.explode(order)).withColumn("g", F.xxhash64("g", "t")).drop("t", order)
-        rows = stored(_several(more, "g"), f"{work}/rest{level}")
+        rows = _open_groups(more, share, f"{work}/rest{level}")
         pairs.append(_cross(rows.where(F.col("n") <= small) if level < ORDERS else rows, share))
     rest = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
     rest = stored(_filtered(rest, members, share), f"{work}/rest")
@@ -254,11 +269,12 @@ def near_groups(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 <<
 
 
 def _cross(rows: DataFrame, share: int) -> DataFrame:
-    """Pairs of nodes of one group whose components differ, sizes permit a link, and which no star has compared; each pair once, in the first group that both are in."""
-    rows = rows.join(rows.groupBy("node").agg(F.collect_list("g").alias("gs")), "node")
-    left, right = (rows.select("g", F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "root", "pivot", "gs"))) for s in "ab")
+    """Pairs of nodes of one group whose components differ, whose sizes and tokens left permit a link, and which no star has compared; each pair once, in the first group that both are in."""
+    rows = rows.join(rows.groupBy("node").agg(F.expr("transform(array_sort(collect_list(struct(pos, g))), x -> x.g)").alias("gs")), "node")
+    left, right = (rows.select("g", F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "pos", "root", "pivot", "gs"))) for s in "ab")
     both = left.join(right, "g").where("a < b AND root_a <> root_b AND pivot_b <> a AND pivot_a <> b").where(_sized(share))
-    return both.where(F.array_min(F.array_intersect("gs_a", "gs_b")) == F.col("g")).select("a", "b")
+    both = both.where(f"{share} * (size_a + size_b) <= (100 + {share}) * least(size_a - pos_a, size_b - pos_b)")
+    return both.where(F.get(F.array_intersect("gs_a", "gs_b"), F.lit(0)) == F.col("g")).select("a", "b")
 
 
 ORACLE = """
