@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import new_dir
-from .words import EXACT, ChunkCoder, ragged
+from .common import new_dir, shipped
+from .words import ChunkCoder, ragged
 
 #: How the tokenizer file splits (its white-space class spelt out).
-SPACES = r"\t-\r \x85\xa0  -     　"
+SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 END = "</w>"
 
@@ -255,7 +255,7 @@ def frequent_chunks(docs: DataFrame, most: int, window: int = 2_000_000, least:
 
         for b in batches:
             for _, _, data, off in shingles.text_slices(b.column("text")):
-                h, _, x, y = shingles.words(data, off, EXACT)
+                h, _, x, y = shingles.words(data, off, shingles.EXACT)
                 u, first = np.unique(h, return_index=True)
                 raw = data.tobytes()
                 for k, i, j in zip(u.tolist(), x[first].tolist(), y[first].tolist(), strict=True):
@@ -290,7 +290,7 @@ def build_lexicon(docs: DataFrame, tokenizer: str, most: int = 50_000) -> str:
 
 def encoded(docs: DataFrame, tokenizer: str, *keep: str, lexicon: str | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
     """The columns in keep, n_tokens, and the ids of each whole text; with digests those of the ids and of the text decoded from them."""
-    name = lexicon or build_lexicon(docs, tokenizer)
+    name, file = lexicon or build_lexicon(docs, tokenizer), shipped(docs.sparkSession, tokenizer)
     schema = docs.select(*keep).schema.add("n_tokens", "long")
     if ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
@@ -298,7 +298,7 @@ def encoded(docs: DataFrame, tokenizer: str, *keep: str, lexicon: str | None = N
         schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def task(batches):
-        coder, decoder = _worker(tokenizer, SparkFiles.get(name))
+        coder, decoder = _worker(SparkFiles.get(file), SparkFiles.get(name))
         for b in batches:
             for first, rows, flat, sizes in coder.slices(b.column("text")):
                 ends = np.cumsum(sizes)
@@ -316,9 +316,10 @@ def encoded(docs: DataFrame, tokenizer: str, *keep: str, lexicon: str | None = N
 
 def decoded(rows: DataFrame, tokenizer: str, *keep: str) -> DataFrame:
     """The columns in keep and the text of each row's ids; null ids decode to the empty text."""
+    file = shipped(rows.sparkSession, tokenizer)
 
     def task(batches):
-        decoder = Decoder(Vocabulary(tokenizer))
+        decoder = Decoder(Vocabulary(SparkFiles.get(file)))
         for b in batches:
             lists = b.column("ids")
             sizes = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
@@ -329,6 +330,7 @@ def decoded(rows: DataFrame, tokenizer: str, *keep: str) -> DataFrame:
 
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
+    """Ids of all documents' whole texts, as digests, and those of the texts decoded from them."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -21,7 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError(f"set {key} to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="hindsight-")
         spark.conf.set(key, base)
-    return base.rstrip("/") if "://" in base else "file://" + base.rstrip("/")
+    if "://" in base:
+        return base.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)  # a plain path is one of the default file system
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return str(fs.makeQualified(path)).replace("file:/", "file:///", 1) if fs.getScheme() == "file" else str(fs.makeQualified(path))
 
 
 def new_dir(spark: SparkSession, name: str) -> str:
@@ -42,6 +47,33 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The written tables of one run in the shared folder, which are deleted once they are consumed."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, new_dir(spark, name)
+        self.names: set[str] = set()
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        self.names.add(name)
+        return stored(df, f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        for n in names:
+            drop_dir(self.spark, f"{self.path}/{n}")
+            self.names.discard(n)
+
+    def keep(self, *names: str) -> None:
+        """Deletes all other tables."""
+        self.drop(*(self.names - {*names}))
+
+
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends a file of the driver to all executors; gives its name for SparkFiles.get."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -55,7 +87,8 @@ def components(links: DataFrame, work: str) -> DataFrame:
 
     Each round hooks every node to its smallest smaller neighbour, flattens the forest by pointer
     jumping and contracts the links to the roots, so their number falls geometrically. All steps are
-    joins and map-side combined aggregates; every round's tables are written in the shared folder.
+    joins and map-side combined aggregates; every round's tables are written in the shared folder, and
+    deleted when the next has read them.
     """
     spark = links.sparkSession
     pair = lambda a, b: (F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
@@ -73,6 +106,7 @@ def components(links: DataFrame, work: str) -> DataFrame:
             jumped = forest.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved"))
             jump += 1
             jumped = stored(jumped, f"{work}/forest{step}_{jump}")
+            drop_dir(spark, f"{work}/forest{step}_{jump - 1}")
             moved = not jumped.where("moved").isEmpty()
             forest = jumped.select("node", "root")
             if not moved:
@@ -85,6 +119,7 @@ def components(links: DataFrame, work: str) -> DataFrame:
         hi, lo = (forest.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("hi", "lo"))
         left = edges.join(hi, "hi").join(lo, "lo").where("hi_root <> lo_root")
         edges = stored(left.select(*pair(F.col("hi_root"), F.col("lo_root"))).distinct(), f"{work}/edges{step}")
+        drop_dir(spark, f"{work}/edges{step - 1}")
     if nodes is None:
         kind = links.schema["a"].dataType
         return spark.createDataFrame([], "node long, root long").select(F.col("node").cast(kind), F.col("root").cast(kind))

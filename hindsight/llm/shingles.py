@@ -1,37 +1,51 @@
 """Words and word shingles of Arrow text columns as 64-bit hashes, without a Python object per word.
 
 A word is a maximal run of bytes that are not ASCII white space; A-Z are lower-cased, other characters
-stay. A word's hash is a polynomial of its bytes modulo 2**64 over a fixed random table, mixed; two
-different words share a hash with a probability of about 2**-64, two shingles of about 2**-59.
+stay. A word's hash takes its bytes eight at a time, each lane mixed into the hash of those before by a
+non-linear bijection; the few words of more than LONG bytes are hashed by BLAKE2. Two given words that
+weren't built against these constants share a hash with a probability of about 2**-64, two shingles of
+about 2**-59; the inner structure of a word (repetition, self-similarity) doesn't matter.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
-_LUT = np.random.default_rng(20240101).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_LUT[ord("A") : ord("Z") + 1] = _LUT[ord("a") : ord("z") + 1]
-_LUT[[9, 10, 11, 12, 13, 32]] = 0
-#: For words of letters and digits: other ASCII characters separate them, too.
-PLAIN = _LUT.copy()
-PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 0
 
 
-def exact_table() -> np.ndarray:
-    """A table that keeps case."""
-    t = np.random.default_rng(20240102).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-    t[[9, 10, 11, 12, 13, 32]] = 0
-    return t
+@dataclass(frozen=True)
+class Letters:
+    """How bytes are read: what each counts as, and which belong to words."""
 
+    fold: np.ndarray
+    inner: np.ndarray
+
+
+def _letters(lower: bool, plain: bool = False) -> Letters:
+    fold, inner = np.arange(256, dtype=np.uint8), np.ones(256, bool)
+    inner[[9, 10, 11, 12, 13, 32]] = False
+    if lower:
+        fold[ord("A") : ord("Z") + 1] += 32
+    if plain:
+        inner[[c for c in range(128) if not chr(c).isalnum()]] = False
+    return Letters(fold, inner)
+
+
+WORDS = _letters(lower=True)
+#: Words of letters and digits: other ASCII characters separate them, too.
+PLAIN = _letters(lower=True, plain=True)
+#: Case is kept.
+EXACT = _letters(lower=False)
 
-_R = _U(0x9E3779B97F4A7C15)
-_R_INV = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
 SLICE = 1 << 20
+LONG = 64
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -42,15 +56,6 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[0] = 1
-    return np.cumprod(p, dtype=np.uint64)
-
-
-_POW = _INV = np.ones(1, np.uint64)
-
-
 def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets) of about SLICE bytes at a time; a null is an empty text."""
     column = pc.fill_null(column, "").cast(pa.large_string())
@@ -66,24 +71,42 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         a = b
 
 
-def words(data: np.ndarray, off: np.ndarray, table: np.ndarray = _LUT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, the first word of each row (rows + 1 entries), and each word's first and end byte. table: 0 for bytes that separate words."""
-    global _POW, _INV
-    n = len(data)
-    if len(_POW) < n + 1:
-        _POW, _INV = _powers(_R, 2 * n + 1), _powers(_R_INV, 2 * n + 1)
-    v = table[data]
-    full = v != 0
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each byte on as one number (zeros beyond the end)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def lane(x: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of lanes x those at `at`, of which `left` bytes count (more than 8 are 8, below 1 none)."""
+    drop = (8 - np.clip(left, 1, 8)).astype(np.uint64) << _U(3)
+    v = x[np.minimum(at, len(x) - 1)]
+    return np.where(left > 0, (v << drop) >> drop, _U(0))
+
+
+def words(data: np.ndarray, off: np.ndarray, letters: Letters = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words, the first word of each row (rows + 1 entries), and each word's first and end byte."""
+    full = letters.inner[data]
     first = off[:-1][off[:-1] < off[1:]]
+    last = off[1:][off[:-1] < off[1:]] - 1
     start, stop = full.copy(), full.copy()
     start[1:] &= ~full[:-1]
     start[first] = full[first]
     stop[:-1] &= ~full[1:]
-    stop[off[1:][off[:-1] < off[1:]] - 1] = full[off[1:][off[:-1] < off[1:]] - 1]
+    stop[last] = full[last]
     a, b = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(v * _POW[:n], out=sums[1:])
-    h = mix((sums[b] - sums[a]) * _INV[a] + (b - a).astype(np.uint64))
+    data = letters.fold[data]
+    x, n = lanes(data), b - a
+    h = mix(lane(x, a, n) ^ (n.astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F)), 1)
+    go = np.flatnonzero(n > 8)
+    for k in range(8, LONG, 8):
+        if not len(go):
+            break
+        h[go] = mix((h[go] * _U(0x9E3779B97F4A7C15)) ^ lane(x, a[go] + k, n[go] - k), 2)
+        go = go[n[go] > k + 8]
+    for i in go.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[a[i] : b[i]], digest_size=8).digest(), "little")
     return h, np.searchsorted(a, off), a, b
 
 

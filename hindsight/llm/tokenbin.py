@@ -26,11 +26,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark import TaskContext
+from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import new_dir, partitions, stored
+from .common import new_dir, partitions, shipped, stored
 from .words import library_coder
 
 MAGIC = b"PLANES1\n"
@@ -141,10 +141,10 @@ class ShardReader:
 
 def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 2, block: int = 1 << 16, bits: bool = False, level: int = 3, max_ids: int = 1 << 25) -> DataFrame:
     """Encodes docs(doc_id, text) in ascending doc_id order and writes shards under out; gives the manifest."""
-    end = [] if end_id is None else [end_id]
+    end, file = [] if end_id is None else [end_id], shipped(docs.sparkSession, tokenizer)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, writer, done = library_coder(tokenizer), None, []
+        coder, writer, done = library_coder(SparkFiles.get(file)), None, []
         for b in batches:
             ids_of = b.column("doc_id")
             for first, rows, ids, sizes in coder.slices(b.column("text")):
@@ -193,6 +193,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def op1_token_planes(spark, sf_dir: str) -> DataFrame:
+    """Position, number of ids and their CRC of every document, read back from the shards of all documents."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
