@@ -1,19 +1,22 @@
 """Benchmark decontamination by greedy string tiling.
 
-1. Seeds: every run of `least` words of every benchmark item, and of every text. A text's seeds are
-   looked up in a filter of fixed size over the items' seeds; only texts with hits go on, and are joined
-   with the items on the seeds themselves.
-2. Pairs whose shared seeds could reach the threshold are tiled: running Karp-Rabin finds the matches of
-   the current search length between words that are not yet marked, the longest are marked first, and
+1. Seeds: every run of `least` words of every benchmark item, and of every text; an item of fewer words
+   is one seed. A text's seeds are looked up in a filter of fixed size over the items' seeds; only texts
+   with hits go on. Equal texts and equal items are compared once.
+2. A leak shares a least number of an item's seeds, so among all but so many of them one is shared: each
+   item is joined with the texts by its rarest seeds only, as many as that bound leaves.
+3. Pairs that share as many seeds as the threshold forces are tiled: running Karp-Rabin finds the matches
+   of the current search length between words that are not yet marked, the longest are marked first, and
    the search length falls to `least`. Tiles don't overlap, in either text, and may stand in any order,
    so that reordered passages count.
-3. A pair is a leak if the tiles cover `share` hundredths of the item's words or more.
+4. A pair is a leak if the tiles cover `share` hundredths of the item's words or more.
 
 Words are runs of letters and digits, lower-cased; punctuation and line ends don't matter.
 
-Defined cases: null and empty texts and items of fewer than `least` words have no seeds and take no
-part; rows that repeat a doc_id are compared each by itself, rows that repeat doc_id and text give one
-result; repeated items count once a row; extra columns are ignored; empty tables give no rows.
+Defined cases: null and empty texts and items take no part; items of fewer than `shortest` words aren't
+looked for (by default `least`; such an item leaks where all its words stand in a row); rows that repeat
+doc_id and text, or item_id and text, count once; rows that share an id but not the text are compared
+each by itself, with a row for each leak; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,14 +26,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import new_dir, stored
+from .common import Scratch
 
 BITS = 22
-LEAK = "doc_id long, item_id long, covered int, item_words int, tiles array<struct<item_at:int,text_at:int,words:int>>"
+TILE = pa.struct([("item_at", pa.int32()), ("text_at", pa.int32()), ("words", pa.int32())])
 
 
 def hashed_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -102,17 +105,41 @@ def _probe(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (s >> np.uint64(64 - BITS)).astype(np.int64), (s & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def item_seeds(items: DataFrame, least: int) -> DataFrame:
-    """(item_id, words, seed, times) of items of at least `least` words."""
+def text_key(text: Column) -> Column:
+    """What names a text."""
+    return F.sha2(text, 256)
+
+
+def item_seeds(items: DataFrame, least: int, shortest: int) -> DataFrame:
+    """(item, words, run, seed, times) of the items(item, item_text) of at least `shortest` words; run: words of a seed."""
+    names = ["item", "words", "run", "seed", "times"]
 
     def task(batches):
         for b in batches:
-            ids = b.column("item_id").to_pylist()
-            for i, h in hashed_words(b.column("text")):
-                seed, times = np.unique(shingles.shingle_hashes(h, least), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i]] * len(seed), pa.int64()), pa.array(np.full(len(seed), len(h), np.int32)), pa.array(seed.view(np.int64)), pa.array(times.astype(np.int32))], names=["item_id", "words", "seed", "times"])
+            keys = b.column("item").to_pylist()
+            for i, h in hashed_words(b.column("item_text")):
+                if len(h) >= max(shortest, 1):
+                    run = min(least, len(h))
+                    seed, times = np.unique(shingles.shingle_hashes(h, run), return_counts=True)
+                    k = len(seed)
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[i]] * k, pa.string()), pa.array(np.full(k, len(h), np.int32)), pa.array(np.full(k, run, np.int32)), pa.array(seed.view(np.int64)), pa.array(times.astype(np.int32))], names=names)
+
+    return items.select("item", "item_text").mapInArrow(task, "item string, words int, run int, seed long, times int")
+
+
+def fewest_seeds(words: int, run: int, share: int) -> int:
+    """Seeds (with repetition) that tiles of at least `run` words which cover an item hold at least."""
+    return -(-share * words // (100 * run))
+
 
-    return items.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(task, "item_id long, words int, seed long, times int")
+def rarest(seeds: DataFrame, hits: DataFrame, share: int) -> DataFrame:
+    """(seed, item): of each item its rarest seeds among the hits, all but as many as a leak can do without."""
+    count = hits.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("df"))
+    w = Window.partitionBy("item").orderBy("df", "seed")
+    before = F.sum("times").over(w) - F.col("times")
+    ranked = seeds.join(count, "seed", "left").select("seed", "item", "words", "run", before.alias("before"), "df")
+    needed = F.expr(f"ceil({share} * words / (100 * run))")
+    return ranked.where(F.col("df").isNotNull() & (F.col("before") < F.col("words") - F.col("run") + 1 - needed + 1)).select("seed", "item")
 
 
 def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -134,11 +161,13 @@ def seed_filter(seeds: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return maps[0], maps[1]
 
 
-def leaks(docs: DataFrame, items: DataFrame, least: int = 5, share: int = 80) -> DataFrame:
-    """A row for each pair of a text of docs(doc_id, text) and an item of items(item_id, text) that it leaks."""
+def matched(docs: DataFrame, items: DataFrame, least: int, share: int, shortest: int) -> tuple[DataFrame, DataFrame]:
+    """(key, item, covered, item_words, tiles) of every pair of different texts that is a leak, and (doc_id, key) of the texts with hits; docs(doc_id, text), items(item, item_text)."""
     spark = docs.sparkSession
-    work = new_dir(spark, "decontam")
-    seeds = stored(item_seeds(items, least), f"{work}/seeds")
+    work = Scratch(spark, "decontam")
+    items = work.put("items", items.where("item IS NOT NULL").dropDuplicates(["item"]))
+    seeds = work.put("seeds", item_seeds(items, least, shortest))
+    runs = sorted(r.run for r in seeds.select("run").distinct().collect())  # least of them at most
     maps = spark.sparkContext.broadcast(seed_filter(seeds))
 
     def found(batches):
@@ -146,7 +175,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = 5, share: int = 80) ->
         for b in batches:
             rows, hits = [], []
             for i, h in hashed_words(b.column("text")):
-                s = shingles.shingle_hashes(h, least)
+                s = np.concatenate([shingles.shingle_hashes(h, run) for run in runs]) if runs else np.empty(0, np.uint64)
                 a, c = _probe(s)
                 hit = high[a] & low[c]
                 if hit.any():
@@ -158,26 +187,48 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = 5, share: int = 80) ->
             yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("text"), pa.ListArray.from_arrays(off, flat)], names=["doc_id", "text", "seeds"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hits = texts.mapInArrow(found, "doc_id long, text string, seeds array<long>").withColumn("key", F.xxhash64("doc_id", "text"))
-    hits = stored(hits, f"{work}/hits")
-    shared = hits.select("key", F.explode("seeds").alias("seed")).distinct().join(seeds, "seed").groupBy("key", "item_id", "words").agg(F.sum("times").alias("times"))
-    pairs = shared.where(100 * least * F.col("times") >= share * F.col("words")).select("key", "item_id")
-    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item"))
-    pairs = hits.select("key", "doc_id", "text").dropDuplicates(["key"]).join(pairs, "key").join(named, "item_id")
+    hits = work.put("hits", texts.mapInArrow(found, "doc_id long, text string, seeds array<long>").withColumn("key", text_key(F.col("text"))))
+    once = hits.select("key", "text", "seeds").dropDuplicates(["key"])
+    pairs = once.select("key", F.explode("seeds").alias("seed")).join(rarest(seeds, hits, share), "seed").select("key", "item").distinct()
+    pairs = once.select("key", "text").join(pairs, "key").join(items, "item")
 
     def tiled(batches):
         for b in batches:
-            items_, texts_ = (dict(hashed_words(b.column(c))) for c in ("item", "text"))
+            items_, texts_ = (dict(hashed_words(b.column(c))) for c in ("item_text", "text"))
             rows = []
-            for i, (doc_id, item_id) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("item_id").to_pylist(), strict=True)):
-                t = tiling(items_[i], texts_[i], least)
+            for i, (key, item) in enumerate(zip(b.column("key").to_pylist(), b.column("item").to_pylist(), strict=True)):
+                x, y = items_[i], texts_[i]
+                run = min(least, len(x))
+                if np.isin(shingles.shingle_hashes(x, run), shingles.shingle_hashes(y, run)).sum() < fewest_seeds(len(x), run, share):
+                    continue
+                t = tiling(x, y, run)
                 covered = sum(n for _, _, n in t)
-                if len(items_[i]) >= least and 100 * covered >= share * len(items_[i]):
-                    rows.append({"doc_id": doc_id, "item_id": item_id, "covered": covered, "item_words": len(items_[i]), "tiles": [dict(zip(("item_at", "text_at", "words"), x, strict=True)) for x in t]})
-            tile = pa.struct([("item_at", pa.int32()), ("text_at", pa.int32()), ("words", pa.int32())])
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("covered", pa.int32()), ("item_words", pa.int32()), ("tiles", pa.list_(tile))]))
+                if 100 * covered >= share * len(x):
+                    rows.append({"key": key, "item": item, "covered": covered, "item_words": len(x), "tiles": [dict(zip(("item_at", "text_at", "words"), v, strict=True)) for v in t]})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.string()), ("item", pa.string()), ("covered", pa.int32()), ("item_words", pa.int32()), ("tiles", pa.list_(TILE))]))
+
+    schema = "key string, item string, covered int, item_words int, tiles array<struct<item_at:int,text_at:int,words:int>>"
+    found_pairs = work.put("pairs", pairs.select("key", "item", "text", "item_text").mapInArrow(tiled, schema))
+    ids = work.put("ids", hits.select("doc_id", "key").join(found_pairs.select("key").distinct(), "key", "left_semi").distinct())
+    work.keep("pairs", "ids")
+    return found_pairs, ids
+
+
+def _items(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long").alias("item_id"), text_key(F.col("text")).alias("item"), F.col("text").alias("item_text"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, least: int = 5, share: int = 80, shortest: int = 5) -> DataFrame:
+    """(doc_id, item_id, covered, item_words, tiles): a row for each pair of a text of docs(doc_id, text) and an item of items(item_id, text) that it leaks."""
+    named = _items(items)
+    pairs, ids = matched(docs, named.select("item", "item_text"), least, share, shortest)
+    rows = pairs.join(ids, "key").join(named.select("item_id", "item").distinct(), "item")
+    return rows.select("doc_id", "item_id", "covered", "item_words", "tiles")
+
 
-    return pairs.select("doc_id", "item_id", "text", "item").mapInArrow(tiled, LEAK)
+def leaking_texts(docs: DataFrame, items: DataFrame, least: int = 5, share: int = 80, shortest: int = 5) -> DataFrame:
+    """(key): the text_key of every text that leaks an item."""
+    return matched(docs, _items(items).select("item", "item_text"), least, share, shortest)[0].select("key").distinct()
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
