@@ -16,8 +16,9 @@ backslash after their first character, and backslashes are doubled, so that the
 The loss mask is the span of the escaped assistant text in each piece.
 
 Defined cases: a null text is empty, a null role is the empty role, a null conv_id is a conversation of
-its own; events of a slot without a message (say a late delta) open one; an unknown kind raises; ties in
-(slot, seq) are ordered by kind's rank above, role and text; extra columns are ignored.
+its own; events of a slot without a message (say a late delta) open one; an unknown kind raises, wherever
+it stands; ties in (slot, seq) are ordered by kind (message, edit, regenerate, delta), then role and text;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,6 +96,8 @@ def folded(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
                 cut = later = None
             cut = later if cut is None or (later is not None and later > cut) else cut
             key, open_, nth = (conv, slot), None, 0
+        if kind not in KINDS:
+            raise ValueError(f"unknown kind of event: {kind}")
         if cut is not None and (seq is None or seq < cut):
             continue
         text, role = text or "", role or ""
@@ -104,8 +107,6 @@ def folded(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
                 nth += 1
             open_ = [role, [text]]
             continue
-        if kind not in KINDS:
-            raise ValueError(f"unknown kind of event: {kind}")
         if open_ is None:
             open_ = [role or "assistant", []]
         if kind == "delta":
@@ -166,11 +167,39 @@ def digests(pieces: DataFrame) -> DataFrame:
     return parsed.mapInPandas(lambda frames: _batches(rows(frames), out), out)
 
 
+def logged(rows: DataFrame) -> DataFrame:
+    """The log of a chat service that ends in the messages of rows(conv_id, turn, role, text).
+
+    By a hash of conversation and turn a message is written at once, streamed in three deltas, written as a
+    draft and edited, or answered twice: a draft, a user's turn after it, a regeneration and its deltas.
+    Turns that repeat, are null or lie beyond 2**58 are written at once.
+    """
+    text, role, near = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit("")), F.abs("turn") < 2**58
+    many = rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where("n > 1")
+    rows = rows.join(many, ["conv_id", "turn"], "left")
+    way = F.when(F.col("n").isNull() & near & F.col("conv_id").isNotNull(), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))).otherwise(0)
+    rows = rows.select("conv_id", F.col("turn").alias("slot"), F.when(near, F.col("turn") * 16).otherwise(F.col("turn")).alias("seq"), role.alias("role"), text.alias("text"), way.alias("way"))
+    third = F.ceil(F.char_length("text") / 3).cast("int")
+    part = lambda i: F.substring("text", third * i + 1, third)
+    event = lambda at, kind, text, later=0, role="role": F.struct(F.lit(later).alias("later"), F.lit(at).alias("at"), F.lit(kind).alias("kind"), (F.col("role") if role == "role" else F.lit(role)).alias("role"), text.alias("text"))
+    draft, none = F.lit("a draft of </s> something"), F.lit(None).cast("string")
+    streamed = lambda first: [event(first + i, "delta", part(i)) for i in range(3)]
+    ways = [
+        [event(0, "message", F.col("text"))],
+        [event(0, "message", none), *streamed(1)],
+        [event(0, "message", draft), event(1, "edit", F.col("text"))],
+        [event(0, "message", draft), event(1, "delta", draft), event(2, "message", draft, 1, "user"), event(3, "regenerate", none), *streamed(4)],
+    ]
+    events = F.explode(F.when(F.col("way") == 1, F.array(*ways[1])).when(F.col("way") == 2, F.array(*ways[2])).when(F.col("way") == 3, F.array(*ways[3])).otherwise(F.array(*ways[0])))
+    rows = rows.select("conv_id", "slot", "seq", events.alias("e"))
+    return rows.select("conv_id", (F.col("slot") + F.col("e.later")).alias("slot"), (F.col("seq") + F.col("e.at")).alias("seq"), "e.kind", "e.role", "e.text")
+
+
 def op2_chat(spark, sf_dir: str) -> DataFrame:
+    """All conversations, logged as events, folded, rendered and read back."""
     tricky = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(tricky)
-    events = rows.select("conv_id", F.col("turn").alias("slot"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
-    return digests(stored(formatted(reconstruct(events)), new_dir(spark, "chat")))
+    return digests(stored(formatted(reconstruct(logged(rows))), new_dir(spark, "chat")))
 
 
 ORACLE = r"""
