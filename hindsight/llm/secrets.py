@@ -24,7 +24,11 @@ from .common import new_dir, stored
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: its group `value` is the secret itself, of `least` characters or more; needle: a literal that every match holds."""
+    """pattern: its group `value` is the secret itself, of `least` characters or more; needle: a literal that every match holds.
+
+    A pattern must not scan a run of characters again from every place in it: runs without a bounded
+    start are anchored by what may not stand before them.
+    """
 
     kind: str
     version: int
@@ -45,12 +49,13 @@ BASE = (
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", needle="AKIA"),  # the 20 characters or more of AKIA[A-Z0-9]+
     Rule("hex", 1, r"[0-9a-f]{24,}"),  # the 24 or more of [0-9a-f]+
 )
+JWT = r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
 RULES = (
     *BASE,
     Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----", needle="PRIVATE KEY-----"),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}", needle="gh"),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}", needle="xox"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", needle="eyJ"),
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])" + JWT, needle="eyJ"),  # anchored: once a run
 )
 FINDING = "array<struct<start:int,ord:int,kind:string,end:int,secret:int>>"
 
@@ -135,9 +140,18 @@ def _joined(f: Column) -> Column:
     return F.array_join(F.transform(f, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
+def history(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, text): the documents have no history, so each gets an older version of its first line."""
+    older = F.struct(F.lit(1).alias("version"), F.substring_index("text", "\n", 1).alias("text"))
+    now = F.struct(F.lit(2).alias("version"), F.col("text").alias("text"))
+    return docs.select("doc_id", F.explode(F.array(older, now)).alias("v")).select("doc_id", "v.version", "v.text")
+
+
 def op4_secrets(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = findings(docs, new_dir(spark, "ledger"))
+    """The findings of every document's latest version; a first run scans the older versions, the second what it hasn't seen."""
+    versions, ledger = history(spark.read.parquet(f"{sf_dir}/documents.parquet")), new_dir(spark, "ledger")
+    scan(versions.where("version = 1"), ledger)
+    rows = findings(versions, ledger).where("version = 2")
     n = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("findings", lambda x: x["ord"] < len(BASE))
     return rows.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("findings")).alias("spans"))
@@ -148,14 +162,18 @@ def _oracle() -> str:
     either = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in words)
     parts = []
     for i, r in enumerate(RULES):
-        p = (f"({either})" + ASSIGN_REST if r.kind == "assign" else r.pattern).replace("'", "''")
-        parts.append(f"SELECT doc_id, {i} AS ord, '{r.kind}' AS kind, {r.least} AS least, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}') AS found, regexp_extract_all(text, '{p}', {r.value}) AS vals FROM t")
+        text, value, lead = "text", r.value, 0
+        p = f"({either})" + ASSIGN_REST if r.kind == "assign" else r.pattern
+        if r.kind == "jwt":  # DuckDB's patterns can't look back: the character before is part of the match
+            text, p, value, lead = "(' ' || text)", f"[^A-Za-z0-9_-]({JWT})", 1, 1
+        p = p.replace("'", "''")
+        parts.append(f"SELECT doc_id, {i} AS ord, '{r.kind}' AS kind, {r.least} AS least, {lead} AS lead, string_split_regex({text}, '{p}') AS gaps, regexp_extract_all({text}, '{p}') AS found, regexp_extract_all({text}, '{p}', {value}) AS vals FROM t")
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
      r AS ({' UNION ALL '.join(parts)}),
-     u AS (SELECT doc_id, ord, kind, least, generate_subscripts(gaps, 1) AS pos, unnest(gaps) AS gap, unnest(list_append(found, NULL)) AS hit, unnest(list_append(vals, NULL)) AS val FROM r WHERE len(found) > 0),
+     u AS (SELECT doc_id, ord, kind, least, lead, generate_subscripts(gaps, 1) AS pos, unnest(gaps) AS gap, unnest(list_append(found, NULL)) AS hit, unnest(list_append(vals, NULL)) AS val FROM r WHERE len(found) > 0),
      w AS (SELECT *, CAST(sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY doc_id, ord ORDER BY pos) AS INTEGER) AS stop FROM u),
-     f AS (SELECT doc_id, ord, kind, stop - length(hit) AS start, stop FROM w WHERE hit IS NOT NULL AND length(val) >= least),
+     f AS (SELECT doc_id, ord, kind, stop - length(hit) AS start, stop - lead AS stop FROM w WHERE hit IS NOT NULL AND length(val) >= least),
      g AS (SELECT doc_id, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access, count(*) FILTER (WHERE ord = 2) AS n_hex,
                   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) FILTER (WHERE ord < {len(BASE)}) AS base,
                   string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord) AS spans FROM f GROUP BY 1)
