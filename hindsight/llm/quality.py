@@ -5,12 +5,12 @@ word before) and bands of its length and of its share of repeated word triples.
 (logarithmic counts times inverse document frequency) are reduced to `rank` latent dimensions by the
 leading eigenvectors of their Gram matrix. The vectors and labels of the fitting sample are broadcast:
 `most_labelled` rows at most, taken by hash, which bounds the model's size whatever the corpus. Every
-text is multiplied with all of them in blocks, and its `k` nearest vote with weights that fall with
-their distance.
+text is multiplied with all of them in blocks, and its `k` nearest, with all that tie with the last of
+them, vote with weights that fall with their distance.
 
 Scores use the text alone. Defined cases: a null or empty text has only its length band and is scored
 like other texts; a null doc_id is never in the sample and not held out; repeated labels of a document
-count once (their smallest); labels without a document, and null labels, are left out; without any
+count once (their smallest), and of texts that share a labelled doc_id the smallest is learnt; labels without a document, and null labels, are left out; without any
 label of either kind every score is the share of label 1, or 0.5 without labels; extra columns are
 ignored or kept (`classified`); an empty table gives no rows.
 """
@@ -95,11 +95,12 @@ class Model:
         return out
 
     def vote(self, cosine: np.ndarray) -> np.ndarray:
+        cosine = np.round(cosine.astype(np.float64), 5)  # below the noise of single precision, so that equal texts tie
         k = min(self.k, cosine.shape[1])
-        near = np.argpartition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k :]
-        c = np.take_along_axis(cosine, near, 1).astype(np.float64)
-        w = np.exp((c - c.max(axis=1, keepdims=True)) / self.width)
-        return (w * self.labels[near]).sum(1) / w.sum(1)
+        last = np.partition(cosine, cosine.shape[1] - k, axis=1)[:, cosine.shape[1] - k]
+        row, near = np.nonzero(cosine >= last[:, None])
+        w = np.exp((cosine[row, near] - cosine.max(axis=1)[row]) / self.width)
+        return np.bincount(row, w * self.labels[near], len(cosine)) / np.bincount(row, w, len(cosine))
 
 
 def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -134,6 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096) -> Mode
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").cast("double").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("quality").alias("quality"))
 
     def task(batches):
         for b in batches:
@@ -164,5 +166,6 @@ def classified(docs: DataFrame, labels: DataFrame, *keep: str, least: float = 0.
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
+    """Score and class of every document by the neighbours of its whole text."""
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     return classified(docs, labels, "doc_id").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -84,6 +84,7 @@ def _entries(pages: DataFrame) -> DataFrame:
 
 
 def op9_url_lists(spark, sf_dir: str) -> DataFrame:
+    """Every page under the dated lists as of its fetch time."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return judged(_captures(pages), _entries(pages))
 

@@ -8,8 +8,9 @@ offset, coalesce neighbouring records into byte ranges and fetch each range with
 Defined cases: null html is an empty payload; a null url has no WARC-Target-URI,
 and line ends in a url are written %0D and %0A; a null page_id never
 is the first of its copies, so it revisits the smallest known id (or stays a response, if none);
-repeated rows with the smallest page_id of their payload are all responses; extra columns are ignored;
-an empty table gives no archive.
+page_id names a record, so rows that repeat the smallest page_id of their payload are that one record,
+each a response (a revisit would refer to itself); extra columns are ignored; an empty table gives no
+archive.
 """
 
 from __future__ import annotations
@@ -40,7 +41,10 @@ def planned(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", body.alias("body"), F.sha2(body, 256).alias("digest"))
     firsts = rows.where(F.octet_length("body") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    rows = rows.join(firsts.where("n > 1 AND first_id IS NOT NULL").drop("n"), "digest", "left")
+    # short payloads revisit nothing: a key of their own keeps the many empty ones apart
+    key = F.when(F.octet_length("body") >= min_bytes, F.col("digest")).otherwise(F.xxhash64("page_id", "url").cast("string"))
+    firsts = firsts.where("n > 1 AND first_id IS NOT NULL").select(F.col("digest").alias("copy_of"), "first_id")
+    rows = rows.withColumn("copy_of", key).join(firsts, "copy_of", "left").drop("copy_of")
     return rows.withColumn("refers_to", F.expr("CASE WHEN NOT page_id <=> first_id THEN first_id END")).drop("first_id")
 
 
@@ -129,6 +133,7 @@ def read_archives(index: DataFrame, payloads: bool = False, **limits: int) -> Da
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page, read back from the archives by the index."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     index = write_archives(pages, new_dir(spark, "warc"))
     return read_archives(index)
