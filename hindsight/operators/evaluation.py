@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from ..plans.catalog import query
 from ..sources.roles import DAY, HOUR, OBS, PREDICTIONS, observations, predictions, table
 from .aggregates import LEDGER, ledger
 from .predicates import brier, log_loss, r6
+from .sequential import Pool, matured, maturing
 from .windows import LOSSES, by_seq, losses
 
 
@@ -164,50 +167,43 @@ def c3(spark, sf):
 def prediction_sets(rows: DataFrame, alpha: float = 0.2, last: int = 240, least: int = 30) -> DataFrame:
     """Split conformal sets from labels that were known: per row the `last` newest matured earlier rows give the score threshold.
 
-    rows(sport, match_id, t, mature, y, p). The calibration pool of a row is a window over maturity order,
-    kept by a streaming pass per sport with the `last` newest matured scores; equal times are excluded.
+    rows(sport, match_id, t, mature, y, p). A label that is mature at the row's time counts, one of the
+    same time doesn't. A streaming pass per sport holds the `last` newest matured scores.
     """
     out = "sport string, match_id long, n long, kind string"
-    score = F.when(F.col("y") == 1, 1 - F.col("p")).otherwise(F.col("p"))
-    a = rows.select("sport", F.col("t").alias("at"), F.lit(0).alias("k"), "match_id", "t", "p", F.lit(None).cast("double").alias("score"))
-    b = rows.select("sport", F.col("mature").alias("at"), F.lit(1).alias("k"), "match_id", "t", F.lit(None).cast("double").alias("p"), score.alias("score"))
 
     def task(frames):
-        import heapq
-        import math
-
-        sport, pool = None, []
+        sport, pool = None, Pool(last)
         for f in frames:
             got = []
-            for s, k, i, t, p, v in zip(f.sport, f.k, f.match_id, f.t, f.p, f.score, strict=True):
+            for s, i, t, kind, y, p in zip(f.sport, f.match_id, f.t, f.kind, f.y, f.p, strict=True):
                 if s != sport:
-                    sport, pool = s, []
-                if k == 1:
-                    heapq.heappush(pool, (t, i, v))
-                    if len(pool) > last:
-                        heapq.heappop(pool)
-                else:
-                    n = len(pool)
-                    if n < least:
-                        got.append((s, i, n, "ABSTAIN"))
-                        continue
-                    q = sorted(x for _, _, x in pool)[min(n, math.ceil((n + 1) * (1 - alpha))) - 1]
-                    size = (p >= 1 - q - 1e-12) + (1 - p >= 1 - q - 1e-12)
-                    got.append((s, i, n, "SINGLE" if size == 1 else "SET" if size else "EMPTY"))
+                    sport, pool = s, Pool(last)
+                if kind == 0:
+                    pool.add(t, i, 1 - p if y == 1 else p)
+                    continue
+                n = len(pool.rows)
+                if n < least:
+                    got.append((s, i, n, "ABSTAIN"))
+                    continue
+                q = sorted(x for *_, x in pool.rows)[min(n, math.ceil((n + 1) * (1 - alpha))) - 1]
+                size = (p >= 1 - q - 1e-12) + (1 - p >= 1 - q - 1e-12)
+                got.append((s, i, n, "SINGLE" if size == 1 else "SET" if size else "EMPTY"))
             yield pd.DataFrame(got, columns=["sport", "match_id", "n", "kind"])
 
-    both = a.unionByName(b).repartition("sport").sortWithinPartitions("sport", "at", "k", "t", "match_id")
-    return both.mapInPandas(task, out)
+    return matured(rows, "y", "p").mapInPandas(task, out)
 
 
-@query("n1_prediction_sets", f"""WITH {PREDICTIONS}, s AS (SELECT *, greatest(t + 86400000000, avail) AS mature, CASE WHEN y = 1 THEN 1 - p1 ELSE p1 END AS score FROM preds),
- j AS (SELECT x.match_id, x.sport, x.p1, z.score, row_number() OVER (PARTITION BY x.match_id ORDER BY z.t DESC, z.match_id DESC) AS rn FROM s x LEFT JOIN s z ON z.sport = x.sport AND z.mature < x.t),
- q AS (SELECT match_id, any_value(sport) AS sport, any_value(p1) AS p, count(score) AS n, list_sort(list(score) FILTER (WHERE score IS NOT NULL)) AS l FROM j WHERE rn <= 240 GROUP BY 1),
- z AS (SELECT *, l[least(n, CAST(ceil((n + 1) * 0.8) AS BIGINT))] AS q FROM q)
-SELECT sport, match_id, n, CASE WHEN n < 30 THEN 'ABSTAIN' WHEN (p >= 1 - q - 1e-12)::INT + (1 - p >= 1 - q - 1e-12)::INT = 1 THEN 'SINGLE' WHEN (p >= 1 - q - 1e-12)::INT + (1 - p >= 1 - q - 1e-12)::INT = 2 THEN 'SET' ELSE 'EMPTY' END AS kind FROM z""")
+SETS = f"""{PREDICTIONS}, s AS (SELECT *, greatest(t + 86400000000, avail) AS mature, CASE WHEN y = 1 THEN 1 - p1 ELSE p1 END AS score FROM preds),
+ j AS (SELECT x.match_id, x.sport, x.p1, x.y, z.score, row_number() OVER (PARTITION BY x.match_id ORDER BY z.t DESC, z.match_id DESC) AS rn FROM s x LEFT JOIN s z ON z.sport = x.sport AND z.mature <= x.t AND z.t < x.t),
+ q AS (SELECT match_id, any_value(sport) AS sport, any_value(p1) AS p, any_value(y) AS y, count(score) AS n, list_sort(list(score) FILTER (WHERE score IS NOT NULL)) AS l FROM j WHERE rn <= 240 GROUP BY 1),
+ z AS (SELECT *, l[least(n, CAST(ceil((n + 1) * 0.8) AS BIGINT))] AS q FROM q),
+ sets AS (SELECT sport, match_id, n, y, p, CASE WHEN n < 30 THEN 'ABSTAIN' WHEN (p >= 1 - q - 1e-12)::INT + (1 - p >= 1 - q - 1e-12)::INT = 1 THEN 'SINGLE' WHEN (p >= 1 - q - 1e-12)::INT + (1 - p >= 1 - q - 1e-12)::INT = 2 THEN 'SET' ELSE 'EMPTY' END AS kind FROM z)"""
+
+
+@query("n1_prediction_sets", f"WITH {SETS} SELECT sport, match_id, n, kind FROM sets")
 def n1(spark, sf):
-    x = predictions(spark, sf)
-    return prediction_sets(x.select("sport", "match_id", "t", F.greatest(F.col("t") + DAY, "avail").alias("mature"), "y", F.col("p1").alias("p")))
+    return prediction_sets(maturing(predictions(spark, sf)).withColumn("p", F.col("p1")))
 
 
 @query("n4_weighted_vote", f"WITH {PREDICTIONS}, v AS (SELECT match_id, 0.5 * (p1 >= 0.5)::INT + 0.3 * (p2 >= 0.5)::INT + 0.2 * (p3 >= 0.5)::INT AS b FROM preds) SELECT match_id, CASE WHEN 1 - b >= 0.4 AND b >= 0.4 THEN 'A,B' WHEN b >= 0.4 THEN 'B' ELSE 'A' END AS voted FROM v".replace("0.5 * (p1", "0.5::DOUBLE * (p1"))
@@ -224,48 +220,6 @@ def n5(spark, sf):
     return b.groupBy("sport", "block").agg(r6(F.avg("hit")).alias("coverage"))
 
 
-@query("j20_knn", "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT q.vec_id AS query_id, e.vec_id, round(sqrt(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))) / 64), 6) AS distance FROM q JOIN embeddings e ON e.vec_id <> q.vec_id) SELECT query_id, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rn FROM d) WHERE rn <= 5")
-def j20(spark, sf):
-    """Nearest vectors by root mean square distance of every hundredth vector: the stated query set is joined in blocks to all rows, and each task keeps its k best before the merge."""
-    import numpy as np
-
-    k, block = 5, 256
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding").where("embedding IS NOT NULL")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.floor(F.col("vec_id") / (100 * block)).alias("b"))
-    blocks = q.groupBy("b").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    place = F.pmod(F.xxhash64("vec_id"), F.lit(int(parts)))
-    sides = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(int(parts) - 1))).alias("s"), F.lit(0).alias("kind"), "qs", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<float>").alias("v"))
-    rows = e.select(place.cast("int").alias("s"), F.lit(1).alias("kind"), F.lit(None).cast(sides.schema["qs"].dataType).alias("qs"), "vec_id", F.col("embedding").alias("v"))
-    out = "query_id long, vec_id long, distance double"
-
-    def task(frames):
-        key, ids, mat = None, [], None
-        for f in frames:
-            got = []
-            for s in f.s.unique():
-                g = f[f.s == s]
-                if s != key:
-                    key, ids, mat = s, [], None
-                for qs in g[g.kind == 0].qs:
-                    ids += [x["query_id"] for x in qs]
-                    m = np.stack([np.asarray(x["q"], np.float64) for x in qs])
-                    mat = m if mat is None else np.concatenate([mat, m])
-                c = g[g.kind == 1]
-                if mat is None or not len(c):
-                    continue
-                v, vid = np.stack([np.asarray(x, np.float64) for x in c.v]), c.vec_id.to_numpy().astype(np.int64)
-                for i in range(len(ids)):
-                    d = np.round(np.sqrt(((v - mat[i]) ** 2).mean(1)), 6)
-                    near = np.lexsort((vid, d))[: k + 1]
-                    got += [(ids[i], int(vid[j]), float(d[j])) for j in near if vid[j] != ids[i]][:k]
-            yield pd.DataFrame(got, columns=["query_id", "vec_id", "distance"])
-
-    both = sides.unionByName(rows).repartition(int(parts), "s").sortWithinPartitions("s", "kind")
-    best = both.mapInPandas(task, out).withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id")))
-    return best.where(F.col("rn") <= k).drop("rn")
-
-
 @query("r1_router_context", f"WITH {PREDICTIONS}, m AS (SELECT sport, median(p1) AS m FROM preds GROUP BY 1), d AS (SELECT p.sport, m, median(abs(p1 - m)) AS mad FROM preds p JOIN m USING (sport) GROUP BY 1, 2) SELECT match_id, round(abs(p1 - m) / greatest(1.4826 * mad, 1e-6), 5) AS z, round(ln(1 + count(*) OVER (PARTITION BY sport)), 6) AS log_n FROM preds JOIN d USING (sport)")
 def r1(spark, sf):
     x = predictions(spark, sf)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import heapq
+import bisect
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..sources.roles import DAY, HOUR, MATCHES, MIN, OBS, TARGETS, matches, observations, table, targets
+from ..sources.roles import DAY, HOUR, KNOWN, MATCHES, MIN, OBS, TARGETS, admitted_results, matches, observations, table, targets
 
 
 def asof_join(probes: DataFrame, builds: DataFrame, keys: list[str], probe_time: str, build_time: str, values: list[str]) -> DataFrame:
@@ -25,40 +25,67 @@ def asof_join(probes: DataFrame, builds: DataFrame, keys: list[str], probe_time:
     return both.select("_probe.*", F.col(f"_last.{build_time}").alias(f"last_{build_time}"), *(F.col(f"_last.{v}").alias(f"last_{v}") for v in values))
 
 
+class Newest:
+    """The newest values of one key that a later probe may ask for.
+
+    A probe asks for the `most` newest values before its time. Every later probe's time is at least `low`,
+    so of the values before `low` the `most` newest are kept, and of the others all.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.old, self.young = most, [], []  # both sorted by (time, id)
+
+    def add(self, t: int, i: int, value: float) -> None:
+        bisect.insort(self.young, (t, i, value))
+
+    def settle(self, low: int) -> None:
+        k = bisect.bisect_left(self.young, (low,))
+        if k:
+            self.old = sorted(self.old + self.young[:k])[-self.most :]
+            del self.young[:k]
+
+    def before(self, t: int) -> list[float]:
+        k = bisect.bisect_left(self.young, (t,))
+        return [v for *_, v in (self.old + self.young[:k])[-self.most :]] if k else [v for *_, v in self.old]
+
+
 def bounded_history(probes: DataFrame, obs: DataFrame, most: int = 20) -> DataFrame:
     """n, mean, last, std and trend of the `most` newest values per (probe, stat) that were known at the cutoff.
 
-    probes(event_id, pid, t, cutoff), obs(pid, stat, value, t, avail). A value counts if its time is before
-    the probe's and it was effective and available at the cutoff. Keys are streamed in the order in which
-    values become known; a task holds the `most` newest values of one (pid, stat). A probe meets the
-    stats that its participant has at all. One value: std and trend are 0.
+    probes(event_id, pid, t, cutoff), obs(event_id, pid, stat, value, t, avail). A value counts if its time
+    is before the probe's and it was effective and available at the cutoff, which may be before or after
+    the probe's time; of values of one time the larger event_id is the newer. Keys are streamed in the
+    order in which values become known, with the state of `Newest`. A probe meets the stats that its
+    participant has at all. One value: std and trend are 0.
     """
     stats = obs.select("pid", "stat").distinct()
     known = F.greatest("t", "avail")
     p = probes.join(stats, "pid").select("pid", "stat", F.col("cutoff").alias("at"), F.lit(1).alias("kind"), "event_id", F.col("t"), F.lit(None).cast("double").alias("value"))
-    o = obs.select("pid", "stat", known.alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("event_id"), "t", "value")
+    o = obs.select("pid", "stat", known.alias("at"), F.lit(0).alias("kind"), "event_id", "t", "value")
     out = "event_id long, pid long, stat string, n long, mean double, last double, std double, trend double"
 
     def task(frames):
-        key, held = None, []
+        key, held = None, Newest(most)
         for f in frames:
             rows = []
-            for pid, stat, kind, event_id, t, value in zip(f.pid, f.stat, f.kind, f.event_id, f.t, f.value, strict=True):
+            for pid, stat, kind, event_id, t, value, low in zip(f.pid, f.stat, f.kind, f.event_id, f.t, f.value, f.low, strict=True):
                 if (pid, stat) != key:
-                    key, held = (pid, stat), []
+                    key, held = (pid, stat), Newest(most)
+                if low is None or low != low:
+                    continue  # no later probe
                 if kind == 0:
-                    heapq.heappush(held, (t, value))
-                    if len(held) > most:
-                        heapq.heappop(held)
+                    held.add(t, event_id, value)
+                    held.settle(low)
                 else:
-                    v = [x for s, x in sorted(held) if s < t]
-                    if v:
+                    held.settle(low)
+                    if v := held.before(t):
                         n, m = len(v), sum(v) / len(v)
                         rows.append((int(event_id), pid, stat, n, m, v[-1], (sum((x - m) ** 2 for x in v) / n) ** 0.5 if n > 1 else 0.0, v[-1] - v[0] if n > 1 else 0.0))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in out.split(", ")])
 
-    both = p.unionByName(o).repartition("pid", "stat").sortWithinPartitions("pid", "stat", "at", "kind", "t", "value")
-    return both.mapInPandas(task, out)
+    w = Window.partitionBy("pid", "stat").orderBy(F.desc("at"), F.desc("kind")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    both = p.unionByName(o).withColumn("low", F.min(F.when(F.col("kind") == 1, F.col("t"))).over(w))
+    return both.sortWithinPartitions("pid", "stat", "at", "kind", "t", "event_id").mapInPandas(task, out)
 
 
 @query("j10_bounded_history", f"""WITH {TARGETS}, h AS (SELECT x.event_id, x.pid, o.stat, o.value, row_number() OVER (PARTITION BY x.event_id, o.stat ORDER BY o.t DESC, o.event_id DESC) AS rn
@@ -236,11 +263,12 @@ def j22(spark, sf):
     return matches(spark, sf).join(base, "match_id").select("match_id", "sport")
 
 
-@query("j23_name_pairs", f"WITH {MATCHES} SELECT x.match_id AS first, y.match_id AS second FROM matches x JOIN matches y ON x.a = y.a AND x.b = y.b AND x.match_id < y.match_id")
+@query("j23_name_pairs", f"WITH {MATCHES} SELECT x.match_id, y.first, y.n FROM matches x JOIN (SELECT a, b, min(match_id) AS first, count(*) AS n FROM matches GROUP BY 1, 2) y ON x.a = y.a AND x.b = y.b WHERE y.n > 1")
 def j23(spark, sf):
+    """Matches whose ordered pair of names occurs again, each with the first of them: the pairs of a name pair without writing them all."""
     m = matches(spark, sf)
-    x, y = m.select("a", "b", F.col("match_id").alias("first")), m.select("a", "b", F.col("match_id").alias("second"))
-    return x.join(y, ["a", "b"]).where("first < second").select("first", "second")
+    g = m.groupBy("a", "b").agg(F.min("match_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return m.join(g, ["a", "b"]).select("match_id", "first", "n")
 
 
 @query("j24_both_sides_covered", f"""WITH {MATCHES}, f AS (SELECT pid, min(avail) AS first_known FROM obs WHERE stat = 'view' GROUP BY 1)
@@ -264,20 +292,15 @@ def j25(spark, sf):
 
 
 def admitted(results: DataFrame, probes: DataFrame, keys: list[str]) -> DataFrame:
-    """How many results each probe may use: results(keys, t, id, realized) are admitted in (t, id) order, and the first not yet realized holds back all later ones.
-
-    The running maximum of `realized` makes the admitted set a prefix, whose length one union and sort finds.
-    """
-    w = Window.partitionBy(*keys).orderBy("t", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    m = results.withColumn("m", F.max("realized").over(w)).select(*keys, F.greatest("m", F.col("t") + 1 + HOUR).alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast("long").alias("probe"))
+    """How many of the results(keys, due) each of the probes(keys, id, cutoff) may use: they are admitted in the order of `due`, which one union and sort counts."""
+    m = results.select(*keys, F.col("due").alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast("long").alias("probe"))
     p = probes.select(*keys, F.col("cutoff").alias("_t"), F.lit(1).alias("_k"), F.col("id").alias("probe"))
     order = Window.partitionBy(*keys).orderBy("_t", "_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return m.unionByName(p).withColumn("n_admitted", F.count_if(F.col("_k") == 0).over(order)).where("_k = 1").select(F.col("probe").alias("id"), "n_admitted")
 
 
-@query("w21_head_of_line", f"""WITH {MATCHES}, r AS (SELECT sport, match_id, t, greatest(t + 86400000000, avail) AS realized FROM matches), m AS (SELECT *, max(realized) OVER (PARTITION BY sport ORDER BY t, match_id) AS m FROM r)
-SELECT x.match_id AS id, (SELECT count(*) FROM m WHERE m.sport = x.sport AND m.m <= x.t - 3600000000 AND m.t < x.t) AS n_admitted FROM matches x""")
+@query("w21_head_of_line", f"""WITH {KNOWN}
+SELECT x.match_id AS id, (SELECT count(*) FROM known k WHERE k.sport = x.sport AND k.due <= x.t - 3600000000) AS n_admitted FROM matches x""")
 def w21(spark, sf):
-    m = matches(spark, sf).withColumn("realized", F.greatest(F.col("t") + DAY, "avail"))
-    r = m.select("sport", "t", F.col("match_id").alias("id"), "realized")
-    return admitted(r, m.select("sport", F.col("match_id").alias("id"), (F.col("t") - HOUR).alias("cutoff")), ["sport"])
+    m = matches(spark, sf)
+    return admitted(admitted_results(m), m.select("sport", F.col("match_id").alias("id"), (F.col("t") - HOUR).alias("cutoff")), ["sport"])

@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..sources.roles import DAY, MIN, PREDICTIONS, matches, observations, predictions
-from .evaluation import prediction_sets
+from ..sources.roles import MIN, PREDICTIONS, matches, observations, predictions
+from .evaluation import SETS, prediction_sets
 from .predicates import brier, r6
+from .sequential import maturing, overlapping, weighted_replicates
 from .windows import LOSSES, by_seq, losses
 
 
@@ -31,11 +32,12 @@ def a13(spark, sf):
     return r.groupBy("sport", "a").agg(F.count("*").alias("n"), r6(F.avg("p1")).alias("mean"), r6(last).alias("last"), r6(F.when(F.count("*") > 1, F.stddev_pop("p1")).otherwise(0.0)).alias("std"), r6(last - first).alias("trend"))
 
 
-@query("n2_set_metrics")
+@query("n2_set_metrics", f"""WITH {SETS}, h AS (SELECT sport, kind, CASE kind WHEN 'SET' THEN 1 WHEN 'SINGLE' THEN CAST((p >= 0.5) = (y = 1) AS INTEGER) ELSE 0 END AS hit, CASE kind WHEN 'SET' THEN 2 WHEN 'SINGLE' THEN 1 ELSE 0 END AS size FROM sets)
+SELECT sport, round(avg(hit) FILTER (WHERE kind <> 'ABSTAIN'), 6) AS coverage, round(avg(size) FILTER (WHERE kind <> 'ABSTAIN'), 6) AS mean_size, round(avg(CAST(kind = 'ABSTAIN' AS INTEGER)), 6) AS abstained FROM h GROUP BY 1""")
 def n2(spark, sf):
     """Coverage of the sets on rows with a threshold, their mean size, and the share of abstentions."""
-    x = predictions(spark, sf)
-    s = prediction_sets(x.select("sport", "match_id", "t", F.greatest(F.col("t") + DAY, "avail").alias("mature"), "y", F.col("p1").alias("p"))).join(x.select("match_id", "y", "p1"), "match_id")
+    x = maturing(predictions(spark, sf)).withColumn("p", F.col("p1"))
+    s = prediction_sets(x).join(x.select("match_id", "y", "p1"), "match_id")
     hit = F.when(F.col("kind") == "SET", 1).when(F.col("kind") == "SINGLE", ((F.col("p1") >= 0.5) == (F.col("y") == 1)).cast("int")).otherwise(0)
     size = F.when(F.col("kind") == "SET", 2).when(F.col("kind") == "SINGLE", 1).otherwise(0)
     on = F.col("kind") != "ABSTAIN"
@@ -59,26 +61,30 @@ def r8(spark, sf):
     return losses(spark, sf).select("match_id", r6(best).alias("best"), r6((a + b + c) / 3 - best).alias("value"), F.when((a <= b) & (a <= c), 1).when(b <= c, 2).otherwise(3).alias("expert"))
 
 
-@query("r9_retrieval_features")
+@query("r9_retrieval_features", f"""WITH {PREDICTIONS}, j AS (SELECT x.sport, x.match_id, z.seq, z.y, x.p1 - z.p1 AS d1, x.p2 - z.p2 AS d2, x.p3 - z.p3 AS d3, z.p1 AS z1, z.p2 AS z2, z.p3 AS z3 FROM preds x JOIN preds z ON z.sport = x.sport AND z.seq < x.seq AND z.seq >= x.seq - 120),
+ k AS (SELECT *, count(*) OVER w AS n, {", ".join(f"greatest(stddev_pop(z{i}) OVER w, 1e-6) AS s{i}" for i in (1, 2, 3))} FROM j WINDOW w AS (PARTITION BY match_id)),
+ r AS (SELECT sport, match_id, y, row_number() OVER (PARTITION BY match_id ORDER BY round(sqrt((pow(d1 / s1, 2) + pow(d2 / s2, 2) + pow(d3 / s3, 2)) / 3), 9), seq) AS nr FROM k WHERE n >= 20)
+SELECT sport, match_id, round(avg(y), 6) AS mean, round(stddev_pop(y), 6) AS std FROM r WHERE nr <= 5 GROUP BY 1, 2""")
 def r9(spark, sf):
-    """Mean and spread of the outcomes of the 5 nearest of the 120 rows before (models' probabilities, scaled by those rows); rows stream with 120 in memory."""
+    """Mean and spread of the outcomes of the 5 nearest of the 120 rows before (models' probabilities, scaled by those rows); parts of a sport run in parallel, each led by 120 rows."""
 
     def task(frames):
-        sport, past = None, []
+        key, past = None, []
         for f in frames:
             rows = []
-            for s, i, y, p in zip(f.sport, f.match_id, f.y, f[["p1", "p2", "p3"]].to_numpy(), strict=True):
-                if s != sport:
-                    sport, past = s, []
-                if len(past) >= 20:
+            for s, part, own, i, y, p in zip(f.sport, f.part, f.own, f.match_id, f.y, f[["p1", "p2", "p3"]].to_numpy(), strict=True):
+                if (s, part) != key:
+                    key, past = (s, part), []
+                if own and len(past) >= 20:
                     x = np.array([v for v, _ in past])
-                    d = np.sqrt((((x - p) / np.maximum(x.std(0), 1e-6)) ** 2).mean(1))
+                    d = np.round(np.sqrt((((x - p) / np.maximum(x.std(0), 1e-6)) ** 2).mean(1)), 9)
                     near = np.array([past[j][1] for j in np.argsort(d, kind="stable")[:5]])
                     rows.append((s, i, float(near.mean()), float(near.std())))
                 past = [*past[-119:], (p, y)]
             yield pd.DataFrame(rows, columns=["sport", "match_id", "mean", "std"])
 
-    x = predictions(spark, sf).select("sport", "seq", "match_id", "y", "p1", "p2", "p3").repartition("sport").sortWithinPartitions("sport", "seq")
+    x = overlapping(predictions(spark, sf).select("sport", "seq", "match_id", "y", "p1", "p2", "p3"), 5000, 120)
+    x = x.repartition("sport", "part").sortWithinPartitions("sport", "part", "seq")
     return x.mapInPandas(task, "sport string, match_id long, mean double, std double").select("sport", "match_id", r6("mean").alias("mean"), r6("std").alias("std"))
 
 
@@ -112,16 +118,10 @@ def v12(spark, sf):
 
 @query("b2_cluster_bootstrap")
 def b2(spark, sf):
-    """Bootstrap by participant: clusters are summed in Spark; a participant's Poisson weights come from its id, so replicates are sums and need no gathering."""
+    """Bootstrap by participant: clusters are summed in Spark, then weighted."""
     d = losses(spark, sf).groupBy("a").agg(F.sum(F.col("l1") - F.col("l3")).alias("s"), F.count("*").alias("n"))
-
-    def task(frames):
-        for f in frames:
-            w = np.stack([np.random.default_rng(int(a)).poisson(1, 200) for a in f.a]) if len(f) else np.zeros((0, 200))
-            yield pd.DataFrame({"replicate": np.arange(200), "s": f.s.to_numpy() @ w, "n": (f.n.to_numpy() @ w).astype(float)})
-
-    r = d.mapInPandas(task, "replicate long, s double, n double").groupBy("replicate").agg((F.sum("s") / F.sum("n")).alias("m"))
-    return r.agg(*(F.round(F.percentile("m", F.lit(q)), 4).alias(c) for q, c in ((0.025, "low"), (0.5, "mid"), (0.975, "high"))))
+    r = weighted_replicates(d.select(F.lit("all").alias("whole"), F.col("a").alias("block"), "s", "n"), "whole", F.lit(1.0), 200, 5)
+    return r.agg(*(F.round(F.percentile("value", F.lit(q)), 4).alias(c) for q, c in ((0.025, "low"), (0.5, "mid"), (0.975, "high"))))
 
 
 @query("d2x_uncertainty_worlds", None)

@@ -2,43 +2,50 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..sources.roles import DAY, PREDICTIONS, matches, predictions
+from ..sources.roles import DAY, HOUR, PREDICTIONS, admitted_results, matches, predictions
 from .predicates import r6
 from .windows import by_seq, losses
 
 START, SCALE = 1500.0, 400.0
 
 
-def elo(results: DataFrame, key: list[str], k: float = 24.0) -> DataFrame:
-    """Ratings of both sides before each match. results(*key, t, match_id, a, b, outcome) are folded in (t, match_id) order per key.
+def elo(m: DataFrame, key: list[str], k: float = 24.0) -> DataFrame:
+    """Ratings of both sides of each match(*key, t, match_id, a, b, outcome, avail), from the results admitted at its cutoff.
 
-    The fold is sequential within a key; its state is one number per participant. Rows stream through the
-    task, so memory is bounded by the participants of one key, and keys run in parallel.
+    Results and matches stream in the order of `due` and cutoff; the fold is sequential within a key, its
+    state one number per participant, and keys run in parallel. Draws and matches of a participant with
+    itself change nothing.
     """
-    out = ", ".join(f"{c} {results.schema[c].dataType.simpleString()}" for c in key) + ", match_id long, elo_a double, elo_b double"
+    names = [*key, "match_id", "a", "b"]
+    results = admitted_results(m).select(*names, F.col("due").alias("at"), F.lit(0).alias("kind"), "t", (F.col("outcome") == "A").cast("int").alias("won"))
+    probes = m.select(*names, (F.col("t") - HOUR).alias("at"), F.lit(1).alias("kind"), "t", F.lit(None).cast("int").alias("won"))
+    out = ", ".join(f"{c} {m.schema[c].dataType.simpleString()}" for c in key) + ", match_id long, elo_a double, elo_b double"
 
     def task(frames):
         now, rating = None, {}
         for f in frames:
             rows = []
-            for *k_, i, a, b, o in zip(*(f[c] for c in key), f.match_id, f.a, f.b, f.outcome, strict=True):
+            for *k_, i, a, b, kind, won in zip(*(f[c] for c in names), f.kind, f.won, strict=True):
                 if k_ != now:
                     now, rating = k_, {}
                 ra, rb = rating.get(a, START), rating.get(b, START)
-                rows.append((*k_, i, ra, rb))
-                if o in ("A", "B") and a != b:
-                    change = k * ((o == "A") - 1 / (1 + 10 ** ((rb - ra) / SCALE)))
+                if kind == 1:
+                    rows.append((*k_, i, ra, rb))
+                else:
+                    change = k * (won - 1 / (1 + 10 ** ((rb - ra) / SCALE)))
                     rating[a], rating[b] = ra + change, rb - change
             yield pd.DataFrame(rows, columns=[*key, "match_id", "elo_a", "elo_b"])
 
-    rows = results.select(*key, "t", "match_id", "a", "b", "outcome").repartition(*key).sortWithinPartitions(*key, "t", "match_id")
-    return rows.mapInPandas(task, out)
+    both = results.unionByName(probes).repartition(*key).sortWithinPartitions(*key, "at", "kind", "t", "match_id")
+    return both.mapInPandas(task, out)
 
 
 @query("q1_elo_fold")
@@ -51,49 +58,276 @@ def q2(spark, sf):
     """Fast, slow and competition-keyed ratings; momentum is fast minus slow."""
     m = matches(spark, sf).withColumn("competition", F.concat_ws("/", "sport", F.floor(F.col("t") / (7 * DAY))))
     fast, slow = (elo(m, ["sport"], k).select("match_id", F.col("elo_a").alias(n)) for k, n in ((36.0, "fast"), (12.0, "slow")))
-    own = elo(m, ["competition"]).select("match_id", F.col("elo_a").alias("own"))
+    own = elo(m, ["sport", "competition"]).select("match_id", F.col("elo_a").alias("own"))
     return fast.join(slow, "match_id").join(own, "match_id").select("match_id", *(r6(c).alias(c) for c in ("fast", "slow", "own")), r6(F.col("fast") - F.col("slow")).alias("momentum"))
 
 
 @query("q3_opponent_rating")
 def q3(spark, sf):
+    """The opponent's rating before each match, by participant."""
     e = elo(matches(spark, sf), ["sport"]).join(matches(spark, sf).select("match_id", "a", "b"), "match_id")
     return e.select("match_id", F.expr("stack(2, a, elo_b, b, elo_a) AS (pid, opponent)")).withColumn("opponent", r6("opponent"))
 
 
-@query("q8_online_experts")
+def matured(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows(sport, match_id, t, mature, ...) as a stream per sport: a row's label (kind 0) comes when it's mature, its prediction (kind 1) at t.
+
+    A label that is mature at another row's time may be used there, unless the two have the same time.
+    """
+    use = ("sport", "match_id", "t", *columns)
+    label = rows.select(*use, F.greatest("mature", F.col("t") + 1).alias("at"), F.lit(0).alias("kind"))
+    ask = rows.select(*use, F.col("t").alias("at"), F.lit(1).alias("kind"))
+    return label.unionByName(ask).repartition("sport").sortWithinPartitions("sport", "at", "kind", "t", "match_id")
+
+
+def maturing(x: DataFrame) -> DataFrame:
+    """The prediction matrix with the time at which a row's label is known: a day later, or with its source."""
+    return x.withColumn("mature", F.greatest(F.col("t") + DAY, "avail"))
+
+
+class Pool:
+    """The `last` newest rows (by time and id) among those that have matured."""
+
+    def __init__(self, last: int):
+        self.last, self.rows = last, []
+
+    def add(self, t: int, i: int, *values) -> None:
+        heapq.heappush(self.rows, (t, i, *values))
+        if len(self.rows) > self.last:
+            heapq.heappop(self.rows)
+
+
+def online_experts(rows: DataFrame, rate: float = 0.05, least: int = 30, vote: float = 0.5, floor: float = 1e-12) -> DataFrame:
+    """Weighted votes of prediction sets, whose weights follow what has matured.
+
+    rows(sport, match_id, t, mature, y, sets): sets holds for each model the labels (0, 1) of its set. Each
+    row is voted on with the weights so far; a label is in the voted set if the models that hold it weigh
+    `vote` or more. Then, if `least` labels have matured, each model's weight is multiplied by
+    exp(rate * (its share of matured sets that held the outcome - the best share)); no weight falls below
+    `floor`. A sport is one fold, whose state is a count and a sum per model.
+    """
+
+    def task(frames):
+        sport = None
+        for f in frames:
+            out = []
+            for s, i, kind, y, sets in zip(f.sport, f.match_id, f.kind, f.y, f.sets, strict=True):
+                held = np.array([[label in x for label in (0, 1)] for x in sets])
+                if s != sport:
+                    sport, n, right, w = s, 0, np.zeros(len(sets)), np.full(len(sets), 1 / len(sets))
+                if kind == 0:
+                    n, right = n + 1, right + held[:, int(y)]
+                    continue
+                inside = np.round(w @ held, 9) >= vote
+                out.append((s, i, n, [k for k in (0, 1) if inside[k]], w.tolist()))
+                if n >= max(least, 1):
+                    gain = right / n
+                    w = np.maximum(w * np.exp(np.clip(rate * (gain - gain.max()), -50, 50)), floor)
+                    w = w / w.sum()
+            yield pd.DataFrame(out, columns=["sport", "match_id", "n", "voted", "w"])
+
+    return matured(rows, "y", "sets").mapInPandas(task, "sport string, match_id long, n long, voted array<int>, w array<double>")
+
+
+def label_sets(width: float = 0.35) -> Column:
+    """Each model's set: the labels that it gives at least `width`."""
+    one = lambda p: F.array_compact(F.array(F.when(1 - p >= width, 0), F.when(p >= width, 1)))
+    return F.array(*(one(F.col(f"p{i}")) for i in (1, 2, 3)))
+
+
+@query("q8_online_experts", f"""WITH {PREDICTIONS}, s AS (SELECT *, greatest(t + 86400000000, avail) AS mature FROM preds),
+ h AS (SELECT *, {", ".join(f"CAST(CASE WHEN y = 1 THEN p{i} ELSE 1 - p{i} END >= 0.35 AS INTEGER) AS h{i}" for i in (1, 2, 3))} FROM s),
+ g AS (SELECT x.sport, x.match_id, x.seq, count(z.match_id) AS n, {", ".join(f"avg(z.h{i}) AS g{i}" for i in (1, 2, 3))} FROM h x LEFT JOIN h z ON z.sport = x.sport AND z.mature <= x.t AND z.t < x.t GROUP BY 1, 2, 3),
+ u AS (SELECT *, {", ".join(f"CASE WHEN n >= 30 THEN 0.05 * (g{i} - greatest(g1, g2, g3)) ELSE 0 END AS u{i}" for i in (1, 2, 3))} FROM g),
+ c AS (SELECT sport, match_id, n, {", ".join(f"exp(coalesce(sum(u{i}) OVER w, 0)) AS e{i}" for i in (1, 2, 3))} FROM u WINDOW w AS (PARTITION BY sport ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT sport, match_id, n, {", ".join(f"round(e{i} / (e1 + e2 + e3), 5) AS w{i}" for i in (1, 2, 3))} FROM c""")
 def q8(spark, sf):
-    """Weights of three models, multiplied by exp(-rate * loss) after each row; the prediction uses the weights before it."""
+    x = maturing(predictions(spark, sf)).withColumn("sets", label_sets())
+    return online_experts(x).select("sport", "match_id", "n", *(F.round(F.col("w")[i - 1], 5).alias(f"w{i}") for i in (1, 2, 3)))
+
+
+def local_sets(rows: DataFrame, alpha: float = 0.1, least: int = 30, last: int = 200, k: int = 30) -> DataFrame:
+    """Conformal sets from a row's neighbours: of the `last` newest matured rows the `k` nearest, by root mean square distance of x scaled to that pool, give p-values.
+
+    rows(sport, match_id, t, mature, y, p, x): p is P(1), x an array of features. A sport is one fold with
+    a pool of bounded size. Of equal distances the older row is nearer. Fewer than `least` rows: ABSTAIN.
+    """
+    out = "sport string, match_id long, pool long, nearest double, p0 double, p1 double, kind string"
 
     def task(frames):
-        sport, w = None, np.ones(3)
+        sport, pool = None, Pool(last)
         for f in frames:
-            rows = []
-            for s, i, p, loss in zip(f.sport, f.match_id, f[["p1", "p2", "p3"]].to_numpy(), f[["l1", "l2", "l3"]].to_numpy(), strict=True):
+            got = []
+            for s, i, t, kind, y, p, x in zip(f.sport, f.match_id, f.t, f.kind, f.y, f.p, f.x, strict=True):
+                if s != sport:
+                    sport, pool = s, Pool(last)
+                if kind == 0:
+                    pool.add(t, i, 1 - p if y == 1 else p, np.asarray(x, float))
+                    continue
+                n = len(pool.rows)
+                if n < least:
+                    got.append((s, i, n, None, None, None, "ABSTAIN"))
+                    continue
+                held = sorted(pool.rows, key=lambda r: r[:2])
+                z = np.stack([r[3] for r in held])
+                std = z.std(axis=0)
+                std[~(std > 1e-9)] = 1.0
+                d = np.round(np.sqrt((((z - np.asarray(x, float)) / std) ** 2).mean(axis=1)), 9)
+                near = np.argsort(d, kind="stable")[:k]
+                score = np.array([held[j][2] for j in near])
+                pv = [float(1 + (score >= v - 1e-12).sum()) / (len(near) + 1) for v in (p, 1 - p)]  # a label's score is 1 less its probability
+                size = sum(v > alpha for v in pv)
+                got.append((s, i, n, float(d[near[0]]), *pv, ("ABSTAIN", "SINGLE", "SET")[size]))
+            yield pd.DataFrame(got, columns=[c.split()[0] for c in out.split(", ")])
+
+    return matured(rows, "y", "p", "x").mapInPandas(task, out)
+
+
+@query("n3_local_sets", f"""WITH {PREDICTIONS}, s AS (SELECT *, greatest(t + 86400000000, avail) AS mature, CASE WHEN y = 1 THEN 1 - p1 ELSE p1 END AS score FROM preds),
+ j AS (SELECT x.sport, x.match_id, x.p1 AS p, z.t AS zt, z.match_id AS zi, z.score, x.p1 - z.p1 AS d1, x.p2 - z.p2 AS d2, x.p3 - z.p3 AS d3, z.p1 AS z1, z.p2 AS z2, z.p3 AS z3,
+   row_number() OVER (PARTITION BY x.match_id ORDER BY z.t DESC, z.match_id DESC) AS rn FROM s x LEFT JOIN s z ON z.sport = x.sport AND z.mature <= x.t AND z.t < x.t),
+ k AS (SELECT *, count(score) OVER w AS n, {", ".join(f"CASE WHEN stddev_pop(z{i}) OVER w > 1e-9 THEN stddev_pop(z{i}) OVER w ELSE 1 END AS s{i}" for i in (1, 2, 3))} FROM j WHERE rn <= 200 WINDOW w AS (PARTITION BY match_id)),
+ d AS (SELECT *, round(sqrt((pow(d1 / s1, 2) + pow(d2 / s2, 2) + pow(d3 / s3, 2)) / 3), 9) AS d FROM k),
+ r AS (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY d, zt, zi) AS nr FROM d),
+ v AS (SELECT sport, match_id, any_value(n) AS n, min(d) AS d, (1 + count(*) FILTER (WHERE score >= p - 1e-12)) / (count(*) + 1) AS p0, (1 + count(*) FILTER (WHERE score >= 1 - p - 1e-12)) / (count(*) + 1) AS p1 FROM r WHERE nr <= 30 GROUP BY 1, 2)
+SELECT sport, match_id, n AS pool, CASE WHEN n >= 30 THEN round(d, 6) END AS nearest, CASE WHEN n >= 30 THEN round(p0, 6) END AS p0, CASE WHEN n >= 30 THEN round(p1, 6) END AS p1,
+ CASE WHEN n < 30 OR (p0 <= 0.1 AND p1 <= 0.1) THEN 'ABSTAIN' WHEN p0 > 0.1 AND p1 > 0.1 THEN 'SET' ELSE 'SINGLE' END AS kind FROM v""")
+def n3(spark, sf):
+    x = maturing(predictions(spark, sf)).withColumn("x", F.array("p1", "p2", "p3")).withColumn("p", F.col("p1"))
+    return local_sets(x).select("sport", "match_id", "pool", r6("nearest").alias("nearest"), r6("p0").alias("p0"), r6("p1").alias("p1"), "kind")
+
+
+def platt(x: np.ndarray, y: np.ndarray, used: np.ndarray, steps: int = 25) -> tuple[np.ndarray, np.ndarray]:
+    """Slope and intercept of a logistic fit for each row of x and y (only where used), with half the square of the slope added to the loss; Newton's method on all rows at once."""
+    a, b = np.zeros(len(x)), np.zeros(len(x))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a[:, None] * x + b[:, None], -35, 35)))
+        e, v = np.where(used, p - y, 0), np.where(used, p * (1 - p), 0) + np.where(used, 1e-12, 0)
+        ga, gb = (e * x).sum(1) + a, e.sum(1)
+        haa, hab, hbb = (v * x * x).sum(1) + 1, (v * x).sum(1), np.maximum(v.sum(1), 1e-12)
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        step = np.minimum(1, 4 / np.maximum(np.abs(da) + np.abs(db), 1e-12))
+        a, b = a - step * da, b - step * db
+    return a, b
+
+
+def overlapping(rows: DataFrame, size: int, overlap: int) -> DataFrame:
+    """rows(sport, seq) cut into parts of `size` rows, each led by the `overlap` rows before it (own is false), so that trailing windows run in parallel."""
+    part = F.floor((F.col("seq") - 1) / size)
+    after = F.when((F.col("seq") - 1) % size >= size - overlap, part + 1)
+    return rows.withColumn("part", F.explode(F.array_compact(F.array(part, after)))).withColumn("own", F.col("part") == part)
+
+
+def trailing_platt(rows: DataFrame, window: int = 80, least: int = 30) -> DataFrame:
+    """p of each row, refitted on the logits and outcomes of up to `window` earlier rows, `least` of them and both outcomes at least; else p as it is. rows(sport, seq, match_id, y, p)."""
+    q = F.greatest(F.least("p", F.lit(1 - 1e-6)), F.lit(1e-6))
+    x = overlapping(rows.withColumn("x", F.ln(q / (1 - q))), 5000, window)
+    w = Window.partitionBy("sport", "part").orderBy("seq").rowsBetween(-window, -1)
+    x = x.withColumn("past", F.collect_list(F.struct("x", "y")).over(w)).where("own")
+
+    def task(frames):
+        for f in frames:
+            n = np.array([len(v) for v in f.past])
+            past = np.zeros((len(f), window, 2))
+            for i, v in enumerate(f.past):
+                if len(v):
+                    past[i, : n[i]] = [(r["x"], r["y"]) for r in v]
+            used = np.arange(window) < n[:, None]
+            ones = (past[:, :, 1] * used).sum(1)
+            a, b = platt(past[:, :, 0], past[:, :, 1], used)
+            fit = (n >= least) & (ones > 0) & (ones < n)
+            p = np.where(fit, 1 / (1 + np.exp(-(a * f.x.to_numpy() + b))), f.p.to_numpy())
+            yield pd.DataFrame({"sport": f.sport, "match_id": f.match_id, "fitted": fit, "p": p})
+
+    return x.select("sport", "match_id", "x", "p", "past").mapInPandas(task, "sport string, match_id long, fitted boolean, p double")
+
+
+@query("q9_trailing_platt")
+def q9(spark, sf):
+    return trailing_platt(predictions(spark, sf).withColumn("p", F.col("p1"))).select("sport", "match_id", "fitted", F.round("p", 5).alias("p"))
+
+
+def frozen_calibration(rows: DataFrame, locked: float = 0.7, least: int = 120, last: int = 600) -> DataFrame:
+    """A raw score calibrated to the chance of being right, refitted on the `last` newest matured rows and frozen at the first of the locked rows.
+
+    rows(sport, match_id, seq, n, t, mature, x, right): the rows after the share `locked` of a sport's n
+    are locked, and their labels are never learnt from. With fewer than `least` rows or one outcome only
+    the calibrated value is (right + 1) / (rows + 2) of what has matured.
+    """
+    out = "sport string, match_id long, rows long, state string, p double"
+
+    def task(frames):
+        sport, pool, frozen = None, Pool(last), None
+        for f in frames:
+            got = []
+            for s, i, t, kind, x, right, lock in zip(f.sport, f.match_id, f.t, f.kind, f.x, f.right, f.locked, strict=True):
                 if s != sport:
-                    sport, w = s, np.full(3, 1 / 3)
-                rows.append((s, i, float(w @ p)))
-                w = np.maximum(w * np.exp(np.clip(-0.5 * (loss - loss.min()), -50, 50)), 1e-12)
-                w /= w.sum()
-            yield pd.DataFrame(rows, columns=["sport", "match_id", "p"])
+                    sport, pool, frozen = s, Pool(last), None
+                if kind == 0:
+                    if not lock:
+                        pool.add(t, i, x, right)
+                    continue
+                fit = frozen
+                if fit is None:
+                    n, ones = len(pool.rows), sum(r[3] for r in pool.rows)
+                    if n >= least and 0 < ones < n:
+                        v = np.array([r[2:] for r in pool.rows], float)
+                        a, b = platt(v[None, :, 0], v[None, :, 1], np.ones((1, n), bool))
+                        fit = (n, "FITTED", float(a[0]), float(b[0]))
+                    else:
+                        fit = (n, "PRIOR", 0.0, float(np.log((ones + 1) / (n - ones + 1))))
+                    frozen = fit if lock else None
+                got.append((s, i, fit[0], fit[1], float(1 / (1 + np.exp(-(fit[2] * x + fit[3]))))))
+            yield pd.DataFrame(got, columns=[c.split()[0] for c in out.split(", ")])
+
+    rows = rows.withColumn("locked", F.col("seq") > F.floor(F.col("n") * locked))
+    return matured(rows, "x", "right", "locked").mapInPandas(task, out)
+
+
+@query("q10_frozen_calibration")
+def q10(spark, sf):
+    x = maturing(predictions(spark, sf))
+    x = x.join(x.groupBy("sport").agg(F.count("*").alias("n")), "sport")
+    sure = F.abs(F.col("p1") - 0.5) * 2
+    rows = x.withColumn("x", sure).withColumn("right", ((F.col("p1") >= 0.5) == (F.col("y") == 1)).cast("int"))
+    return frozen_calibration(rows).select("sport", "match_id", "rows", "state", F.round("p", 5).alias("p"))
+
+
+def weighted_replicates(blocks: DataFrame, key: str, rate: Column, draws: int, seed: int) -> DataFrame:
+    """(key, replicate, value) of a bootstrap over blocks(key, block, s, n): each block gets a Poisson weight of the given rate in each replicate from a hash of its name, so replicates are sums and need no gathering."""
 
-    x = losses(spark, sf).repartition("sport").sortWithinPartitions("sport", "seq")
-    return x.mapInPandas(task, "sport string, match_id long, p double").withColumn("p", r6("p"))
+    def task(frames):
+        for f in frames:
+            for k, part in f.groupby(key):
+                w = np.stack([np.random.default_rng(int(h) & (2**63 - 1)).poisson(r, draws) for h, r in zip(part.h, part.rate, strict=True)])
+                yield pd.DataFrame({key: k, "replicate": np.arange(draws), "s": part.s.to_numpy() @ w, "n": part.n.to_numpy().astype(float) @ w})
+
+    rows = blocks.select(key, F.xxhash64(F.lit(seed), key, "block").alias("h"), rate.cast("double").alias("rate"), "s", "n")
+    g = rows.mapInPandas(task, f"{key} string, replicate int, s double, n double").groupBy(key, "replicate").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    return g.where("n > 0").select(key, "replicate", (F.col("s") / F.col("n")).alias("value"))
 
 
 @query("b1_block_bootstrap")
 def b1(spark, sf):
-    """Seeded bootstrap of the mean loss difference: blocks of 50 rows are pre-aggregated, and each replicate draws blocks."""
+    """Seeded bootstrap of the mean loss difference over blocks of 50 rows."""
     d = losses(spark, sf).groupBy("sport", F.floor((F.col("seq") - 1) / 50).alias("block")).agg(F.sum(F.col("l1") - F.col("l3")).alias("s"), F.count("*").alias("n"))
-
-    def task(key, g):
-        g = g.sort_values("block")
-        draw = np.random.default_rng(7).integers(0, len(g), (500, len(g)))
-        s, n = g.s.to_numpy(), g.n.to_numpy()
-        m = s[draw].sum(1) / n[draw].sum(1)
-        return pd.DataFrame({"sport": [key[0]], "mean": [round(s.sum() / n.sum(), 6)], "low": [round(np.quantile(m, 0.025), 6)], "high": [round(np.quantile(m, 0.975), 6)]})
-
-    return d.groupBy("sport").applyInPandas(task, "sport string, mean double, low double, high double")
+    mean = d.groupBy("sport").agg(r6(F.sum("s") / F.sum("n")).alias("mean"))
+    r = weighted_replicates(d, "sport", F.lit(1.0), 500, 7).groupBy("sport").agg(*(r6(F.percentile("value", F.lit(q))).alias(c) for q, c in ((0.025, "low"), (0.975, "high"))))
+    return mean.join(r, "sport")
+
+
+@query("b3_moving_blocks")
+def b3(spark, sf):
+    """90 % interval of the Brier difference of two models by a moving-block bootstrap: blocks of 12 rows start at every row, and as many are drawn as cover the sport."""
+    block = 12
+    x = overlapping(losses(spark, sf).withColumn("d", F.pow(F.col("p3") - F.col("y"), F.lit(2)) - F.pow(F.col("p1") - F.col("y"), F.lit(2))), 5000, block - 1)
+    w = Window.partitionBy("sport", "part").orderBy("seq").rowsBetween(1 - block, 0)
+    starts = x.withColumn("s", F.sum("d").over(w)).withColumn("n", F.count("*").over(w)).where(F.col("own") & (F.col("n") == block)).select("sport", F.col("seq").alias("block"), "s", "n")
+    size = starts.groupBy("sport").agg(F.count("*").alias("starts")).where(F.col("starts") >= 2 * block + 1)
+    rate = F.ceil((F.col("starts") + block - 1) / block) / F.col("starts")
+    r = weighted_replicates(starts.join(size, "sport"), "sport", rate, 300, 11)
+    return r.groupBy("sport").agg(F.round(F.avg("value"), 5).alias("mean"), *(F.round(F.percentile("value", F.lit(q)), 5).alias(c) for q, c in ((0.05, "low"), (0.95, "high"))))
 
 
 @query("d1x_simulated_worlds")

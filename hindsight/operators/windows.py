@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..sources.roles import DAY, HOUR, MATCHES, OBS, PREDICTIONS, TARGETS, matches, observations, predictions, table, targets
+from ..sources.roles import DAY, HOUR, KNOWN, MATCHES, OBS, PREDICTIONS, TARGETS, admitted_results, matches, observations, predictions, table, targets
 from .aggregates import LEDGER, SIDES, ledger, sides
+from .pit import asof_join
 from .predicates import r6
 
+
 def by_seq():
     return Window.partitionBy("sport").orderBy("seq")
 
@@ -31,22 +33,48 @@ def w2(spark, sf):
     return observations(spark, sf).withColumn("rn", F.row_number().over(w)).where("rn = 1").where("event_id % 3 = 0").select("pid", "stat", "event_id")
 
 
-@query("w3_running_form", f"""WITH {SIDES} SELECT match_id, side, pid, {', '.join(f"round(avg(won) OVER (PARTITION BY pid ORDER BY t, match_id, side ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), 6) AS form{n}" for n in (5, 10, 20))},
-  round(avg(won) OVER (PARTITION BY pid ORDER BY t, match_id, side ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) - avg(won) OVER (PARTITION BY pid ORDER BY t, match_id, side ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 6) AS delta FROM sides""")
+def result_sides(m: DataFrame) -> DataFrame:
+    """Both sides of each admitted result, with the time from which it may be used."""
+    return admitted_results(m).select("sport", "t", "match_id", "due", F.expr("stack(2, 'A', a, 'B', b) AS (side, pid)"), "outcome").withColumn("won", (F.col("outcome") == F.col("side")).cast("int"))
+
+
+def probe_sides(m: DataFrame) -> DataFrame:
+    return m.select("sport", "match_id", (F.col("t") - HOUR).alias("cutoff"), F.expr("stack(2, 'A', a, 'B', b) AS (side, pid)"))
+
+
+def running_form(m: DataFrame) -> DataFrame:
+    """Means of each side's last 5, 10 and 20 results admitted at the cutoff: they roll along the results, and each match takes those of the last one admitted."""
+    w = Window.partitionBy("sport", "pid").orderBy("t", "match_id")
+    form = lambda n: F.avg("won").over(w.rowsBetween(1 - n, 0)).alias(f"form{n}")
+    r = result_sides(m).select("sport", "pid", "due", "t", F.col("match_id").alias("result"), *map(form, (5, 10, 20)))
+    j = asof_join(probe_sides(m), r, ["sport", "pid"], "cutoff", "due", ["t", "result", "form5", "form10", "form20"])
+    return j.select("match_id", "side", "pid", *(F.col(f"last_form{n}").alias(f"form{n}") for n in (5, 10, 20)))
+
+
+@query("w3_running_form", f"""WITH {KNOWN}, f AS (SELECT match_id, side, any_value(pid) AS pid, avg(won) FILTER (WHERE rn <= 5) AS form5, avg(won) FILTER (WHERE rn <= 10) AS form10, avg(won) FILTER (WHERE rn <= 20) AS form20 FROM past GROUP BY 1, 2)
+SELECT match_id, side, pid, round(form5, 6) AS form5, round(form10, 6) AS form10, round(form20, 6) AS form20, round(form5 - form20, 6) AS delta FROM f""")
 def w3(spark, sf):
-    w = Window.partitionBy("pid").orderBy("t", "match_id", "side")
-    form = lambda n: F.avg("won").over(w.rowsBetween(-n, -1))
-    return sides(matches(spark, sf)).select("match_id", "side", "pid", *(r6(form(n)).alias(f"form{n}") for n in (5, 10, 20)), r6(form(5) - form(20)).alias("delta"))
+    form = running_form(matches(spark, sf))
+    return form.select("match_id", "side", "pid", r6("form5").alias("form5"), r6("form10").alias("form10"), r6("form20").alias("form20"), r6(F.col("form5") - F.col("form20")).alias("delta"))
+
+
+def streaks(m: DataFrame, most: int = 20) -> DataFrame:
+    """The run of equal results, at most `most`, that each side stands in at the cutoff, and whether they were won."""
+    w = Window.partitionBy("sport", "pid").orderBy("t", "match_id")
+    r = result_sides(m).withColumn("change", (~F.col("won").eqNullSafe(F.lag("won").over(w))).cast("int"))
+    r = r.withColumn("island", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    run = F.least(F.row_number().over(Window.partitionBy("sport", "pid", "island").orderBy("t", "match_id")), F.lit(most))
+    r = r.select("sport", "pid", "due", "t", F.col("match_id").alias("result"), run.alias("run"), "won")
+    j = asof_join(probe_sides(m), r, ["sport", "pid"], "cutoff", "due", ["t", "result", "run", "won"])
+    return j.select("match_id", "side", "pid", F.coalesce("last_run", F.lit(0)).alias("streak"), F.col("last_won").alias("won"))
 
 
-@query("w5_streak", f"""WITH {SIDES}, d AS (SELECT *, CASE WHEN won IS DISTINCT FROM lag(won) OVER (PARTITION BY pid ORDER BY t, match_id, side) THEN 1 ELSE 0 END AS c FROM sides), g AS (SELECT *, sum(c) OVER (PARTITION BY pid ORDER BY t, match_id, side) AS island FROM d)
-SELECT match_id, side, pid, won, row_number() OVER (PARTITION BY pid, island ORDER BY t, match_id, side) AS streak FROM g""".replace("c FROM sides)", "c, row_number() OVER (PARTITION BY pid ORDER BY t, match_id, side) AS i FROM sides)").replace("THEN 1 ELSE 0 END", "OR lag(match_id) OVER (PARTITION BY pid ORDER BY t, match_id, side) IS NULL THEN 1 ELSE 0 END"))
+@query("w5_streak", f"""WITH {KNOWN}, p AS (SELECT *, max(won) FILTER (WHERE rn = 1) OVER (PARTITION BY match_id, side) AS newest FROM past WHERE rn <= 20),
+ s AS (SELECT match_id, side, any_value(pid) AS pid, any_value(newest) AS won, coalesce(min(rn) FILTER (WHERE won <> newest) - 1, count(won)) AS streak FROM p GROUP BY 1, 2)
+SELECT match_id, side, pid, CAST(streak AS INTEGER) AS streak, CAST(CASE WHEN won = 1 THEN streak ELSE 0 END AS INTEGER) AS streak_won, CAST(CASE WHEN won = 0 THEN streak ELSE 0 END AS INTEGER) AS streak_lost FROM s""")
 def w5(spark, sf):
-    """Length of the run of equal results up to each match."""
-    w = Window.partitionBy("pid").orderBy("t", "match_id", "side")
-    change = (~F.col("won").eqNullSafe(F.lag("won").over(w)) | F.lag("match_id").over(w).isNull()).cast("int")
-    g = sides(matches(spark, sf)).withColumn("c", change).withColumn("island", F.sum("c").over(w))
-    return g.select("match_id", "side", "pid", "won", F.row_number().over(Window.partitionBy("pid", "island").orderBy("t", "match_id", "side")).alias("streak"))
+    part = lambda v: F.when(F.col("won") == v, F.col("streak")).otherwise(0)
+    return streaks(matches(spark, sf)).select("match_id", "side", "pid", "streak", part(1).alias("streak_won"), part(0).alias("streak_lost"))
 
 
 @query("w6_rest_days", f"WITH {TARGETS} SELECT event_id, round((t - lag(t) OVER (PARTITION BY pid ORDER BY t, event_id)) / 8.64e10, 6) AS rest, coalesce((t - lag(t) OVER (PARTITION BY pid ORDER BY t, event_id)) / 8.64e10 < 2, false) AS short FROM targets")
@@ -55,10 +83,11 @@ def w6(spark, sf):
     return targets(spark, sf).select("event_id", r6(rest).alias("rest"), F.coalesce(rest < 2, F.lit(False)).alias("short"))
 
 
-@query("w7_range_counts", f"WITH {TARGETS} SELECT event_id, " + ", ".join(f"count(*) OVER (PARTITION BY pid ORDER BY t RANGE BETWEEN {d} * 86400000000 PRECEDING AND 1 PRECEDING) AS d{d}" for d in (7, 14, 30)) + " FROM targets")
+@query("w7_range_counts", f"WITH {TARGETS}, p AS (SELECT x.event_id, x.t, y.t AS pt, row_number() OVER (PARTITION BY x.event_id ORDER BY y.t DESC, y.event_id DESC) AS rn FROM targets x LEFT JOIN targets y ON y.pid = x.pid AND y.t < x.t) SELECT event_id, " + ", ".join(f"count(pt) FILTER (WHERE pt >= t - {d} * 86400000000) AS d{d}" for d in (7, 14, 30)) + " FROM p WHERE rn <= 100 GROUP BY 1")
 def w7(spark, sf):
+    """Earlier events within 7, 14 and 30 days, of the newest 100: the smaller of 100 and the count in the range."""
     w = Window.partitionBy("pid").orderBy("t")
-    return targets(spark, sf).select("event_id", *(F.count("*").over(w.rangeBetween(-d * DAY, -1)).alias(f"d{d}") for d in (7, 14, 30)))
+    return targets(spark, sf).select("event_id", *(F.least(F.count("*").over(w.rangeBetween(-d * DAY, -1)), F.lit(100)).alias(f"d{d}") for d in (7, 14, 30)))
 
 
 @query("w8_schedule_counts", f"WITH {TARGETS}, r AS (SELECT event_id, t, list(t) OVER (PARTITION BY pid ORDER BY t, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS past FROM targets) SELECT event_id, " + ", ".join(f"len(list_filter(coalesce(past, []), lambda p: t - p <= {d} * 86400000000)) AS d{d}" for d in (3, 7, 14)) + " FROM r")
@@ -190,14 +219,24 @@ def w22(spark, sf):
     return observations(spark, sf).select("event_id", F.count_if(F.col("event_id") % 3 == 0).over(Window.partitionBy("pid").orderBy("t").rangeBetween(-30 * DAY, -1)).alias("recent"))
 
 
-@query("q4_head_to_head", f"""WITH {MATCHES}, h AS (SELECT match_id, t, least(a, b) AS x, greatest(a, b) AS y, a < b AS fwd, CASE outcome WHEN 'A' THEN CAST(a < b AS INT) WHEN 'B' THEN CAST(b < a AS INT) END AS won FROM matches WHERE a <> b)
-SELECT match_id, count(won) OVER w AS n, round(CASE WHEN count(won) OVER w > 0 THEN (2 * avg(won) OVER w - 1) * CASE WHEN fwd THEN 1 ELSE -1 END ELSE 0 END, 6) AS value FROM h WINDOW w AS (PARTITION BY x, y ORDER BY t, match_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)""")
+def head_to_head(m: DataFrame, most: int = 20) -> DataFrame:
+    """n and value (2 * share won - 1, seen from side A) of the last `most` meetings of the two sides that are admitted at the cutoff; value is 0 without any."""
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    won = ((F.col("outcome") == "A") == (F.col("a") < F.col("b"))).cast("int")  # by the smaller id
+    r = admitted_results(m).select("sport", low.alias("x"), high.alias("y"), "due", "t", F.col("match_id").alias("result"), won.alias("won"))
+    w = Window.partitionBy("sport", "x", "y").orderBy("t", "result").rowsBetween(1 - most, 0)
+    r = r.select("sport", "x", "y", "due", "t", "result", F.count("*").over(w).alias("n"), F.avg("won").over(w).alias("share"))
+    p = m.where("a <> b").select("sport", low.alias("x"), high.alias("y"), "match_id", (F.col("t") - HOUR).alias("cutoff"), (F.col("a") < F.col("b")).alias("ahead"))
+    j = asof_join(p, r, ["sport", "x", "y"], "cutoff", "due", ["t", "result", "n", "share"])
+    value = (2 * F.col("last_share") - 1) * F.when(F.col("ahead"), 1).otherwise(-1)
+    return j.select("match_id", F.coalesce("last_n", F.lit(0)).alias("n"), F.coalesce(value, F.lit(0.0)).alias("value"))
+
+
+@query("q4_head_to_head", f"""WITH {KNOWN}, h AS (SELECT x.match_id, x.a, k.a AS ka, k.outcome, row_number() OVER (PARTITION BY x.match_id ORDER BY k.t DESC, k.match_id DESC) AS rn
+ FROM matches x LEFT JOIN known k ON k.sport = x.sport AND least(k.a, k.b) = least(x.a, x.b) AND greatest(k.a, k.b) = greatest(x.a, x.b) AND k.due <= x.t - 3600000000 WHERE x.a <> x.b)
+SELECT match_id, count(outcome) AS n, round(coalesce(2 * avg(CASE WHEN outcome IS NOT NULL THEN CAST((outcome = 'A') = (a = ka) AS INTEGER) END) - 1, 0), 6) AS value FROM h WHERE rn <= 20 GROUP BY 1""")
 def q4(spark, sf):
-    """The last 20 meetings of an unordered pair, seen from side A: 2 * share won - 1."""
-    m = matches(spark, sf).where("a <> b").withColumn("won", F.when(F.col("outcome") == "A", (F.col("a") < F.col("b")).cast("int")).when(F.col("outcome") == "B", (F.col("b") < F.col("a")).cast("int")))
-    w = Window.partitionBy(F.least("a", "b"), F.greatest("a", "b")).orderBy("t", "match_id").rowsBetween(-20, -1)
-    n = F.count("won").over(w)
-    return m.select("match_id", n.alias("n"), r6(F.when(n > 0, (2 * F.avg("won").over(w) - 1) * F.when(F.col("a") < F.col("b"), 1).otherwise(-1)).otherwise(F.lit(0.0))).alias("value"))
+    return head_to_head(matches(spark, sf)).select("match_id", "n", r6("value").alias("value"))
 
 
 @query("q5_label_maturity", f"WITH {MATCHES} SELECT match_id, greatest(coalesce(CASE WHEN match_id % 2 = 0 THEN t + 7200000000 END, t + 86400000000), CASE WHEN match_id % 3 = 0 THEN avail END) AS realized FROM matches WHERE sport <> 'error' OR match_id % 3 = 0")

@@ -1,6 +1,6 @@
 """All queries of the engine's own operators."""
 
-from ..operators import aggregates, evaluation, pit, predicates, routing, sequential, tables, windows  # noqa: F401
+from ..operators import aggregates, evaluation, nearest, pit, predicates, routing, sequential, tables, windows  # noqa: F401
 from ..sources import scans  # noqa: F401
 from .catalog import ORACLE_SQL, QUERIES
 
