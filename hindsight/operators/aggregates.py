@@ -83,15 +83,18 @@ def a9(spark, sf):
     return g.select("o_custkey", "m.o_orderkey", "m.o_totalprice")
 
 
-@query("a10_error_patterns", f"WITH {LEDGER} SELECT sport, bucket, a, count(*) FILTER (WHERE ok = 0) AS wrong, count(*) AS n FROM ledger GROUP BY 1, 2, 3 HAVING count(*) FILTER (WHERE ok = 0) >= 3 ORDER BY wrong DESC, n DESC, sport, bucket, a LIMIT 50")
+@query("a10_error_patterns", f"""WITH {LEDGER}, x AS (SELECT *, CASE WHEN match_id % 3 = 0 THEN 'router' ELSE 'fixed' END AS strategy, greatest(p1, 1 - p1) AS most FROM ledger),
+ p AS (SELECT 'pattern' AS kind, sport, strategy, bucket, count(*) AS n, round(avg(most), 4) AS value FROM x WHERE ok = 0 GROUP BY 2, 3, 4 HAVING count(*) >= 3 ORDER BY n DESC, value DESC, sport, strategy, bucket LIMIT 50),
+ s AS (SELECT 'signal' AS kind, sport, strategy, bucket, count(*) AS n, round(avg(ok), 6) AS value FROM x GROUP BY 2, 3, 4 HAVING count(*) >= 5 AND avg(ok) < 0.6 ORDER BY value, n DESC, sport, strategy, bucket LIMIT 30)
+SELECT * FROM p UNION ALL SELECT * FROM s""")
 def a10(spark, sf):
-    g = ledger(spark, sf).groupBy("sport", "bucket", "a").agg(F.count_if(F.col("ok") == 0).alias("wrong"), F.count("*").alias("n"))
-    return g.where("wrong >= 3").orderBy(F.desc("wrong"), F.desc("n"), "sport", "bucket", "a").limit(50)
-
-
-def wilson_lower(wins: Column, n: Column, z: float = 1.96) -> Column:
-    p = wins / n
-    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+    """The 50 largest groups of errors (3 at least), and the 30 weakest groups (5 rows at least, right in less than 0.6) as signals for the next cycle."""
+    x = ledger(spark, sf).withColumns({"strategy": F.when(F.col("match_id") % 3 == 0, "router").otherwise("fixed"), "most": F.greatest("p1", 1 - F.col("p1"))})
+    g = x.groupBy("sport", "strategy", "bucket")
+    by = ("sport", "strategy", "bucket")
+    wrong = x.where("ok = 0").groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("most"), 4).alias("value")).where("n >= 3").orderBy(F.desc("n"), F.desc("value"), *by).limit(50)
+    weak = g.agg(F.count("*").alias("n"), F.avg("ok").alias("mean")).where("n >= 5 AND mean < 0.6").withColumn("value", r6("mean")).drop("mean").orderBy("value", F.desc("n"), *by).limit(30)
+    return wrong.select(F.lit("pattern").alias("kind"), *by, "n", "value").unionByName(weak.select(F.lit("signal").alias("kind"), *by, "n", "value"))
 
 
 @query("a11_wilson_memory", f"WITH {LEDGER}, g AS (SELECT sport, bucket, count(*) AS n, sum(ok) AS k FROM ledger GROUP BY 1, 2), w AS (SELECT *, (k / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((k / n) * (1 - k / n) / n + 1.96 * 1.96 / (4 * n * n))) / (1 + 1.96 * 1.96 / n) AS lower FROM g) SELECT sport, bucket, n, round(lower, 6) AS lower, CASE WHEN n >= 20 AND lower >= 0.5 THEN 'TRUST' WHEN n >= 20 AND lower < 0.4 THEN 'AVOID' ELSE 'LEARN' END AS rule FROM w")
@@ -181,10 +184,22 @@ def a24(spark, sf):
     return targets(spark, sf).join(e, "pid", "left").agg(F.count("*").alias("n"), r6(r).alias("ratio"), (r >= 0.95).alias("passed"))
 
 
-@query("a25_stage_ladder", "SELECT c_mktsegment, CASE WHEN count(*) >= 320 AND avg(c_acctbal) > 4600 THEN 'PRODUCTION' WHEN count(*) >= 280 THEN 'SHADOW' ELSE 'CANDIDATE' END AS stage, round(count(*) / 100 + avg(c_acctbal) / 1000, 6) AS priority FROM customer GROUP BY 1")
+#: The stages in order, and the evidence that each step above PIT_VALIDATED needs.
+STAGES = ("DISCOVERED", "METADATA_CHECKED", "DATA_FEASIBLE", "PIT_VALIDATED", "SHADOW", "OOS_ROBUSTNESS", "LIMITED_PRODUCTION", "STABLE_PRODUCTION", "SCALE_UP")
+SCOPES = """scopes AS (SELECT l_suppkey % 97 AS scope, count(*) AS events, count(*) FILTER (WHERE l_linestatus = 'F') AS verified, avg(CAST(l_tax <= 0.07 + (l_suppkey % 97 % 3) / 100.0 AS INTEGER)) AS exact, l_suppkey % 97 % 7 AS evidence, l_suppkey % 97 % 5 AS clean_runs FROM lineitem GROUP BY 1, 5, 6)"""
+
+
+@query("a25_stage_ladder", f"""WITH {SCOPES}, s AS (SELECT *, CASE WHEN events < 120 THEN 1 WHEN verified < 80 OR exact < 0.95 THEN 2 WHEN evidence < 1 THEN 3 WHEN evidence < 2 THEN 4 WHEN evidence < 4 THEN 5 WHEN evidence < 5 OR clean_runs < 3 THEN 6 WHEN evidence < 6 OR clean_runs < 4 THEN 7 ELSE 8 END AS rank FROM scopes)
+SELECT scope, rank, ['{"', '".join(STAGES)}'][rank + 1] AS stage, round(rank * 1000 + least(events / 120, 2) * 100 + verified / greatest(events, 1) * 100 + exact * 100, 4) AS priority FROM s""")
 def a25(spark, sf):
-    n, m = F.count("*"), F.avg("c_acctbal")
-    return table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.when((n >= 320) & (m > 4600), "PRODUCTION").when(n >= 280, "SHADOW").otherwise("CANDIDATE").alias("stage"), r6(n / 100 + m / 1000).alias("priority"))
+    """The furthest stage whose steps are all evidenced (events, outcomes, exact sources, then shadow runs, robustness, admission and clean runs), and a priority in which the stage outweighs the data."""
+    k = F.col("l_suppkey") % 97
+    x = table(spark, sf, "lineitem").withColumn("scope", k)
+    x = x.groupBy("scope").agg(F.count("*").alias("events"), F.count_if(F.col("l_linestatus") == "F").alias("verified"), F.avg((F.col("l_tax") <= 0.07 + (k % 3) / 100.0).cast("int")).alias("exact"))
+    e, runs = F.col("scope") % 7, F.col("scope") % 5
+    rank = F.when(F.col("events") < 120, 1).when((F.col("verified") < 80) | (F.col("exact") < 0.95), 2).when(e < 1, 3).when(e < 2, 4).when(e < 4, 5).when((e < 5) | (runs < 3), 6).when((e < 6) | (runs < 4), 7).otherwise(8)
+    score = F.col("rank") * 1000 + F.least(F.col("events") / 120, F.lit(2.0)) * 100 + F.col("verified") / F.greatest("events", F.lit(1)) * 100 + F.col("exact") * 100
+    return x.withColumn("rank", rank).select("scope", "rank", F.get(F.array(*map(F.lit, STAGES)), F.col("rank")).alias("stage"), F.round(score, 4).alias("priority"))
 
 
 @query("a26_world_summary", f"WITH {PREDICTIONS} SELECT sport, round(avg(p2), 6) AS mean, round(quantile_cont(p2, 0.1), 6) AS p10, round(quantile_cont(p2, 0.9), 6) AS p90, round(avg(CAST(p2 < 0.1 AS INT)), 6) AS tail, round(var_pop(p2), 6) AS spread FROM preds GROUP BY 1")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..sources.roles import DAY, HOUR, OBS, PREDICTIONS, observations, predictions, table
+from ..sources.roles import OBS, PREDICTIONS, observations, predictions, table
 from .aggregates import LEDGER, ledger
 from .predicates import brier, log_loss, r6
 from .sequential import Pool, matured, maturing
@@ -158,10 +158,27 @@ def applied_sigmoid(p: Column, a: float, b: float) -> Column:
     return 1 / (1 + F.exp(-(a * F.ln(q / (1 - q)) + b)))
 
 
-@query("c3_apply_calibrator", f"WITH {PREDICTIONS} SELECT match_id, round(1 / (1 + exp(-(0.8 * ln(p1 / (1 - p1)) + 0.1))), 6) AS sigmoid, CASE WHEN p1 < 0.25 THEN 0.2 WHEN p1 < 0.5 THEN 0.4 WHEN p1 < 0.75 THEN 0.6 ELSE 0.8 END::DOUBLE AS steps FROM preds")
+def applied_beta(p: Column, a: float, b: float, c: float) -> Column:
+    q = F.greatest(F.least(p, F.lit(1 - 1e-6)), F.lit(1e-6))
+    return 1 / (1 + F.exp(-(a * F.ln(q) - b * F.ln(1 - q) + c)))
+
+
+def applied_isotonic(p: Column, knots: list[tuple[float, float]]) -> Column:
+    """Linear between the knots, flat beyond them."""
+    out = F.when(p <= knots[0][0], F.lit(knots[0][1]))
+    for (x0, y0), (x1, y1) in zip(knots, knots[1:], strict=False):
+        out = out.when(p <= x1, y0 + (p - x0) / (x1 - x0) * (y1 - y0))
+    return out.otherwise(F.lit(knots[-1][1]))
+
+
+KNOTS = [(0.1, 0.2), (0.4, 0.35), (0.6, 0.35), (0.9, 0.8)]
+
+
+@query("c3_apply_calibrator", f"""WITH {PREDICTIONS} SELECT match_id, round(1 / (1 + exp(-(0.8 * ln(p1 / (1 - p1)) + 0.1))), 6) AS sigmoid, round(1 / (1 + exp(-(0.9 * ln(p1) - 0.7 * ln(1 - p1) + 0.2))), 6) AS beta,
+ round(CASE WHEN p1 <= 0.1 THEN 0.2 WHEN p1 <= 0.4 THEN 0.2 + (p1 - 0.1) / 0.3 * 0.15 WHEN p1 <= 0.6 THEN 0.35 WHEN p1 <= 0.9 THEN 0.35 + (p1 - 0.6) / 0.3 * 0.45 ELSE 0.8 END::DOUBLE, 5) AS isotonic FROM preds""")
 def c3(spark, sf):
     p = F.col("p1")
-    return predictions(spark, sf).select("match_id", r6(applied_sigmoid(p, 0.8, 0.1)).alias("sigmoid"), F.when(p < 0.25, 0.2).when(p < 0.5, 0.4).when(p < 0.75, 0.6).otherwise(0.8).alias("steps"))
+    return predictions(spark, sf).select("match_id", r6(applied_sigmoid(p, 0.8, 0.1)).alias("sigmoid"), r6(applied_beta(p, 0.9, 0.7, 0.2)).alias("beta"), F.round(applied_isotonic(p, KNOTS), 5).alias("isotonic"))
 
 
 def prediction_sets(rows: DataFrame, alpha: float = 0.2, last: int = 240, least: int = 30) -> DataFrame:
@@ -293,12 +310,24 @@ def l2(spark, sf):
     return predictions(spark, sf).select("match_id", r6(F.pow(F.lit(0.5), age / 300)).alias("weight"))
 
 
-@query("l4_challenger_gate", f"WITH {LOSSES}, m AS (SELECT sport, avg(l1) AS old, avg(l3) AS new, avg(pow(p1 - y, 2)) AS ob, avg(pow(p3 - y, 2)) AS nb FROM losses GROUP BY 1) SELECT sport, round(old - new, 6) AS gain, old - new >= greatest(0.002, 0.01 * old) AND nb <= ob + 0.01 AS accepted FROM m")
+@query("l4_challenger_gate", f"""WITH {LOSSES}, h AS (SELECT *, least(floor(p1 * 10), 9) AS b1, least(floor(p3 * 10), 9) AS b3 FROM losses),
+ m AS (SELECT sport, avg(l1) AS old, avg(l3) AS new, avg(pow(p1 - y, 2)) AS ob, avg(pow(p3 - y, 2)) AS nb, sha256(count(*) || ':' || sum(match_id)) AS holdout FROM h GROUP BY 1),
+ e1 AS (SELECT sport, sum(n * g) / sum(n) AS oe FROM (SELECT sport, b1, count(*) AS n, abs(avg(y) - avg(p1)) AS g FROM h GROUP BY 1, 2) GROUP BY 1), e3 AS (SELECT sport, sum(n * g) / sum(n) AS ne FROM (SELECT sport, b3, count(*) AS n, abs(avg(y) - avg(p3)) AS g FROM h GROUP BY 1, 2) GROUP BY 1)
+SELECT sport, holdout, round(old - new, 6) AS gain, round(ne, 6) AS ece, old - new >= greatest(0.002, 0.01 * old) AND nb <= ob + 0.01 AND ne <= greatest(0.20, oe + 0.03) AS accepted FROM m JOIN e1 USING (sport) JOIN e3 USING (sport)""")
 def l4(spark, sf):
-    y = F.col("y")
-    m = losses(spark, sf).groupBy("sport").agg(F.avg("l1").alias("old"), F.avg("l3").alias("new"), F.avg(brier(F.col("p1"), y)).alias("ob"), F.avg(brier(F.col("p3"), y)).alias("nb"))
+    """A challenger (p3) replaces the champion (p1) only on the same holdout, for a better log loss, without losing in Brier score or calibration."""
+    y, x = F.col("y"), losses(spark, sf)
+    same = F.sha2(F.concat_ws(":", F.count("*").cast("string"), F.sum("match_id").cast("string")), 256).alias("holdout")
+    m = x.groupBy("sport").agg(same, F.avg("l1").alias("old"), F.avg("l3").alias("new"), F.avg(brier(F.col("p1"), y)).alias("ob"), F.avg(brier(F.col("p3"), y)).alias("nb"))
+
+    def ece(p: str, name: str) -> DataFrame:
+        b = x.groupBy("sport", F.least(F.floor(F.col(p) * 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("y") - F.avg(p)).alias("gap"))
+        return b.groupBy("sport").agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias(name))
+
+    m = m.join(ece("p1", "oe"), "sport").join(ece("p3", "ne"), "sport")
     gain = F.col("old") - F.col("new")
-    return m.select("sport", r6(gain).alias("gain"), ((gain >= F.greatest(F.lit(0.002), 0.01 * F.col("old"))) & (F.col("nb") <= F.col("ob") + 0.01)).alias("accepted"))
+    ok = (gain >= F.greatest(F.lit(0.002), 0.01 * F.col("old"))) & (F.col("nb") <= F.col("ob") + 0.01) & (F.col("ne") <= F.greatest(F.lit(0.20), F.col("oe") + 0.03))
+    return m.select("sport", "holdout", r6(gain).alias("gain"), r6("ne").alias("ece"), ok.alias("accepted"))
 
 
 @query("g1_run_health", "SELECT c_nationkey AS workflow, count(*) AS runs, arg_max(c_mktsegment, c_custkey) AS latest, CASE WHEN arg_max(c_acctbal, c_custkey) < 0 THEN 'FAILED' WHEN count(*) FILTER (WHERE c_acctbal < 0) * 4 > count(*) THEN 'FLAKY' ELSE 'HEALTHY' END AS health FROM customer GROUP BY 1")
@@ -312,29 +341,24 @@ def g3(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", F.sha2(F.concat_ws("|", "c_name", "c_mktsegment"), 256).alias("fingerprint"))
 
 
-@query("g4_leakage_audit", f"WITH {OBS} SELECT 'late_source' AS rule, event_id FROM obs WHERE avail > t + 5400000000 UNION ALL SELECT 'no_value', event_id FROM obs WHERE value < 0.05")
-def g4(spark, sf):
-    """Violations of data rules, in one pass: each row with the rules that it breaks."""
-    rules = F.array(F.when(F.col("avail") > F.col("t") + 90 * 60_000_000, "late_source"), F.when(F.col("value") < 0.05, "no_value"))
-    return observations(spark, sf).select(F.explode(F.array_compact(rules)).alias("rule"), "event_id")
-
-
-@query("g5_quality_gate", f"WITH {OBS} SELECT 'rows' AS name, count(*) >= 1000 AS passed, 'fatal' AS level FROM obs UNION ALL SELECT 'unique_ids', count(*) = count(DISTINCT event_id), 'fatal' FROM obs UNION ALL SELECT 'fresh_sources', avg(CAST(avail - t <= 3600000000 AS INT)) >= 0.95, 'pending' FROM obs")
-def g5(spark, sf):
-    a = observations(spark, sf).agg((F.count("*") >= 1000).alias("rows"), (F.count("*") == F.countDistinct("event_id")).alias("unique_ids"), (F.avg((F.col("avail") - F.col("t") <= HOUR).cast("int")) >= 0.95).alias("fresh_sources"))
-    return a.select(F.expr("stack(3, 'rows', rows, 'fatal', 'unique_ids', unique_ids, 'fatal', 'fresh_sources', fresh_sources, 'pending') AS (name, passed, level)"))
-
-
 @query("g6_release_gate", f"WITH {LEDGER}, c AS (SELECT sport, count(*) AS n, avg(ok) AS acc FROM ledger GROUP BY 1) SELECT sport, n, CASE WHEN n < 100 THEN 'NO_DATA' WHEN acc >= 0.52 THEN 'RELEASE' ELSE 'HOLD' END AS gate FROM c")
 def g6(spark, sf):
     c = ledger(spark, sf).groupBy("sport").agg(F.count("*").alias("n"), F.avg("ok").alias("acc"))
     return c.select("sport", "n", F.when(F.col("n") < 100, "NO_DATA").when(F.col("acc") >= 0.52, "RELEASE").otherwise("HOLD").alias("gate"))
 
 
-@query("g8_table_manifest", "SELECT 'orders' AS name, count(*) AS n, sum(o_orderkey)::BIGINT AS checksum FROM orders UNION ALL SELECT 'customer', count(*), sum(c_custkey)::BIGINT FROM customer UNION ALL SELECT 'part', count(*), sum(p_partkey)::BIGINT FROM part")
+MANIFEST = (("orders", "o_orderkey"), ("customer", "c_custkey"), ("part", "p_partkey"))
+
+
+@query("g8_table_manifest", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n, CAST(sum(CAST(('0x' || md5(CAST({k} AS VARCHAR))[1:8]) AS BIGINT)) AS BIGINT) AS content FROM {t}" for t, k in MANIFEST))
 def g8(spark, sf):
-    one = lambda t, k: table(spark, sf, t).agg(F.lit(t).alias("name"), F.count("*").alias("n"), F.sum(k).alias("checksum"))
-    return one("orders", "o_orderkey").unionByName(one("customer", "c_custkey")).unionByName(one("part", "p_partkey"))
+    """Rows and a hash of the keys of each table, whatever the order of its rows: digests are summed."""
+    part = lambda k: F.conv(F.substring(F.md5(F.col(k).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    one = lambda t, k: table(spark, sf, t).agg(F.lit(t).alias("name"), F.count("*").alias("n"), F.sum(part(k)).alias("content"))
+    first, *rest = (one(t, k) for t, k in MANIFEST)
+    for r in rest:
+        first = first.unionByName(r)
+    return first
 
 
 @query("g9_count_delta", "SELECT event_type, count(*) FILTER (WHERE event_id % 4 <> 0) AS before, count(*) AS after, count(*) FILTER (WHERE event_id % 4 = 0) AS delta FROM events GROUP BY 1")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..sources.roles import HOUR, MATCHES, MIN, OBS, PREDICTIONS, TARGETS, matches, observations, predictions, table, targets
+from ..sources.roles import HOUR, KNOWN, MATCHES, MIN, OBS, PREDICTIONS, TARGETS, admitted_results, matches, observations, predictions, table, targets
+from .pit import admitted
 
 
 def r6(c: Column | str) -> Column:
@@ -41,17 +42,17 @@ def p4(spark, sf):
 
 
 #: Lower edges of the probability buckets and their names.
-EDGES = ((0.9, "90-100"), (0.8, "80-90"), (0.7, "70-80"), (0.6, "60-70"), (0.5, "50-60"), (0.4, "40-50"))
+EDGES = ((0.9, "0.90-1.00"), (0.8, "0.80-0.90"), (0.7, "0.70-0.80"), (0.6, "0.60-0.70"), (0.55, "0.55-0.60"), (0.5, "0.50-0.55"))
 
 
 def probability_bucket(p: Column) -> Column:
     out = F.when(p.isNull(), "unknown")
     for edge, name in EDGES:
         out = out.when(p >= edge, name)
-    return out.otherwise("0-40")
+    return out.otherwise("0.00-0.50")
 
 
-BUCKET = "CASE WHEN {p} IS NULL THEN 'unknown' " + " ".join(f"WHEN {{p}} >= {e} THEN '{n}'" for e, n in EDGES) + " ELSE '0-40' END"
+BUCKET = "CASE WHEN {p} IS NULL THEN 'unknown' " + " ".join(f"WHEN {{p}} >= {e} THEN '{n}'" for e, n in EDGES) + " ELSE '0.00-0.50' END"
 
 
 @query("p5_probability_bucket", f"WITH {PREDICTIONS} SELECT match_id, {BUCKET.format(p='p1')} AS bucket FROM preds")
@@ -65,15 +66,34 @@ def p6(spark, sf):
     return observations(spark, sf).select("event_id", F.when(v.isNull(), "unknown").when(v < 20, "low").when(v < 60, "medium").otherwise("high").alias("evidence"), F.when(lag <= 30 * MIN, "fresh").when(lag <= HOUR, "aging").otherwise("stale").alias("freshness"))
 
 
-def experience_class(correct: Column, confidence: Column) -> Column:
-    """Right or wrong by how sure the prediction was (0.5 to 1)."""
-    return F.when(correct, F.when(confidence >= 0.7, "RIGHT_CONFIDENT").otherwise("RIGHT_UNSURE")).otherwise(F.when(confidence >= 0.85, "WRONG_OVERCONFIDENT").when(confidence >= 0.7, "WRONG_CONFIDENT").otherwise("WRONG_UNSURE"))
+def confidence(p: Column, evidence: Column, conflict: Column, freshness: Column) -> Column:
+    """HIGH needs a probability of 0.8, evidence and fresh sources; a conflict above a half is LOW, whatever the probability; an unknown conflict or freshness doesn't count against it."""
+    most = F.greatest(p, 1 - p)
+    high = (most >= 0.8) & (evidence >= 1) & F.coalesce(freshness >= 0.5, F.lit(True))
+    return F.when(conflict > 0.5, "LOW").when(high, "HIGH").when(most >= 0.65, "MEDIUM").otherwise("LOW")
 
 
-@query("p7_experience_class", f"WITH {PREDICTIONS}, c AS (SELECT match_id, (p1 >= 0.5) = (y = 1) AS ok, greatest(p1, 1 - p1) AS c FROM preds) SELECT match_id, CASE WHEN ok THEN CASE WHEN c >= 0.7 THEN 'RIGHT_CONFIDENT' ELSE 'RIGHT_UNSURE' END WHEN c >= 0.85 THEN 'WRONG_OVERCONFIDENT' WHEN c >= 0.7 THEN 'WRONG_CONFIDENT' ELSE 'WRONG_UNSURE' END AS class FROM c")
+def with_situation(preds: DataFrame) -> DataFrame:
+    """The prediction matrix with the state of its evidence, from fixed formulas: conflict and freshness are unknown for some rows."""
+    i = F.col("match_id")
+    conflict, freshness = F.when(i % 6 != 0, (i % 9) / 10.0), F.when(i % 5 != 0, (i % 11) / 10.0)
+    return preds.withColumns({"evidence": i % 4, "conflict": conflict, "freshness": freshness}).withColumn("confidence", confidence(F.col("p1"), F.col("evidence"), F.col("conflict"), F.col("freshness")))
+
+
+SITUATION = PREDICTIONS + """, sit AS (SELECT *, match_id % 4 AS evidence, CASE WHEN match_id % 6 <> 0 THEN match_id % 9 / 10.0::DOUBLE END AS conflict, CASE WHEN match_id % 5 <> 0 THEN match_id % 11 / 10.0::DOUBLE END AS freshness FROM preds),
+ sure AS (SELECT *, CASE WHEN conflict > 0.5 THEN 'LOW' WHEN greatest(p1, 1 - p1) >= 0.8 AND evidence >= 1 AND (freshness IS NULL OR freshness >= 0.5) THEN 'HIGH' WHEN greatest(p1, 1 - p1) >= 0.65 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM sit)"""
+
+
+def experience_class(correct: Column, confidence: Column, most: Column) -> Column:
+    """Right or wrong by how sure the prediction was."""
+    right = F.when(most >= 0.8, "CORRECT_HIGH_CONF").otherwise("CORRECT_NONHIGH_CONF")
+    return F.when(correct, right).when(most >= 0.8, "WRONG_OVERCONFIDENT").when((confidence == "MEDIUM") | (most >= 0.65), "WRONG_MODERATE").otherwise("WRONG_LOW_CONF")
+
+
+@query("p7_experience_class", f"WITH {SITUATION}, c AS (SELECT match_id, confidence, (p1 >= 0.5) = (y = 1) AS ok, greatest(p1, 1 - p1) AS c FROM sure) SELECT match_id, CASE WHEN ok THEN CASE WHEN c >= 0.8 THEN 'CORRECT_HIGH_CONF' ELSE 'CORRECT_NONHIGH_CONF' END WHEN c >= 0.8 THEN 'WRONG_OVERCONFIDENT' WHEN confidence = 'MEDIUM' OR c >= 0.65 THEN 'WRONG_MODERATE' ELSE 'WRONG_LOW_CONF' END AS class FROM c")
 def p7(spark, sf):
     p = F.col("p1")
-    return predictions(spark, sf).select("match_id", experience_class((p >= 0.5) == (F.col("y") == 1), F.greatest(p, 1 - p)).alias("class"))
+    return with_situation(predictions(spark, sf)).select("match_id", experience_class((p >= 0.5) == (F.col("y") == 1), F.col("confidence"), F.greatest(p, 1 - p)).alias("class"))
 
 
 @query("p8_lifecycle", f"WITH {MATCHES}, n AS (SELECT max(t) - 5 * 86400000000 AS now FROM matches) SELECT match_id, CASE WHEN outcome <> 'DRAW' AND avail <= now THEN 'COMPLETED' WHEN t <= now THEN 'PENDING_RESULT' ELSE 'SCHEDULED' END AS status FROM matches, n")
@@ -162,10 +182,28 @@ def p16(spark, sf):
     return p.select("p_partkey", F.posexplode(segments("p_type", "p_brand", "size")).alias("i", "segment")).select("p_partkey", "segment", (3 - F.col("i")).alias("depth"))
 
 
-@query("p17_decision_table", f"WITH {PREDICTIONS}, c AS (SELECT *, greatest(p1, 1 - p1) AS c, abs(p1 - p2) AS gap FROM preds) SELECT match_id, CASE WHEN gap > 0.5 THEN 'NO_PREDICTION' WHEN c >= 0.75 AND gap < 0.2 THEN 'STRONG' WHEN c >= 0.6 THEN 'LEAN' ELSE 'WATCH' END AS action FROM c")
+@query("p17_decision_table", f"""WITH {SITUATION}, g AS (SELECT *, abs(p1 - p2) AS gap FROM sure),
+ s AS (SELECT *, greatest(0, least(1, 1 - 0.65 * -(p1 * ln(p1) + (1 - p1) * ln(1 - p1)) / ln(2) - 0.35 * least(greatest(gap * 4, 0), 1))) AS predictability FROM g),
+ u AS (SELECT *, CASE WHEN predictability < 0.5 OR gap >= 0.05 OR confidence = 'LOW' THEN 'HIGH' WHEN predictability < 0.7 OR confidence = 'MEDIUM' THEN 'MEDIUM' ELSE 'LOW' END AS uncertainty FROM s)
+SELECT match_id, confidence, round(predictability, 6) AS predictability, uncertainty,
+ CASE WHEN confidence = 'LOW' THEN 'abstain_or_fallback' WHEN uncertainty = 'HIGH' THEN 'prediction_set_or_scenario' WHEN uncertainty = 'MEDIUM' THEN 'probability_plus_uncertainty' ELSE 'single_probability' END AS output,
+ CASE WHEN confidence = 'LOW' OR uncertainty = 'HIGH' THEN 'PASS' WHEN uncertainty = 'MEDIUM' THEN 'SECONDARY' ELSE 'PRIMARY' END AS action,
+ CASE WHEN conflict > 0.5 THEN 'verify_or_resolve_conflicting_sources' WHEN freshness < 0.5 THEN 'refresh_pit_safe_sources' WHEN uncertainty = 'HIGH' THEN 'acquire_high_value_information_candidate' ELSE 'maintain' END AS information,
+ CASE WHEN confidence = 'LOW' THEN 'abstain_or_fallback' WHEN uncertainty = 'HIGH' THEN 'recompute_candidate' WHEN uncertainty = 'MEDIUM' THEN 'revise_when_new_information_arrives' ELSE 'maintain' END AS next FROM u""")
 def p17(spark, sf):
-    c, gap = F.greatest("p1", 1 - F.col("p1")), F.abs(F.col("p1") - F.col("p2"))
-    return predictions(spark, sf).select("match_id", F.when(gap > 0.5, "NO_PREDICTION").when((c >= 0.75) & (gap < 0.2), "STRONG").when(c >= 0.6, "LEAN").otherwise("WATCH").alias("action"))
+    """What to do with a prediction: its predictability falls with its entropy and the models' disagreement, its uncertainty follows, and both choose form, action and the next step."""
+    p, gap = F.col("p1"), F.abs(F.col("p1") - F.col("p2"))
+    entropy = -(p * F.ln(p) + (1 - p) * F.ln(1 - p)) / F.ln(F.lit(2.0))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 0.65 * entropy - 0.35 * F.least(gap * 4, F.lit(1.0))))
+    low, medium = F.col("confidence") == "LOW", F.col("confidence") == "MEDIUM"
+    x = with_situation(predictions(spark, sf)).withColumn("score", score)
+    x = x.withColumn("uncertainty", F.when((F.col("score") < 0.5) | (gap >= 0.05) | low, "HIGH").when((F.col("score") < 0.7) | medium, "MEDIUM").otherwise("LOW"))
+    high, mid = F.col("uncertainty") == "HIGH", F.col("uncertainty") == "MEDIUM"
+    output = F.when(low, "abstain_or_fallback").when(high, "prediction_set_or_scenario").when(mid, "probability_plus_uncertainty").otherwise("single_probability")
+    action = F.when(low | high, "PASS").when(mid, "SECONDARY").otherwise("PRIMARY")
+    information = F.when(F.col("conflict") > 0.5, "verify_or_resolve_conflicting_sources").when(F.col("freshness") < 0.5, "refresh_pit_safe_sources").when(high, "acquire_high_value_information_candidate").otherwise("maintain")
+    following = F.when(low, "abstain_or_fallback").when(high, "recompute_candidate").when(mid, "revise_when_new_information_arrives").otherwise("maintain")
+    return x.select("match_id", "confidence", r6("score").alias("predictability"), "uncertainty", output.alias("output"), action.alias("action"), information.alias("information"), following.alias("next"))
 
 
 def log_loss(p: Column, y: Column, eps: float = 1e-9) -> Column:
@@ -199,11 +237,20 @@ def p20(spark, sf):
     return matches(spark, sf).select("match_id", r6(a - b).alias("diff"), r6((a - b) / (F.abs(a) + F.abs(b) + 1e-6)).alias("relative"))
 
 
-@query("p21_interactions", f"WITH {PREDICTIONS} SELECT match_id, round(p1 * p2, 6) AS p12, round(p1 * p3, 6) AS p13, round((p1 + p2 + coalesce(nullif(p3, p3), 0)) / 2, 6) AS coverage FROM preds")
+INTERACTIONS = PREDICTIONS + """, parts AS (SELECT match_id, p1 - p2 AS elo, CASE WHEN match_id % 4 <> 0 THEN p3 - 0.5 END AS form, p2 - p3 AS momentum, CASE WHEN match_id % 3 <> 0 THEN p1 END AS cov_a, CASE WHEN match_id % 5 <> 0 THEN p2 END AS cov_b,
+  CASE WHEN match_id % 7 <> 0 THEN p3 END AS fresh, CAST(match_id % 2 AS DOUBLE) AS rest, CASE WHEN match_id % 8 <> 0 THEN 2 * p3 - 1 END AS h2h FROM preds)"""
+
+
+@query("p21_interactions", f"""WITH {INTERACTIONS} SELECT match_id, round(elo * form, 6) AS elo_x_form, round(elo * coalesce((cov_a + cov_b) / 2, cov_a, cov_b), 6) AS elo_x_coverage, round(momentum * form, 6) AS momentum_x_form,
+ round(momentum * fresh, 6) AS momentum_x_freshness, round(form * rest, 6) AS form_x_short_rest, round(h2h * elo, 6) AS h2h_x_elo FROM parts""")
 def p21(spark, sf):
-    known = F.array_compact(F.array("p1", "p2", F.when(F.lit(False), F.col("p3"))))
-    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
-    return predictions(spark, sf).select("match_id", r6(F.col("p1") * F.col("p2")).alias("p12"), r6(F.col("p1") * F.col("p3")).alias("p13"), r6(mean).alias("coverage"))
+    """Six products of features, null where a factor is; coverage is the mean of the sides that have one."""
+    i, p = F.col("match_id"), [F.col(f"p{k}") for k in (1, 2, 3)]
+    known = F.array_compact(F.array(F.when(i % 3 != 0, p[0]), F.when(i % 5 != 0, p[1])))
+    coverage = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
+    x = {"elo": p[0] - p[1], "form": F.when(i % 4 != 0, p[2] - 0.5), "momentum": p[1] - p[2], "coverage": coverage, "freshness": F.when(i % 7 != 0, p[2]), "short_rest": (i % 2).cast("double"), "h2h": F.when(i % 8 != 0, 2 * p[2] - 1)}
+    pairs = (("elo", "form"), ("elo", "coverage"), ("momentum", "form"), ("momentum", "freshness"), ("form", "short_rest"), ("h2h", "elo"))
+    return predictions(spark, sf).select("match_id", *(r6(x[a] * x[b]).alias(f"{a}_x_{b}") for a, b in pairs))
 
 
 def mirrored(df: DataFrame, label: str) -> DataFrame:
@@ -227,15 +274,24 @@ def missing_columns(df: DataFrame, required: dict[str, str]) -> list[str]:
     return sorted(c for c, t in required.items() if have.get(c) != t)
 
 
-@query("p23_schema_contract", "SELECT 'events' AS name, 'missing_col' AS missing UNION ALL SELECT 'events', 'value'")
+CONTRACT = {"events": ["event_id", "ts", "stadium", "value"], "orders": ["o_orderkey", "o_season"], "lineitem": ["l_tax", "l_orderkey"], "part": ["p_weight"]}
+
+
+@query("p23_schema_contract", "WITH need AS (SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{c}')" for t, cs in CONTRACT.items() for c in cs) + ") v(name, missing)) SELECT name, missing FROM need WHERE (name, missing) NOT IN (SELECT (table_name, column_name) FROM information_schema.columns)")
 def p23(spark, sf):
-    bad = missing_columns(table(spark, sf, "events"), {"event_id": "bigint", "value": "string", "missing_col": "int"})
-    return spark.createDataFrame([("events", c) for c in bad], "name string, missing string")
+    """Columns that a contract needs and a table lacks."""
+    bad = [(t, c) for t, cs in CONTRACT.items() for c in sorted(set(cs) - set(table(spark, sf, t).columns))]
+    return spark.createDataFrame(bad, "name string, missing string")
 
 
-@query("p24_knowledge_order", f"WITH {MATCHES} SELECT sport, count(*) AS n FROM matches WHERE t <= avail GROUP BY 1")
+@query("p24_knowledge_order", f"""WITH {KNOWN}, c AS (SELECT x.match_id, x.sport, (SELECT count(*) FROM known k WHERE k.sport = x.sport AND k.t < x.t) AS earlier, (SELECT count(*) FROM known k WHERE k.sport = x.sport AND k.due <= x.t - 3600000000) AS known FROM matches x)
+SELECT sport, count(*) AS n, CAST(sum(earlier) AS BIGINT) AS earlier, CAST(sum(known) AS BIGINT) AS known, CAST(max(earlier - known) AS BIGINT) AS most_unknown FROM c GROUP BY 1""")
 def p24(spark, sf):
-    """Counts per sport after asserting that nothing is known before it happened."""
+    """What a hypothesis may remember: per sport, results before each match, and how many of them were known at its cutoff."""
     m = matches(spark, sf)
-    ok = F.when(F.col("t") <= F.col("avail"), F.lit(1)).otherwise(F.raise_error(F.lit("known before it happened")).cast("int"))
-    return m.withColumn("ok", ok).groupBy("sport").agg(F.sum("ok").alias("n"))
+    r = admitted_results(m)
+    at = lambda when: m.select("sport", F.col("match_id").alias("id"), when.alias("cutoff"))
+    earlier = admitted(r.withColumn("due", F.col("t") + 1), at(F.col("t")), ["sport"]).withColumnRenamed("n_admitted", "earlier")
+    known = admitted(r, at(F.col("t") - HOUR), ["sport"]).withColumnRenamed("n_admitted", "known")
+    x = m.select("sport", F.col("match_id").alias("id")).join(earlier, "id").join(known, "id")
+    return x.groupBy("sport").agg(F.count("*").alias("n"), F.sum("earlier").alias("earlier"), F.sum("known").alias("known"), F.max(F.col("earlier") - F.col("known")).alias("most_unknown"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..sources.roles import MATCHES, OBS, PREDICTIONS, matches, observations, predictions, table
+from ..sources.roles import DAY, MATCHES, OBS, PREDICTIONS, matches, observations, predictions, table
 from .predicates import r6
 
 
@@ -157,12 +157,19 @@ def m9(spark, sf):
     return li.agg(F.count("*").alias("before")).crossJoin(gone).select("before", (F.col("before") - F.col("gone")).alias("after"))  # two single rows
 
 
-@query("m10_first_provenance", f"WITH {OBS}, g AS (SELECT pid, floor(value) AS v, count(DISTINCT stat) AS n, min(t) AS first FROM obs WHERE stat IN ('view', 'click') GROUP BY 1, 2) SELECT pid, v, first FROM g WHERE n = 2")
+REVISIONS = OBS + """, seen AS (SELECT pid, t // 86400000000 AS rev, stat, count(*) AS n, min(CAST(floor(value / 25) AS BIGINT)) AS print FROM obs WHERE stat IN ('view', 'click') GROUP BY 1, 2, 3),
+ revs AS (SELECT * FROM seen WHERE n = 1), want AS (SELECT pid, stat, arg_max(print, rev) AS print FROM revs GROUP BY 1, 2)"""
+
+
+@query("m10_first_provenance", f"WITH {REVISIONS}, b AS (SELECT r.pid, r.rev FROM revs r JOIN want w ON w.pid = r.pid AND w.stat = r.stat AND w.print = r.print GROUP BY 1, 2 HAVING count(*) = 2) SELECT pid, min(rev) AS first_rev, count(*) AS n FROM b GROUP BY 1")
 def m10(spark, sf):
-    """Relational division: fingerprints that occur in both stats, and when they were first seen."""
+    """The first revision (day) in which both rows of a participant have the fingerprints that they have last; keys with several rows in a revision are ambiguous and left out."""
     o = observations(spark, sf).where(F.col("stat").isin("view", "click"))
-    g = o.groupBy("pid", F.floor("value").cast("double").alias("v")).agg(F.countDistinct("stat").alias("n"), F.min("t").alias("first"))
-    return g.where("n = 2").select("pid", "v", "first")
+    g = o.groupBy("pid", F.floor(F.col("t") / DAY).alias("rev"), "stat").agg(F.count("*").alias("n"), F.min(F.floor(F.col("value") / 25)).alias("print"))
+    revs = g.where("n = 1").drop("n")
+    want = revs.groupBy("pid", "stat").agg(F.max_by("print", "rev").alias("print"))
+    both = revs.join(want, ["pid", "stat", "print"]).groupBy("pid", "rev").agg(F.count("*").alias("n")).where("n = 2")
+    return both.groupBy("pid").agg(F.min("rev").alias("first_rev"), F.count("*").alias("n"))
 
 
 @query("m11_incremental_skip", f"WITH {OBS}, g AS (SELECT pid, count(*) AS n, max(event_id) AS last FROM obs GROUP BY 1), s AS (SELECT pid, count(*) AS n, max(event_id) AS last FROM obs WHERE event_id < 9000 GROUP BY 1) SELECT g.pid FROM g WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.pid = g.pid AND s.n = g.n AND s.last = g.last)")
@@ -173,16 +180,31 @@ def m11(spark, sf):
     return prints(o).join(prints(o.where("event_id < 9000")), ["pid", "print"], "left_anti").select("pid")
 
 
-@query("m12_float_fingerprint", "SELECT o_orderkey, sha256(o_custkey || '|' || printf('%.12g', round(o_totalprice, 2))) AS fingerprint FROM orders")
+def twelve_digits(x: Column) -> Column:
+    """A number with twelve significant digits and no closing zeros, as %.12g writes it."""
+    text = F.regexp_replace(F.format_string("%.12g", x), r"(\.\d*?)0+(e|$)", "$1$2")
+    return F.regexp_replace(text, r"\.(e|$)", "$1")
+
+
+@query("m12_float_fingerprint", "SELECT l_orderkey, l_linenumber, printf('%.12g', l_extendedprice / 7) AS a, sha256(l_partkey || '|' || printf('%.12g', l_extendedprice / 7 * 1e9) || '|' || printf('%.12g', l_quantity / 1e6)) AS fingerprint FROM lineitem")
 def m12(spark, sf):
-    """A hash that ignores float noise: twelve significant digits without closing zeros."""
-    g = F.regexp_replace(F.format_string("%.12f", F.round("o_totalprice", 2)), r"\.?0+$", "")
-    return table(spark, sf, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", "o_custkey", g), 256).alias("fingerprint"))
+    """A hash that ignores float noise."""
+    x = F.col("l_extendedprice") / 7
+    g = twelve_digits
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", g(x).alias("a"), F.sha2(F.concat_ws("|", "l_partkey", g(x * 1e9), g(F.col("l_quantity") / 1e6)), 256).alias("fingerprint"))
+
+
+def vectors_match(x: Column, y: Column) -> Column:
+    """Whether two multisets of numbers are equal up to 1e-12 of a value, or 1e-9."""
+    near = F.zip_with(F.array_sort(x), F.array_sort(y), lambda a, b: F.abs(a - b) <= F.greatest(F.lit(1e-9), 1e-12 * F.greatest(F.abs(a), F.abs(b))))
+    return (F.size(x) == F.size(y)) & F.forall(near, lambda v: F.coalesce(v, F.lit(False)))
 
 
-@query("m13_vectors_match", "SELECT a.l_orderkey, list_sort(list(a.l_quantity)) = list_sort(list(a.l_quantity)) AS same FROM lineitem a GROUP BY 1")
+@query("m13_vectors_match", """WITH v AS (SELECT l_orderkey, list_sort(list(l_quantity)) AS x, list_sort(list(l_quantity + CASE WHEN l_orderkey % 7 = 0 AND l_linenumber = 1 THEN 1e-3 ELSE 1e-12 END) FILTER (WHERE l_orderkey % 11 <> 0 OR l_linenumber <> 2)) AS y FROM lineitem GROUP BY 1)
+SELECT l_orderkey, coalesce(len(x) = len(y) AND len(list_filter(list_zip(x, y), lambda z: abs(z[1] - z[2]) > greatest(1e-9, 1e-12 * greatest(abs(z[1]), abs(z[2]))))) = 0, false) AS same FROM v""")
 def m13(spark, sf):
-    """Tolerant comparison of two multisets of numbers per key."""
-    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("x"), F.array_sort(F.collect_list(F.col("l_quantity") + 1e-12)).alias("y"))
-    near = F.zip_with("x", "y", lambda a, b: F.abs(a - b) <= F.greatest(F.lit(1e-9), 1e-12 * F.greatest(F.abs(a), F.abs(b))))
-    return g.select("l_orderkey", ((F.size("x") == F.size("y")) & F.forall(near, lambda v: v)).alias("same"))
+    """An order's quantities against a second reading of them, in which some orders have another value or lack a line."""
+    moved = F.col("l_quantity") + F.when((F.col("l_orderkey") % 7 == 0) & (F.col("l_linenumber") == 1), 1e-3).otherwise(1e-12)
+    other = F.when((F.col("l_orderkey") % 11 != 0) | (F.col("l_linenumber") != 2), moved)
+    g = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("x"), F.collect_list(other).alias("y"))
+    return g.select("l_orderkey", vectors_match(F.col("x"), F.col("y")).alias("same"))

@@ -1,17 +1,27 @@
-"""The store's time rules as Structured Streaming: dedup, tumbling bins with late data, a stateful rating."""
+"""The store's time rules as Structured Streaming: gates, dedup, bins and windows, late rows, pending labels, stateful folds."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """A file-source stream of event rows."""
-    return spark.readStream.schema(EVENTS).parquet(path)
+def event_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A file-source stream of event rows; files: at most so many a batch."""
+    reader = spark.readStream.schema(EVENTS)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+
+
+def gated(events: DataFrame, least: int = 60) -> DataFrame:
+    """Events whose source was out `least` minutes before the event's time at the latest: what a cutoff may use. props holds k, the minutes from source to event."""
+    lead = F.get_json_object("props", "$.k").cast("long")
+    return events.where(lead >= least)
 
 
 def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
@@ -21,8 +31,77 @@ def deduplicated(events: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 def tumbling(events: DataFrame, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts and sums per bin and stat; rows later than the watermark are dropped by the engine."""
-    w = F.window("ts", size)
-    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+    return sliding(events, size, None, late)
+
+
+def sliding(events: DataFrame, size: str = "1 hour", slide: str | None = "15 minutes", late: str = "10 minutes") -> DataFrame:
+    """Counts and sums per window and stat; a row is in every window that covers it."""
+    w = F.window("ts", size, slide)
+    g = events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return g.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def marked_late(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """(event_id, user_id, ts, value, late): every row, with whether it came after the watermark had passed it.
+
+    The engine drops late rows before aggregates; here they come through, for a side output.
+    """
+
+    def mark(key, frames, state):
+        limit = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        state.update((1,))
+        for f in frames:
+            yield f[["event_id", "user_id", "ts", "value"]].assign(late=f.ts < limit)
+
+    rows = events.withWatermark("ts", late).groupBy("user_id")
+    return rows.applyInPandasWithState(mark, "event_id long, user_id long, ts timestamp, value double, late boolean", "seen long", "append", "NoTimeout")
+
+
+def split_output(marked: DataFrame, on_time: str, late: str, checkpoint: str) -> StreamingQuery:
+    """Writes rows in time and late rows to two tables, a folder for each batch, so that a batch that is run again replaces itself."""
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.persist()
+        batch.where("NOT late").write.mode("overwrite").parquet(f"{on_time}/batch={n}")
+        batch.where("late").write.mode("overwrite").parquet(f"{late}/batch={n}")
+        batch.unpersist()
+
+    return marked.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
+
+
+def matured_labels(events: DataFrame, hours: int = 24, late: str = "10 minutes") -> DataFrame:
+    """(user_id, event_id, realized, status): a label for each purchase, `hours` after it: SETTLED by the participant's first later event, or EXPIRED when the watermark passes without one.
+
+    Purchases wait in state; an event-time timer fires for those that nothing settles.
+    """
+    span = pd.Timedelta(hours=hours)
+
+    def settle(key, frames, state):
+        waiting = list(zip(*state.get, strict=True)) if state.exists else []
+        out = []
+        if state.hasTimedOut:
+            mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+            out = [(i, pd.Timestamp(t, unit="us") + span, "EXPIRED") for i, t in waiting if pd.Timestamp(t, unit="us") + span <= mark]
+            waiting = [(i, t) for i, t in waiting if pd.Timestamp(t, unit="us") + span > mark]
+        else:
+            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+            for i, ts, kind in zip(rows.event_id, rows.ts, rows.event_type, strict=True):
+                now = ts.value // 1000
+                due = [(j, t) for j, t in waiting if t < now]
+                out += [(j, min(ts, pd.Timestamp(t, unit="us") + span), "SETTLED" if ts <= pd.Timestamp(t, unit="us") + span else "EXPIRED") for j, t in due]
+                waiting = [x for x in waiting if x not in due]
+                if kind == "purchase":
+                    waiting.append((int(i), int(now)))
+        if waiting:
+            state.update(tuple(map(list, zip(*waiting, strict=True))))
+            first = min(t for _, t in waiting)
+            state.setTimeoutTimestamp(max(first // 1000 + hours * 3_600_000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], *r) for r in out], columns=["user_id", "event_id", "realized", "status"])
+
+    rows = events.withWatermark("ts", late).groupBy("user_id")
+    return rows.applyInPandasWithState(settle, "user_id long, event_id long, realized timestamp, status string", "ids array<long>, times array<long>", "append", "EventTimeTimeout")
 
 
 def running_rating(events: DataFrame, rate: float = 0.1) -> DataFrame:
@@ -30,11 +109,27 @@ def running_rating(events: DataFrame, rate: float = 0.1) -> DataFrame:
 
     def fold(key, frames, state):
         n, level = state.get if state.exists else (0, 0.0)
-        for f in frames:
-            for v in f.sort_values(["ts", "event_id"]).value:
-                level = v if n == 0 else level + rate * (v - level)
-                n += 1
+        for v in pd.concat(list(frames)).sort_values(["ts", "event_id"]).value:
+            level = v if n == 0 else level + rate * (v - level)
+            n += 1
         state.update((n, level))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "level": [level]})
 
     return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, n long, level double", "n long, level double", "update", "NoTimeout")
+
+
+def meetings(events: DataFrame, most: int = 20) -> DataFrame:
+    """(user_id, event_type, n, share): of the last `most` values of a participant and stat, how many and which share is above 50: a bounded history as state."""
+
+    def fold(key, frames, state):
+        past = list(state.get[0]) if state.exists else []
+        past = (past + [int(v > 50) for v in pd.concat(list(frames)).sort_values(["ts", "event_id"]).value])[-most:]
+        state.update((past,))
+        yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "n": [len(past)], "share": [sum(past) / len(past)]})
+
+    return events.groupBy("user_id", "event_type").applyInPandasWithState(fold, "user_id long, event_type string, n long, share double", "past array<int>", "update", "NoTimeout")
+
+
+def restartable(df: DataFrame, mode: str, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Starts, or starts again from its checkpoint, a stream whose batches go to sink(batch, number); a number that comes again is the same batch."""
+    return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).start()
