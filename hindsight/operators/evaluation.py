@@ -99,6 +99,19 @@ def v14(spark, sf):
     return predictions(spark, sf).groupBy("sport").agg(r6(F.avg(((up(p + 0.02) != up(p)) | (up(p - 0.02) != up(p))).cast("int"))).alias("shift_flips"), r6(F.avg((up((q + s) / 2) != up((p + q + s) / 3)).cast("int"))).alias("dropout_flips"))
 
 
+@query("v11_fold_research", f"""WITH {LEDGER}, x AS (SELECT *, (seq - 1) // 150 AS fold, greatest(p1, p2, p3) - least(p1, p2, p3) AS gap, coalesce((p1 >= 0.5) <> (lag(p1) OVER (PARTITION BY sport ORDER BY seq) >= 0.5), false) AS flip FROM ledger),
+ f AS (SELECT sport, fold, count(*) AS n, avg(ll) AS ll, avg(br) AS br, avg(ok) AS acc, quantile_cont(gap, 0.95) AS hi, quantile_cont(gap, 0.1) AS lo, count(*) FILTER (WHERE flip) AS flips FROM x GROUP BY 1, 2)
+SELECT sport, CAST(fold AS BIGINT) AS fold, n, round(ll, 6) AS logloss, round(br, 6) AS brier, round(acc, 6) AS accuracy, round(hi, 6) AS gap_p95, round(lo, 6) AS gap_p10, flips, round(ll, 9) = max(round(ll, 9)) OVER (PARTITION BY sport) AS worst FROM f""")
+def v11(spark, sf):
+    """Per block of 150 rows: metrics, the spread of the models' disagreement, flips of the call, and whether it's the sport's worst."""
+    flip = F.coalesce((F.col("p1") >= 0.5) != (F.lag("p1").over(by_seq()) >= 0.5), F.lit(False))
+    x = ledger(spark, sf).withColumns({"fold": F.floor((F.col("seq") - 1) / 150), "gap": F.greatest("p1", "p2", "p3") - F.least("p1", "p2", "p3"), "flip": flip})
+    q = lambda v: r6(F.percentile("gap", F.lit(v)))
+    f = x.groupBy("sport", "fold").agg(F.count("*").alias("n"), F.avg("ll").alias("ll"), r6(F.avg("br")).alias("brier"), r6(F.avg("ok")).alias("accuracy"), q(0.95).alias("gap_p95"), q(0.1).alias("gap_p10"), F.count_if("flip").alias("flips"))
+    worst = F.round("ll", 9) == F.max(F.round("ll", 9)).over(Window.partitionBy("sport"))
+    return f.select("sport", "fold", "n", r6("ll").alias("logloss"), "brier", "accuracy", "gap_p95", "gap_p10", "flips", worst.alias("worst"))
+
+
 def walk_forward(rows: DataFrame, start: int, step: int, group: str = "sport", seq: str = "seq") -> DataFrame:
     """(group, fold, train_end, test_start, test_end) of expanding folds: train on rows before train_end, test on the next `step`."""
     n = rows.groupBy(group).agg(F.max(seq).alias("n")).where(F.col("n") > start)

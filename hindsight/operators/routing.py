@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..sources.roles import MIN, PREDICTIONS, matches, observations, predictions
+from ..sources.roles import DAY, MIN, PREDICTIONS, matches, observations, predictions
 from .evaluation import SETS, prediction_sets
 from .predicates import brier, r6
 from .sequential import maturing, overlapping, weighted_replicates
@@ -135,3 +135,64 @@ def d2x(spark, sf):
             yield pd.DataFrame({"sport": f.sport, "world": f.world, "p": np.round(v, 6)})
 
     return c.select("sport", "k", "n", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("world")).mapInPandas(task, "sport string, world long, p double")
+
+
+@query("r16_competition_route", f"""WITH {PREDICTIONS}, x AS (SELECT sport, t // 604800000000 AS competition, pow(p1 - y, 2) AS own, pow(p2 - y, 2) AS base, ntile(5) OVER (PARTITION BY sport, t // 604800000000 ORDER BY seq) AS fold FROM preds),
+ f AS (SELECT sport, competition, fold, count(*) AS n, sum(own) AS own, sum(base) AS base FROM x GROUP BY 1, 2, 3),
+ g AS (SELECT sport, competition, count(*) AS folds, sum(n) AS n, sum(own) / sum(n) AS own, sum(base) / sum(n) AS base, count(*) FILTER (WHERE own / n <= base / n + 1e-12) AS good FROM f GROUP BY 1, 2)
+SELECT sport, competition, CAST(n AS BIGINT) AS n, round((base - own) / base, 5) AS gain, good, folds = 5 AND (base - own) / base >= 0.03 AND good >= 0.7 * folds AS accepted FROM g""")
+def r16(spark, sf):
+    """A competition gets a route of its own if the Brier score falls by 3 % and at least 70 % of five chronological folds aren't worse."""
+    y = F.col("y")
+    x = predictions(spark, sf).withColumn("competition", F.floor(F.col("t") / (7 * DAY)))
+    fold = F.ntile(5).over(Window.partitionBy("sport", "competition").orderBy("seq"))
+    f = x.select("sport", "competition", brier(F.col("p1"), y).alias("own"), brier(F.col("p2"), y).alias("base"), fold.alias("fold"))
+    f = f.groupBy("sport", "competition", "fold").agg(F.count("*").alias("n"), F.sum("own").alias("own"), F.sum("base").alias("base"))
+    g = f.groupBy("sport", "competition").agg(F.count("*").alias("folds"), F.sum("n").alias("n"), (F.sum("own") / F.sum("n")).alias("own"), (F.sum("base") / F.sum("n")).alias("base"), F.count_if(F.col("own") / F.col("n") <= F.col("base") / F.col("n") + 1e-12).alias("good"))
+    gain = (F.col("base") - F.col("own")) / F.col("base")
+    return g.select("sport", "competition", "n", F.round(gain, 5).alias("gain"), "good", ((F.col("folds") == 5) & (gain >= 0.03) & (F.col("good") >= 0.7 * F.col("folds"))).alias("accepted"))
+
+
+def _parted(spark, sf):
+    """The prediction matrix with losses and each row's place in its sport, from 0 to 1."""
+    x = losses(spark, sf)
+    return x.join(x.groupBy("sport").agg(F.max("seq").alias("n")), "sport").withColumn("part", F.col("seq") / F.col("n"))
+
+
+@query("r4_loss_selector")
+def r4(spark, sf):
+    """Holdout rows routed by the losses that a regression per expert expects from the context: experts weigh exp(-loss / 0.15), shrunk by a quarter to equal weights, and the mean moves to that mixture as far as the losses spread."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    gap = F.greatest("p1", "p2", "p3") - F.least("p1", "p2", "p3")
+    x = VectorAssembler(inputCols=["p1", "p2", "p3", "gap"], outputCol="features").transform(_parted(spark, sf).withColumn("gap", gap))
+    train, rows = x.where("part <= 0.78"), x.where("part > 0.78")
+    for i in (1, 2, 3):
+        rows = GBTRegressor(labelCol=f"l{i}", predictionCol=f"e{i}", maxIter=5, maxDepth=3, seed=7).fit(train).transform(rows)
+    best, worst = F.least("e1", "e2", "e3"), F.greatest("e1", "e2", "e3")
+    raw = [F.exp(-(F.col(f"e{i}") - best) / 0.15) for i in (1, 2, 3)]
+    w = [0.75 * r / sum(raw) + 0.25 / 3 for r in raw]
+    p = [F.col(f"p{i}") for i in (1, 2, 3)]
+    mean, other = sum(p) / 3, sum(a * b for a, b in zip(w, p, strict=True))
+    strength = 0.75 * (worst - best) / (worst - best + 0.1)
+    return rows.select("sport", "match_id", F.round(mean + strength * (other - mean), 5).alias("p"), F.round(strength, 5).alias("strength"))
+
+
+@query("r13_case_risk")
+def r13(spark, sf):
+    """The chance that the mean of the models is wrong, from its confidence, entropy and the models' spread: each half of the development rows is scored by a model of the other, the holdout by a model of both."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    m = (F.col("p1") + F.col("p2") + F.col("p3")) / 3
+    x = _parted(spark, sf).withColumns({"mean": m, "sure": F.abs(m - 0.5), "entropy": -m * F.ln(m) - (1 - m) * F.ln(1 - m), "gap": F.greatest("p1", "p2", "p3") - F.least("p1", "p2", "p3"), "label": ((m >= 0.5) != (F.col("y") == 1)).cast("double")})
+    x = VectorAssembler(inputCols=["mean", "sure", "entropy", "gap", "p1", "p2", "p3"], outputCol="features").transform(x)
+    x = x.withColumn("fold", F.when(F.col("part") > 0.78, "holdout").when(F.col("part") <= 0.39, "first").otherwise("second"))
+    out = None
+    for fold, learnt in (("first", ["second"]), ("second", ["first"]), ("holdout", ["first", "second"])):
+        model = LogisticRegression(regParam=0.01, probabilityCol="prob", predictionCol="hit", rawPredictionCol="raw").fit(x.where(F.col("fold").isin(learnt)))
+        r = model.transform(x.where(F.col("fold") == fold)).select("sport", "match_id", "fold", F.round(vector_to_array("prob")[1], 4).alias("risk"), F.col("label").cast("int").alias("wrong"))
+        out = r if out is None else out.unionByName(r)
+    return out
