@@ -10,23 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Temporary folders of local sessions without a shared one, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset on a local master (tests) is a temporary folder made and set.
+    Only where it is unset on a local master (tests) is a temporary folder made.
     """
-    key = "spark.checkpoint.dir"
-    base = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {key} to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="hindsight-")
-        spark.conf.set(key, base)
-    if "://" in base:
-        return base.rstrip("/")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)  # a plain path is one of the default file system
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return str(fs.makeQualified(path)).replace("file:/", "file:///", 1) if fs.getScheme() == "file" else str(fs.makeQualified(path))
+    key, context = "spark.checkpoint.dir", spark.sparkContext
+    base = spark.conf.get(key, None) or context.getConf().get(key)
+    if base:
+        return qualified(spark, base)
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError(f"set {key} to a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="hindsight-")
+    return _LOCAL[context.applicationId]
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme; a plain one is a path of Spark's default file system."""
+    path = path.rstrip("/")
+    if "://" in path:
+        return path
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file://" + full.removeprefix("file:") if full.startswith("file:/") and not full.startswith("file://") else full
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

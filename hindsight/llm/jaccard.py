@@ -10,13 +10,25 @@
 3. Star round: each node is paired with the smallest node of its groups. Pairs whose sizes fit must
    share, under each of the three orders, as many prefix tokens as a link would force them to; what
    passes all the filters is verified.
-4. Rest: groups whose nodes are not yet in one component give pairs of different components, for the
-   same filters; groups over `small` nodes are first split by the prefix tokens of the second, then the
-   third order. All that two sets share stands at or after their first shared token, so a pair comes
-   only from where both have enough tokens left, and nodes too deep in a group for any partner leave it
-   before its size counts. So every pair that can link is verified, or joined by links already.
-
-Verification compares whole sets, in integers. Components come from `components`.
+4. Rest: groups of up to `small` nodes that are not yet in one component give pairs of different
+   components. All that two sets share stands at or after their first shared token, so a pair comes only
+   from where both have enough tokens left. Larger groups are cut into windows of two neighbouring bands
+   of size first, as sizes of a pair differ by the share at most.
+5. Windows that are still larger and share nodes form an area, whose smallest set P is its pivot. The
+   symmetric difference of two sets is that of their differences to P, so each node is written as its few
+   tokens that differ from P's (`_delta`): a link needs |dx| + |dy| - 2 |dx & dy| to be small, and two
+   sets of which one isn't linked with P link only if their differences share something. This is the
+   prefix filter again, over the differences, by exact counts within the area; differences that only one
+   component has can't count. One star round on them joins what is dense, then the rest is paired. What
+   near copies have in common is gone from it, so their pairs come from shared edits only.
+
+Candidates of every round pass the filters of all three orders, then whole sets are compared, in
+integers. Components come from `components`. No group or partner is capped: every pair that can link is
+verified, or joined by links already. A group of sets that share edits without linking still costs its
+pairs. A light token stands in fewer than one in `heavy` of all rows of the table of tokens.
+
+A set's id has 63 bits and a token 59: about one pair of different sets among 10**10 texts is expected to
+be taken for equal five times over.
 
 Defined cases: a text that is null or has no words has an empty set and links with nothing; of fewer
 than n words the whole sequence is the set's one token; rows that repeat a text link with each other;
@@ -26,6 +38,7 @@ columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +47,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import components, new_dir, stored
+from .common import Scratch, components, drop_dir, new_dir, stored
 
 ORDERS = 3
 
@@ -47,7 +60,7 @@ def prefix_size(n: int, share: int) -> int:
 Heavy = tuple[shingles.Rarity, np.ndarray, np.ndarray]
 
 
-def heavy_tokens(docs: DataFrame, n: int, most: int, window: int = 4_000_000, least: int = 3) -> Heavy:
+def heavy_tokens(docs: DataFrame, n: int, most: int, window: int = 1_500_000, least: int = 3) -> Heavy:
     """Up to `most` words, as bands, and up to `most` n-grams by document frequency (sorted hashes, counts), counted over all texts.
 
     A task counts `window` tokens at a time and passes on what occurs `least` times among them; the
@@ -76,7 +89,8 @@ def heavy_tokens(docs: DataFrame, n: int, most: int, window: int = 4_000_000, le
             yield from counted()
 
     counts = docs.select("text").mapInArrow(task, "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n"))
-    counts = stored(counts, new_dir(docs.sparkSession, "heavy"))
+    path = new_dir(docs.sparkSession, "heavy")
+    counts = stored(counts, path)
     total = counts.where("kind = 0 AND token = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     top = []
     for kind in (0, 1):
@@ -84,6 +98,7 @@ def heavy_tokens(docs: DataFrame, n: int, most: int, window: int = 4_000_000, le
         token, count = t.column("token").to_numpy().view(np.uint64), t.column("n").to_numpy()
         order = np.argsort(token)
         top.append((token[order], count[order]))
+    drop_dir(docs.sparkSession, path)
     return shingles.Rarity(*top[0], total), *top[1]
 
 
@@ -132,7 +147,7 @@ def _node(s: np.ndarray) -> int:
 
 
 def _first_pass(docs: DataFrame, n: int, share: int, heavy: Heavy) -> DataFrame:
-    """(doc_id, key, node, size, light, dense, second, third): each row's set id and size, its first-order prefix by class of token, and 32 bits of the tokens of its other prefixes."""
+    """(doc_id, key, row, node, size, light, dense, second, third): each row's set id and size, its first-order prefix by class of token, and 32 bits of the tokens of its other prefixes."""
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def task(batches):
@@ -149,9 +164,9 @@ def _first_pass(docs: DataFrame, n: int, share: int, heavy: Heavy) -> DataFrame:
                 dense.append(t[h])
                 for held, (t, _) in zip(other, more, strict=True):
                     held.append(np.unique(t.astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), *map(_lists, (light, dense, *other))], names=["doc_id", "key", "node", "size", "light", "dense", "second", "third"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), b.column("row"), pa.array(node, pa.int64()), pa.array(size, pa.int32()), *map(_lists, (light, dense, *other))], names=["doc_id", "key", "row", "node", "size", "light", "dense", "second", "third"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(task, "doc_id long, key long, node long, size int, light array<long>, dense array<long>, second array<int>, third array<int>")
+    return docs.select("doc_id", "key", "row", "text").mapInArrow(task, "doc_id long, key long, row string, node long, size int, light array<long>, dense array<long>, second array<int>, third array<int>")
 
 
 def _whole_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int, heavy: Heavy, broadcast_most: int = 1 << 20) -> DataFrame:
@@ -212,20 +227,110 @@ def _several(rows: DataFrame, share: int) -> DataFrame:
     return rows.join(kept, "g").where(near).drop("lo", "left")
 
 
-def _open_groups(rows: DataFrame, share: int, path: str) -> DataFrame:
-    """_several, and again for what is left, so that n counts only nodes that can have a partner."""
-    rows = stored(_several(rows, share), f"{path}_all")
-    return stored(_several(rows.drop("n"), share), path)
+def _windows(rows: DataFrame, share: int, work: Scratch) -> DataFrame:
+    """Groups cut by size: each node stands in the windows of its band and of the band below, so that a pair whose sizes fit meets in one."""
+    band = F.floor(F.log("size") / (math.log(100 / share) * (1 + 1e-6)))
+    cut = rows.drop("n").withColumn("b", band).withColumn("g", F.explode(F.array(F.xxhash64("g", "b"), F.xxhash64("g", F.col("b") - 1)))).drop("b")
+    cut = work.put("windows_all", _several(cut, share))
+    return work.put("windows", _several(cut.drop("n"), share))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
+    """rows with the root of their node, which is itself if no link is known."""
+    known = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+    return rows.join(known, node, "left").withColumn(root, F.coalesce(root, node))
+
+
+def _merged(roots: DataFrame, links: DataFrame, work: Scratch, name: str) -> DataFrame:
+    """The roots after more links(a, b) between nodes."""
+    tops = _rooted(_rooted(links, roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b")
+    upper = components(tops.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), f"{work.path}/{name}_cc")
+    up = upper.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    new = upper.join(roots.select("node"), "node", "left_anti").select("node", "root")
+    return work.put(name, old.unionByName(new))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _cross(rows: DataFrame, share: int) -> DataFrame:
+    """Pairs of nodes of one group whose components differ, whose sizes and tokens left permit a link, and which no star has compared; each pair once, in the first group that both are in."""
+    rows = rows.join(rows.groupBy("node").agg(F.expr("transform(array_sort(collect_list(struct(pos, g))), x -> x.g)").alias("gs")), "node")
+    left, right = (rows.select("g", F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "pos", "root", "pivot", "gs"))) for s in "ab")
+    both = left.join(right, "g").where("a < b AND root_a <> root_b AND pivot_b <> a AND pivot_a <> b").where(_sized(share))
+    both = both.where(f"{share} * (size_a + size_b) <= (100 + {share}) * least(size_a - pos_a, size_b - pos_b)")
+    return both.where(F.get(F.array_intersect("gs_a", "gs_b"), F.lit(0)) == F.col("g")).select("a", "b")
 
 
-def near_groups(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18, small: int = 1024, salts: int = 64) -> DataFrame:
+def _areas(large: DataFrame, work: Scratch) -> DataFrame:
+    """(area, node, size, pivot): the nodes of large groups that share nodes; pivot: the smallest set of the area, so that no difference to it has more than twice a set's tokens."""
+    hub = large.groupBy("g").agg(F.min("node").alias("b"))
+    edges = large.select("g", F.col("node").alias("a")).join(hub, "g").where("a <> b").select("a", "b").distinct()
+    areas = components(edges, f"{work.path}/areas_cc").select("node", F.col("root").alias("area"))
+    areas = areas.join(large.select("node", "size").distinct(), "node")
+    return work.put("areas", areas.join(areas.groupBy("area").agg(F.min(F.struct("size", "node")).alias("pivot")), "area"))
+
+
+def _delta(areas: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(area, node, size, pivot, d, u, far): d are the tokens that differ from the pivot's, far says that they're too many for a link with it.
+
+    u is (100 + share) |d| - (100 - share) size: x and y link if 2 (100 + share) |dx & dy| >= ux + uy.
+    """
+    own = areas.join(sets, "node")
+    mid = areas.select("area", F.col("pivot.node").alias("node")).distinct().join(sets, "node").select("area", F.col("tokens").alias("middle"))
+    d = F.concat(F.array_except("tokens", "middle"), F.array_except("middle", "tokens"))
+    rows = own.join(mid, "area").select("area", "node", "size", "pivot", d.alias("d"))
+    u = (100 + share) * F.size("d") - (100 - share) * F.col("size")
+    return rows.withColumn("u", u).withColumn("far", F.col("u") > (100 - share) * F.col("pivot.size"))
+
+
+def _edits(delta: DataFrame, roots: DataFrame, share: int, work: Scratch, name: str) -> DataFrame:
+    """(area, z, i, node, size, root, u, far, n): the prefix of each node's differences by count in the area; n: how many of them several components have."""
+    rows = _rooted(delta.drop("pivot"), roots)
+    each = rows.select("area", "node", "root", F.explode("d").alias("z"))
+    count = each.groupBy("area", "z").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+    shared = each.join(count, ["area", "z"]).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "z"))).alias("d"))
+    live = work.put(name, rows.drop("d").join(shared, "node"))
+    least = live.groupBy("area").agg(F.min("u").alias("lo"), F.min(F.when(F.col("far"), F.col("u"))).alias("lo_far"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("u") + F.when(F.col("far"), F.col("lo")).otherwise(F.col("lo_far"))) / (2 * (100 + share))))
+    live = live.join(least, "area").withColumn("need", need).where("size(d) >= need")
+    prefix = F.slice("d", F.lit(1), (F.size("d") - F.col("need") + 1).cast("int"))
+    return live.select("area", "node", "size", "root", "u", "far", F.size("d").alias("n"), F.posexplode(F.transform(prefix, lambda x: x["z"])).alias("i", "z"))
+
+
+EDIT = ("node", "size", "root", "u", "far", "n", "i")
+
+
+def _edit_pairs(edits: DataFrame, share: int, star: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share an edit and may link; star: only those with one node of each edit's group, the same whatever the group if it has it."""
+    side = lambda s: [F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in EDIT]
+    left = edits.select("area", "z", *side("a"))
+    if star:
+        right = edits.groupBy("area", "z").agg(F.min_by(F.struct(*EDIT), F.struct(F.xxhash64("node"), "node")).alias("q")).select("area", "z", *(F.col(f"q.{c}").alias("b" if c == "node" else f"{c}_b") for c in EDIT))
+        both = left.join(right, ["area", "z"])
+    else:
+        both = left.join(edits.select("area", "z", *side("b")), ["area", "z"]).where("a < b")
+    both = both.where("root_a <> root_b AND (far_a OR far_b)").where(_sized(share))
+    both = both.where(f"2 * {100 + share} * least(n_a - i_a, n_b - i_b) >= u_a + u_b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_groups(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18, small: int = 32, salts: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs(doc_id, text): texts whose sets of word n-grams have a Jaccard similarity of share/100 or more are linked."""
+    return classes(docs.select("doc_id", "text"), n, share, heavy, small, salts).select("doc_id", "n_shingles", "component_id")
+
+
+def classes(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18, small: int = 32, salts: int = 64) -> DataFrame:
+    """near_groups with the columns row, a string of docs(doc_id, text, row) that names rows where doc_id doesn't, and chosen: whether it's the row of its class with the smallest known doc_id, then row (always, for a text without words)."""
     spark = docs.sparkSession
-    work = new_dir(spark, "jaccard")
+    work = Scratch(spark, "jaccard")
     doc_id = F.col("doc_id").cast("long")
-    docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("key"), "text")
+    row = F.col("row") if "row" in docs.columns else F.lit(None).cast("string").alias("row")
+    docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("key"), "text", row)
     top = heavy_tokens(docs, n, heavy)
-    members = stored(_first_pass(docs, n, share, top), f"{work}/members")
+    members = work.put("members", _first_pass(docs, n, share, top))
     nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("light").alias("light"), F.first("dense").alias("dense"))
     # salt: -1 for a light token, else the part of a heavy token's group in which the node stands
     salt = F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int")
@@ -234,47 +339,46 @@ def near_groups(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 <<
     tokens = tokens.select("node", "size", "salt", (F.col("start") + F.col("at")).alias("pos"), "token")
     w = Window.partitionBy("token", "salt")
     groups = tokens.select("*", F.min(F.struct("node", "size")).over(w).alias("pivot"), F.max("node").over(w).alias("last"))
-    groups = stored(groups.where("salt >= 0 OR pivot.node <> last").select("token", "salt", "node", "size", "pos", "pivot"), f"{work}/groups")
+    groups = work.put("groups", groups.where("salt >= 0 OR pivot.node <> last").select("token", "salt", "node", "size", "pos", "pivot"))
     over = groups.where("salt >= 0 AND node = pivot.node").select("token", "node", "size", F.min(F.struct("node", "size")).over(Window.partitionBy("token")).alias("pivot"))
     star = groups.select("node", "size", "pivot").unionByName(over.select("node", "size", "pivot"))
     star = star.where("node <> pivot.node").select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.col("size").alias("size_a"), F.col("pivot.size").alias("size_b")).where(_sized(share)).select("a", "b").distinct()
-    star = stored(_filtered(star, members, share), f"{work}/star")
-    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stored(_whole_sets(docs, members, ends(star), n, top), f"{work}/sets1")
-    links = stored(_verified(star, sets, share), f"{work}/links")
-    roots = components(links, f"{work}/cc1")
-    rows = groups.select(F.col("token").alias("g"), "node", "size", "pos", F.col("pivot.node").alias("pivot")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rows = _open_groups(rows, share, f"{work}/rest1")
-    pairs = [_cross(rows.where(F.col("n") <= small), share)]
-    for level, order in enumerate(("second", "third"), 2):  # the two other orders
-        large = rows.where(F.col("n") > small).drop("n")
-        prefix = members.join(large.select("node").distinct(), "node", "left_semi").select("node", order).dropDuplicates(["node"])
-        more = large.join(prefix, "node").withColumn("t", F.explode(order)).withColumn("g", F.xxhash64("g", "t")).drop("t", order)
-        rows = _open_groups(more, share, f"{work}/rest{level}")
-        pairs.append(_cross(rows.where(F.col("n") <= small) if level < ORDERS else rows, share))
-    rest = pairs[0].unionByName(pairs[1]).unionByName(pairs[2]).distinct()
-    rest = stored(_filtered(rest, members, share), f"{work}/rest")
-    missing = ends(rest).join(sets.select("node"), "node", "left_anti")
-    if not missing.isEmpty():
-        sets = sets.unionByName(stored(_whole_sets(docs, members, missing, n, top), f"{work}/sets2"))
-    found = _verified(rest, sets, share)
-    for c in ("a", "b"):
-        found = found.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
-    found = stored(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).distinct(), f"{work}/links2")
-    upper = components(found, f"{work}/cc2").select(F.col("node").alias("root"), F.col("root").alias("top"))
-    named = members.select("doc_id", "node", F.col("size").cast("long").alias("n_shingles")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = named.join(upper, "root", "left").withColumn("root", F.coalesce("top", "root")).select("doc_id", "n_shingles", "root")
-    ids = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("smallest"))
-    return named.join(ids, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
-
-
-def _cross(rows: DataFrame, share: int) -> DataFrame:
-    """Pairs of nodes of one group whose components differ, whose sizes and tokens left permit a link, and which no star has compared; each pair once, in the first group that both are in."""
-    rows = rows.join(rows.groupBy("node").agg(F.expr("transform(array_sort(collect_list(struct(pos, g))), x -> x.g)").alias("gs")), "node")
-    left, right = (rows.select("g", F.col("node").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("size", "pos", "root", "pivot", "gs"))) for s in "ab")
-    both = left.join(right, "g").where("a < b AND root_a <> root_b AND pivot_b <> a AND pivot_a <> b").where(_sized(share))
-    both = both.where(f"{share} * (size_a + size_b) <= (100 + {share}) * least(size_a - pos_a, size_b - pos_b)")
-    return both.where(F.get(F.array_intersect("gs_a", "gs_b"), F.lit(0)) == F.col("g")).select("a", "b")
+    star = work.put("star", _filtered(star, members, share))
+    sets = work.put("sets", _whole_sets(docs, members, _ends(star), n, top))
+    links = work.put("links", _verified(star, sets, share))
+    roots = components(links, f"{work.path}/roots_cc")
+
+    def with_sets(nodes: DataFrame, name: str) -> DataFrame:
+        missing = nodes.join(sets.select("node"), "node", "left_anti")
+        return sets if missing.isEmpty() else sets.unionByName(work.put(name, _whole_sets(docs, members, missing, n, top)))
+
+    rows = groups.select(F.col("token").alias("g"), "node", "size", "pos", F.col("pivot.node").alias("pivot"))
+    rows = work.put("open", _several(_rooted(rows, roots), share))
+    work.drop("groups", "star")
+    few, large, edited = rows.where(F.col("n") <= small), rows.where(F.col("n") > small), None
+    if not large.isEmpty():
+        cut = _windows(large, share, work)
+        few, large = few.unionByName(cut.where(F.col("n") <= small)), cut.where(F.col("n") > small)
+    if not large.isEmpty():
+        areas = _areas(large, work)
+        sets = with_sets(areas.select("node"), "sets_large")
+        delta = work.put("delta", _delta(areas, sets, share))
+        near = delta.where("NOT far AND node <> pivot.node").select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
+        dense = work.put("dense", _filtered(_edit_pairs(_edits(delta, roots, share, work, "edits"), share, star=True), members, share))
+        roots = _merged(roots, near.unionByName(_verified(dense, sets, share)), work, "roots_large")
+        edited = _edit_pairs(_edits(delta, roots, share, work, "rest_edits"), share, star=False)
+    rest = _cross(_rooted(few.drop("root"), roots), share)
+    rest = (rest if edited is None else rest.unionByName(edited)).distinct()
+    rest = work.put("rest", _filtered(rest, members, share))
+    sets = with_sets(_ends(rest), "sets_rest")
+    roots = _merged(roots, work.put("links_rest", _verified(rest, sets, share)), work, "roots_all")
+    named = work.put("named", _rooted(members.select("doc_id", "row", "node", F.col("size").cast("long").alias("n_shingles")), roots))
+    work.keep("named")
+    for name in ("roots_cc", "areas_cc", "roots_large_cc", "roots_all_cc"):
+        work.drop(name)
+    ids = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    alone = F.col("root").isNull()
+    return named.join(ids, "root", "left").select("doc_id", "row", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"), (alone | F.col("row").eqNullSafe(F.col("first.row"))).alias("chosen"))
 
 
 ORACLE = """
@@ -291,4 +395,5 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
+    """Classes of all documents by three-word shingles at a similarity of 0.9."""
     return near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, share=90)
