@@ -74,10 +74,9 @@ def matured(rows: DataFrame, *columns: str) -> DataFrame:
 
     A label that is mature at another row's time may be used there, unless the two have the same time.
     """
-    use = ("sport", "match_id", "t", *columns)
-    label = rows.select(*use, F.greatest("mature", F.col("t") + 1).alias("at"), F.lit(0).alias("kind"))
-    ask = rows.select(*use, F.col("t").alias("at"), F.lit(1).alias("kind"))
-    return label.unionByName(ask).repartition("sport").sortWithinPartitions("sport", "at", "kind", "t", "match_id")
+    times = F.array(F.struct(F.greatest("mature", F.col("t") + 1).alias("at"), F.lit(0).alias("kind")), F.struct(F.col("t").alias("at"), F.lit(1).alias("kind")))
+    both = rows.select("sport", "match_id", "t", *columns, F.explode(times).alias("e")).select("sport", "match_id", "t", *columns, "e.at", "e.kind")
+    return both.repartition("sport").sortWithinPartitions("sport", "at", "kind", "t", "match_id")
 
 
 def maturing(x: DataFrame) -> DataFrame:

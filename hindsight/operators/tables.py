@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..sources.roles import DAY, MATCHES, OBS, PREDICTIONS, matches, observations, predictions, table
-from .predicates import r6
+from ..sources.roles import DAY, OBS, PREDICTIONS, matches, observations, predictions, table
 
 
 @query("t1_order_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100")
