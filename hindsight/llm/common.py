@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,6 +58,12 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, path: str, what: str = "true") -> tuple[DataFrame, int]:
+    """stored, with the number of rows for which `what` holds, which the write itself counts."""
+    seen = Observation()
+    return stored(df.observe(seen, F.count_if(F.expr(what)).alias("n")), path), seen.get["n"]
+
+
 class Scratch:
     """The written tables of one run in the shared folder, which are deleted once they are consumed."""
 
@@ -97,31 +103,29 @@ def components(links: DataFrame, work: str) -> DataFrame:
     """(node, root) for every node of links(a, b): root is the smallest node reachable.
 
     Each round hooks every node to its smallest smaller neighbour, flattens the forest by pointer
-    jumping and contracts the links to the roots, so their number falls geometrically. All steps are
+    jumping (two steps at a time) and contracts the links to the roots, so their number falls geometrically. All steps are
     joins and map-side combined aggregates; every round's tables are written in the shared folder, and
     deleted when the next has read them.
     """
     spark = links.sparkSession
     pair = lambda a, b: (F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-    edges = stored(links.where("a <> b").select(*pair(F.col("a"), F.col("b"))).distinct(), f"{work}/edges0")
+    edges, n = counted(links.where("a <> b").select(*pair(F.col("a"), F.col("b"))).distinct(), f"{work}/edges0")
     nodes = None
     step = 0
-    while not edges.isEmpty():
+    while n:
         step += 1
         hook = edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
         tops = edges.select(F.col("lo").alias("node")).distinct().join(hook, "node", "left_anti")
         forest = stored(hook.unionByName(tops.select("node", F.col("node").alias("root"))), f"{work}/forest{step}_0")
-        jump = 0
-        while True:
+        jump, moved = 0, 1
+        while moved:
             up = forest.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = forest.join(up, "root").select("node", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved"))
+            higher = forest.select(F.col("node").alias("above"), F.col("root").alias("top"))
             jump += 1
-            jumped = stored(jumped, f"{work}/forest{step}_{jump}")
+            jumped = forest.join(up, "root").join(higher, "above").select("node", F.col("top").alias("root"), (F.col("top") != F.col("above")).alias("moved"))
+            jumped, moved = counted(jumped, f"{work}/forest{step}_{jump}", "moved")
             drop_dir(spark, f"{work}/forest{step}_{jump - 1}")
-            moved = not jumped.where("moved").isEmpty()
             forest = jumped.select("node", "root")
-            if not moved:
-                break
         if nodes is None:
             nodes = forest
         else:
@@ -129,7 +133,7 @@ def components(links: DataFrame, work: str) -> DataFrame:
             nodes = stored(nodes.join(deeper, "root", "left").select("node", F.coalesce("above", "root").alias("root")), f"{work}/nodes{step}")
         hi, lo = (forest.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("hi", "lo"))
         left = edges.join(hi, "hi").join(lo, "lo").where("hi_root <> lo_root")
-        edges = stored(left.select(*pair(F.col("hi_root"), F.col("lo_root"))).distinct(), f"{work}/edges{step}")
+        edges, n = counted(left.select(*pair(F.col("hi_root"), F.col("lo_root"))).distinct(), f"{work}/edges{step}")
         drop_dir(spark, f"{work}/edges{step - 1}")
     if nodes is None:
         kind = links.schema["a"].dataType

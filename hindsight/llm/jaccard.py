@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,9 +147,8 @@ def _node(s: np.ndarray) -> int:
     return int(shingles.mix(a + b * np.uint64(0xC2B2AE3D27D4EB4F), 9)[0] >> np.uint64(1))
 
 
-def _first_pass(docs: DataFrame, n: int, share: int, heavy: Heavy) -> DataFrame:
+def _first_pass(docs: DataFrame, n: int, share: int, known: Broadcast) -> DataFrame:
     """(doc_id, key, row, node, size, light, dense, second, third): each row's set id and size, its first-order prefix by class of token, and 32 bits of the tokens of its other prefixes."""
-    known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def task(batches):
         rarity, *rest = known.value
@@ -169,16 +169,15 @@ def _first_pass(docs: DataFrame, n: int, share: int, heavy: Heavy) -> DataFrame:
     return docs.select("doc_id", "key", "row", "text").mapInArrow(task, "doc_id long, key long, row string, node long, size int, light array<long>, dense array<long>, second array<int>, third array<int>")
 
 
-def _whole_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int, heavy: Heavy, broadcast_most: int = 1 << 20) -> DataFrame:
+def _whole_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int, known: Broadcast, broadcast_most: int = 1 << 20) -> DataFrame:
     """(node, tokens) of the nodes(node), from one text of each. Their keys are broadcast up to broadcast_most of 8 bytes, else joined by a shuffle."""
     keys = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key").distinct()
     few = keys.limit(broadcast_most + 1).count() <= broadcast_most
     texts = docs.join(F.broadcast(keys) if few else keys, "key", "left_semi")
-    known = docs.sparkSession.sparkContext.broadcast(heavy[0])
 
     def task(batches):
         for b in batches:
-            rows = [s for _, s, _ in shingles.sets(b.column("text"), n, known.value) if len(s)]
+            rows = [s for _, s, _ in shingles.sets(b.column("text"), n, known.value[0]) if len(s)]
             for i in range(0, len(rows), 500):
                 part = rows[i : i + 500]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in part], pa.int64()), _lists(part)], names=["node", "tokens"])
@@ -329,7 +328,7 @@ def classes(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18,
     doc_id = F.col("doc_id").cast("long")
     row = F.col("row") if "row" in docs.columns else F.lit(None).cast("string").alias("row")
     docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("key"), "text", row)
-    top = heavy_tokens(docs, n, heavy)
+    top = spark.sparkContext.broadcast(heavy_tokens(docs, n, heavy))
     members = work.put("members", _first_pass(docs, n, share, top))
     nodes = members.where("node IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("light").alias("light"), F.first("dense").alias("dense"))
     # salt: -1 for a light token, else the part of a heavy token's group in which the node stands
@@ -374,6 +373,7 @@ def classes(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18,
     roots = _merged(roots, work.put("links_rest", _verified(rest, sets, share)), work, "roots_all")
     named = work.put("named", _rooted(members.select("doc_id", "row", "node", F.col("size").cast("long").alias("n_shingles")), roots))
     work.keep("named")
+    top.unpersist()
     for name in ("roots_cc", "areas_cc", "roots_large_cc", "roots_all_cc"):
         work.drop(name)
     ids = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))

@@ -127,7 +127,7 @@ LOW = _U((1 << 59) - 1)
 class Rarity:
     """Bands of words by their share of all words: 0 for what isn't in the table (rare), up to 31, half a power of two each."""
 
-    def __init__(self, word: np.ndarray, count: np.ndarray, total: int, bits: int = 21):
+    def __init__(self, word: np.ndarray, count: np.ndarray, total: int, bits: int = 20):
         self.mask = _U((1 << bits) - 1)
         self.key, self.band = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint8)
         band = np.clip(np.floor(2 * np.log2(count / max(total, 1) * 2**20)) + 1, 1, 31).astype(np.uint8)
