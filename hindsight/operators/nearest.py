@@ -60,8 +60,9 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block_rows: int = 8192,
     have one length and no nulls.
     """
     spark = rows.sparkSession
+    n_rows = rows.count()
     n_blocks = max(1, -(-queries.count() // block_rows))
-    n_shards = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // 1024)), -(-rows.count() // shard_rows))
+    n_shards = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // 1024)), -(-n_rows // shard_rows))
     place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     dealt = lambda df, kind, block, shard: df.select("id", "x", block.alias("block")).select("id", "x", "block", shard.alias("shard"), F.lit(kind).alias("kind"))
@@ -105,16 +106,15 @@ STATS = ("view", "click", "error")
 
 
 def trajectory_cases(spark, sf: str) -> DataFrame:
-    """(id, t, done, f1 .. f3, s1 .. s3): a target's features (the latest values of three stats at its cutoff, null if none), its states after each horizon, and when the last of them was seen. Targets that lack a state are dropped."""
-    t = targets(spark, sf)
-    o = observations(spark, sf)
+    """(id, t, done, f1 .. f3, s1 .. s3): a target's features (the latest values of three stats at its cutoff, null if none), its states after each horizon, and when the last of them was seen. Targets that lack a state are dropped. A row a target, which is kept for the passes that follow (and computed again where an executor is lost)."""
+    t, o = targets(spark, sf), observations(spark, sf)
     probes = t.select("event_id", "pid", "cutoff", F.explode(F.array(*map(F.lit, STATS))).alias("stat"))
     known = o.select("pid", "stat", F.greatest("t", "avail").alias("known"), F.struct("t", "event_id", "value").alias("v"))
     last = asof_join(probes, known, ["pid", "stat"], "cutoff", "known", ["v"])
     f = last.groupBy("event_id").agg(*(F.max(F.when(F.col("stat") == s, F.col("last_v.value"))).alias(f"f{i}") for i, s in enumerate(STATS, 1)))
     ahead = forward_asof(t.select("pid", F.col("event_id").alias("anchor_id"), "t"), o.select("pid", "t", "value"), ["pid"], list(HORIZONS))
     s = ahead.groupBy(F.col("anchor_id").alias("event_id")).agg(F.max("at").alias("done"), *(F.max(F.when(F.col("h") == h, F.col("value"))).alias(f"s{i}") for i, h in enumerate(HORIZONS, 1)))
-    return t.join(s, "event_id").join(f, "event_id").select(F.col("event_id").alias("id"), "t", "done", "f1", "f2", "f3", "s1", "s2", "s3")
+    return t.join(s, "event_id").join(f, "event_id").select(F.col("event_id").alias("id"), "t", "done", "f1", "f2", "f3", "s1", "s2", "s3").persist()
 
 
 def scaled(cases: DataFrame, memory: DataFrame, names: list[str]) -> DataFrame:
