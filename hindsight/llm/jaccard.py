@@ -185,13 +185,14 @@ def _whole_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int, k
     return texts.select("text").mapInArrow(task, "node long, tokens array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _filtered(pairs: DataFrame, members: DataFrame, share: int) -> DataFrame:
-    """The pairs (a, b) whose prefixes share enough under each order.
+def _filtered(pairs: DataFrame, members: DataFrame, share: int, work: Scratch, name: str) -> DataFrame:
+    """The pairs (a, b) whose prefixes share enough under each order, a written table.
 
     A link needs `need` shared tokens; all but |x| - need of x's first p tokens are then among the
     first shared ones, and likewise for y. Tokens that coincide in their 32 bits are allowed for.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    pairs = work.put(f"{name}_pairs", pairs)  # they are read three times
+    nodes = _ends(pairs)
     p = lambda n: f"({n} - ceil({n} * {share} / 100) + 1)"
     sig = members.join(nodes, "node", "left_semi").select("node", "size", F.concat("light", "dense").alias("first"), "second", "third").dropDuplicates(["node"])
     left, right = (sig.select(*(F.col(c).alias(f"{c}_{s}" if c != "node" else s) for c in sig.columns)) for s in "ab")
@@ -199,7 +200,9 @@ def _filtered(pairs: DataFrame, members: DataFrame, share: int) -> DataFrame:
     floor = f"greatest(1, least({p('size_a')} - size_a, {p('size_b')} - size_b) + {need})"
     lost = lambda c: f"({p('size_a')} - size({c}_a) + {p('size_b')} - size({c}_b))"
     ok = " AND ".join(f"size(array_intersect({c}_a, {c}_b)) >= greatest(1, {floor} - {lost(c)})" for c in ("first", "second", "third"))
-    return pairs.join(left, "a").join(right, "b").where(ok).select("a", "b")
+    kept = work.put(name, pairs.join(left, "a").join(right, "b").where(ok).select("a", "b"))
+    work.drop(f"{name}_pairs")
+    return kept
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -251,7 +254,8 @@ def _merged(roots: DataFrame, links: DataFrame, work: Scratch, name: str) -> Dat
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    """The nodes of a written table of pairs."""
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
 
 def _cross(rows: DataFrame, share: int) -> DataFrame:
@@ -342,7 +346,7 @@ def classes(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18,
     over = groups.where("salt >= 0 AND node = pivot.node").select("token", "node", "size", F.min(F.struct("node", "size")).over(Window.partitionBy("token")).alias("pivot"))
     star = groups.select("node", "size", "pivot").unionByName(over.select("node", "size", "pivot"))
     star = star.where("node <> pivot.node").select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.col("size").alias("size_a"), F.col("pivot.size").alias("size_b")).where(_sized(share)).select("a", "b").distinct()
-    star = work.put("star", _filtered(star, members, share))
+    star = _filtered(star, members, share, work, "star")
     sets = work.put("sets", _whole_sets(docs, members, _ends(star), n, top))
     links = work.put("links", _verified(star, sets, share))
     roots = components(links, f"{work.path}/roots_cc")
@@ -363,12 +367,12 @@ def classes(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18,
         sets = with_sets(areas.select("node"), "sets_large")
         delta = work.put("delta", _delta(areas, sets, share))
         near = delta.where("NOT far AND node <> pivot.node").select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
-        dense = work.put("dense", _filtered(_edit_pairs(_edits(delta, roots, share, work, "edits"), share, star=True), members, share))
+        dense = _filtered(_edit_pairs(_edits(delta, roots, share, work, "edits"), share, star=True), members, share, work, "dense")
         roots = _merged(roots, near.unionByName(_verified(dense, sets, share)), work, "roots_large")
         edited = _edit_pairs(_edits(delta, roots, share, work, "rest_edits"), share, star=False)
     rest = _cross(_rooted(few.drop("root"), roots), share)
     rest = (rest if edited is None else rest.unionByName(edited)).distinct()
-    rest = work.put("rest", _filtered(rest, members, share))
+    rest = _filtered(rest, members, share, work, "rest")
     sets = with_sets(_ends(rest), "sets_rest")
     roots = _merged(roots, work.put("links_rest", _verified(rest, sets, share)), work, "roots_all")
     named = work.put("named", _rooted(members.select("doc_id", "row", "node", F.col("size").cast("long").alias("n_shingles")), roots))
