@@ -39,7 +39,7 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -346,16 +346,29 @@ def classes(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18,
     over = groups.where("salt >= 0 AND node = pivot.node").select("token", "node", "size", F.min(F.struct("node", "size")).over(Window.partitionBy("token")).alias("pivot"))
     star = groups.select("node", "size", "pivot").unionByName(over.select("node", "size", "pivot"))
     star = star.where("node <> pivot.node").select(F.col("node").alias("a"), F.col("pivot.node").alias("b"), F.col("size").alias("size_a"), F.col("pivot.size").alias("size_b")).where(_sized(share)).select("a", "b").distinct()
-    star = _filtered(star, members, share, work, "star")
-    sets = work.put("sets", _whole_sets(docs, members, _ends(star), n, top))
+    rows = groups.select(F.col("token").alias("g"), "node", "size", "pos", F.col("pivot.node").alias("pivot"))
+    sift = lambda pairs, name: _filtered(pairs, members, share, work, name)
+    out = linked(docs, members, rows, star, n, share, small, top, work, sift)
+    top.unpersist()
+    return out
+
+
+def linked(docs: DataFrame, members: DataFrame, rows: DataFrame, star: DataFrame, n: int, share: int, small: int, known: Broadcast, work: Scratch, sift: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """classes of docs(doc_id, key, row, text) whose sets are members(doc_id, key, row, node, size).
+
+    rows(g, node, size, pos, pivot): groups such that any two nodes that link share one; pivot: the node of
+    the group that star(a, b) pairs with all others; sift gives those of some pairs that can still link, a
+    written table by that name.
+    """
+    star = sift(star, "star")
+    sets = work.put("sets", _whole_sets(docs, members, _ends(star), n, known))
     links = work.put("links", _verified(star, sets, share))
     roots = components(links, f"{work.path}/roots_cc")
 
     def with_sets(nodes: DataFrame, name: str) -> DataFrame:
         missing = nodes.join(sets.select("node"), "node", "left_anti")
-        return sets if missing.isEmpty() else sets.unionByName(work.put(name, _whole_sets(docs, members, missing, n, top)))
+        return sets if missing.isEmpty() else sets.unionByName(work.put(name, _whole_sets(docs, members, missing, n, known)))
 
-    rows = groups.select(F.col("token").alias("g"), "node", "size", "pos", F.col("pivot.node").alias("pivot"))
     rows = work.put("open", _several(_rooted(rows, roots), share))
     work.drop("groups", "star")
     few, large, edited = rows.where(F.col("n") <= small), rows.where(F.col("n") > small), None
@@ -367,17 +380,16 @@ def classes(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18,
         sets = with_sets(areas.select("node"), "sets_large")
         delta = work.put("delta", _delta(areas, sets, share))
         near = delta.where("NOT far AND node <> pivot.node").select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
-        dense = _filtered(_edit_pairs(_edits(delta, roots, share, work, "edits"), share, star=True), members, share, work, "dense")
+        dense = sift(_edit_pairs(_edits(delta, roots, share, work, "edits"), share, star=True), "dense")
         roots = _merged(roots, near.unionByName(_verified(dense, sets, share)), work, "roots_large")
         edited = _edit_pairs(_edits(delta, roots, share, work, "rest_edits"), share, star=False)
     rest = _cross(_rooted(few.drop("root"), roots), share)
     rest = (rest if edited is None else rest.unionByName(edited)).distinct()
-    rest = _filtered(rest, members, share, work, "rest")
+    rest = sift(rest, "rest")
     sets = with_sets(_ends(rest), "sets_rest")
     roots = _merged(roots, work.put("links_rest", _verified(rest, sets, share)), work, "roots_all")
     named = work.put("named", _rooted(members.select("doc_id", "row", "node", F.col("size").cast("long").alias("n_shingles")), roots))
     work.keep("named")
-    top.unpersist()
     for name in ("roots_cc", "areas_cc", "roots_large_cc", "roots_all_cc"):
         work.drop(name)
     ids = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("smallest"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import bpe, chat, decontam, hardneg, jaccard, quality, secrets, spelling, tokenbin, topk, urls, warc
+from . import bpe, chat, decontam, hamming, hardneg, jaccard, quality, secrets, spelling, tokenbin, topk, urls, warc
 
 QUERIES = {
     "op1_token_planes": tokenbin.op1_token_planes,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_url_lists": urls.op9_url_lists,
     "op10_warc": warc.op10_warc,
+    "op11_minhash_hamming": hamming.op11_minhash_hamming,
     "op12_hard_negatives": hardneg.op12_hard_negatives,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
@@ -23,6 +24,7 @@ ORACLE_SQL = {
     "op8_ngram_jaccard": jaccard.ORACLE,
     "op9_url_lists": urls.ORACLE,
     "op10_warc": warc.ORACLE,
+    "op11_minhash_hamming": hamming.ORACLE,
     "op12_hard_negatives": hardneg.ORACLE,
     "op13_spelling_variants": spelling.ORACLE,
 }
