@@ -24,11 +24,12 @@ extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import new_dir, partitions, stored
@@ -70,25 +71,22 @@ def parse(piece: str) -> tuple[str, str]:
     return unescape(m["role"]), unescape(m["text"])
 
 
-def _rows(frames: Iterator[pd.DataFrame], *names: str):
-    for f in frames:
-        yield from zip(*(f[n].astype(object).where(f[n].notna(), None) for n in names), strict=True)
+def _rows(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(b.column(n).to_pylist() for n in names), strict=True)
 
 
-def _batches(rows: Iterator[tuple], schema: str, size: int = 2000) -> Iterator[pd.DataFrame]:
-    names, held = [x.split()[0] for x in schema.split(", ")], []
-    for r in rows:
-        held.append(r)
-        if len(held) == size:
-            yield pd.DataFrame(held, columns=names, dtype=object)
-            held = []
-    yield pd.DataFrame(held, columns=names, dtype=object)
+def _batches(rows: Iterator[tuple], schema: str, size: int = 2000) -> Iterator[pa.RecordBatch]:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    arrow = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in zip(names, kinds, strict=True)])
+    for held in itertools.batched(rows, size):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), arrow.types, strict=True)], schema=arrow)
 
 
-def folded(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Final messages (conv_id, slot, nth, role, text) from events sorted by conversation, slot and seq."""
     key, open_, nth, cut, later = None, None, 0, None, None
-    for conv, slot, seq, kind, role, text in _rows(frames, "conv_id", "slot", "seq", "kind", "role", "text"):
+    for conv, slot, seq, kind, role, text in _rows(batches, "conv_id", "slot", "seq", "kind", "role", "text"):
         if key is None or (conv, slot) != key:
             if open_:
                 yield (*key, nth, open_[0], "".join(open_[1]))
@@ -125,33 +123,33 @@ def reconstruct(events: DataFrame) -> DataFrame:
     rank = F.coalesce(*(F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)))
     e = events.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("slot").cast("long").alias("slot"), F.col("seq").cast("long").alias("seq"), "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), rank.alias("rank"))
     e = e.repartition(partitions(events.sparkSession), "conv_id").sortWithinPartitions("conv_id", "slot", "seq", "rank", "role", "text")
-    return e.mapInPandas(lambda frames: _batches(folded(frames), MESSAGE), MESSAGE)
+    return e.mapInArrow(lambda batches: _batches(folded(batches), MESSAGE), MESSAGE)
 
 
 def formatted(messages: DataFrame) -> DataFrame:
     """A rendered piece with its loss span for every message; a conversation's text is its pieces in order."""
 
-    def rows(frames):
-        for conv, slot, nth, role, text in _rows(frames, "conv_id", "slot", "nth", "role", "text"):
+    def rows(batches):
+        for conv, slot, nth, role, text in _rows(batches, "conv_id", "slot", "nth", "role", "text"):
             yield (conv, slot, nth, *render(role, text))
 
-    return messages.mapInPandas(lambda frames: _batches(rows(frames), PIECE), PIECE)
+    return messages.mapInArrow(lambda batches: _batches(rows(batches), PIECE), PIECE)
 
 
 def digests(pieces: DataFrame) -> DataFrame:
     """One row per conversation from its pieces, read in order with constant memory."""
     out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
-    def turns(frames):
-        for conv, slot, nth, piece, a, b in _rows(frames, "conv_id", "slot", "nth", "formatted", "loss_start", "loss_end"):
+    def turns(batches):
+        for conv, slot, nth, piece, a, b in _rows(batches, "conv_id", "slot", "nth", "formatted", "loss_start", "loss_end"):
             role, text = parse(piece)
             yield conv, slot, nth, role, text, unescape(piece[a:b]), len(piece)
 
     seen = "conv_id long, slot long, nth long, role string, text string, loss string, chars long"
 
-    def rows(frames):
+    def rows(batches):
         now, first = None, True
-        for conv, role, text, loss, chars in _rows(frames, "conv_id", "role", "text", "loss", "chars"):
+        for conv, role, text, loss, chars in _rows(batches, "conv_id", "role", "text", "loss", "chars"):
             if first or conv != now:
                 if not first:
                     yield now, n, all_.hexdigest(), loss_n, lossy.hexdigest(), size
@@ -162,23 +160,24 @@ def digests(pieces: DataFrame) -> DataFrame:
         if not first:
             yield now, n, all_.hexdigest(), loss_n, lossy.hexdigest(), size
 
-    parsed = pieces.mapInPandas(lambda frames: _batches(turns(frames), seen), seen)
+    parsed = pieces.mapInArrow(lambda batches: _batches(turns(batches), seen), seen)
     parsed = parsed.repartition(partitions(pieces.sparkSession), "conv_id").sortWithinPartitions("conv_id", "slot", "nth")
-    return parsed.mapInPandas(lambda frames: _batches(rows(frames), out), out)
+    return parsed.mapInArrow(lambda batches: _batches(rows(batches), out), out)
 
 
 def logged(rows: DataFrame) -> DataFrame:
     """The log of a chat service that ends in the messages of rows(conv_id, turn, role, text).
 
-    By a hash of conversation and turn a message is written at once, streamed in three deltas, written as a
-    draft and edited, or answered twice: a draft, a user's turn after it, a regeneration and its deltas.
-    Turns that repeat, are null or lie beyond 2**58 are written at once.
+    A message's events are numbered from 16 times its turn's rank in the conversation on. By a hash of
+    conversation and turn it is written at once, streamed in three deltas, written as a draft and edited, or
+    answered twice: a draft, a user's turn after it, a regeneration and its deltas. Turns that repeat, are
+    null or can't have a turn after them are written at once, as are rows without a conversation.
     """
-    text, role, near = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit("")), F.abs("turn") < 2**58
-    many = rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(many, ["conv_id", "turn"], "left")
-    way = F.when(F.col("n").isNull() & near & F.col("conv_id").isNotNull(), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))).otherwise(0)
-    rows = rows.select("conv_id", F.col("turn").alias("slot"), F.when(near, F.col("turn") * 16).otherwise(F.col("turn")).alias("seq"), role.alias("role"), text.alias("text"), way.alias("way"))
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    rank = F.dense_rank().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), rank.alias("rank"), F.count("*").over(Window.partitionBy("conv_id", "turn")).alias("n"))
+    way = F.when((F.col("n") == 1) & (F.col("turn") < 2**63 - 1) & F.col("conv_id").isNotNull(), F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))).otherwise(0)
+    rows = rows.select("conv_id", F.col("turn").alias("slot"), (F.col("rank") * 16).alias("seq"), "role", "text", way.alias("way"))
     third = F.ceil(F.char_length("text") / 3).cast("int")
     part = lambda i: F.substring("text", third * i + 1, third)
     event = lambda at, kind, text, later=0, role="role": F.struct(F.lit(later).alias("later"), F.lit(at).alias("at"), F.lit(kind).alias("kind"), (F.col("role") if role == "role" else F.lit(role)).alias("role"), text.alias("text"))

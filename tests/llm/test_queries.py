@@ -251,3 +251,16 @@ def test_work_folders_without_a_scheme(spark):
     assert common.qualified(spark, "/tmp/plain/") == "file:///tmp/plain"
     assert common.qualified(spark, "hdfs://name/x/") == "hdfs://name/x"
     assert "://" in common.shared_dir(spark)
+
+
+def test_op2_turns_of_any_size(spark):
+    """Extreme, negative, null and repeated turns: each message comes back once, in order."""
+    edge = [-(2**63), -(2**58) - 1, -16, -1, 0, 1, 2**56, 2**57, 2**58 + 5, 2**58 + 6, 2**63 - 2, 2**63 - 1]
+    rows_ = [(c, t, ("user", "assistant")[i % 2], f"text {c} {t}") for c in range(40) for i, t in enumerate(edge)]
+    rows_ += [(50, None, "user", "a"), (50, None, "user", "b"), (50, 3, "user", "c"), (50, 3, "user", "c"), (None, 1, "user", "x"), (None, 1, "user", "y"), (51, 2**63 - 1, None, None)]
+    df = spark.createDataFrame(rows_, "conv_id long, turn long, role string, text string").withColumn("slot", F.lit(1)).withColumn("n", F.lit("n"))
+    got = chat.reconstruct(chat.logged(df)).collect()
+    key = lambda x: (x is None, x or 0)
+    assert sorted((key(r.conv_id), r.role, r.text) for r in got) == sorted((key(c), r or "", t or "") for c, _, r, t in rows_)
+    for c in range(40):
+        assert [r.text for r in sorted((r for r in got if r.conv_id == c), key=lambda r: (r.slot, r.nth))] == [f"text {c} {t}" for t in edge]
