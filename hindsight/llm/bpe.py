@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import new_dir, shipped
+from .common import frugal, new_dir, shipped
 from .words import ChunkCoder, ragged
 
 #: How the tokenizer file splits (its white-space class spelt out).
@@ -245,6 +245,7 @@ def _worker(tokenizer: str, lexicon: str) -> tuple[ChunkCoder, Decoder]:
 def frequent_chunks(docs: DataFrame, most: int, window: int = 2_000_000, least: int = 4) -> list[str]:
     """The most frequent chunks by counts over all texts; a task passes on what occurs `least` times in a window of its words."""
 
+    @frugal
     def task(batches):
         held, size, text = [], 0, {}
 
@@ -297,6 +298,7 @@ def encoded(docs: DataFrame, tokenizer: str, *keep: str, lexicon: str | None = N
     if digests:
         schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string")
 
+    @frugal
     def task(batches):
         coder, decoder = _worker(SparkFiles.get(file), SparkFiles.get(name))
         for b in batches:
@@ -318,6 +320,7 @@ def decoded(rows: DataFrame, tokenizer: str, *keep: str) -> DataFrame:
     """The columns in keep and the text of each row's ids; null ids decode to the empty text."""
     file = shipped(rows.sparkSession, tokenizer)
 
+    @frugal
     def task(batches):
         decoder = Decoder(Vocabulary(SparkFiles.get(file)))
         for b in batches:

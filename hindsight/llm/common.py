@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +69,19 @@ def counted(df: DataFrame, path: str, what: str = "true") -> tuple[DataFrame, in
     return stored(df.observe(seen, F.count_if(F.expr(what)).alias("n")), path), seen.get["n"]
 
 
+def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow task that gives its freed memory back to the system when it ends, as its Python worker lives on into later stages."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 class Scratch:
     """The written tables of one run in the shared folder, which are deleted once they are consumed."""
 

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import Scratch, components, drop_dir, new_dir, stored
+from .common import Scratch, components, drop_dir, frugal, new_dir, stored
 
 ORDERS = 3
 
@@ -68,6 +68,7 @@ def heavy_tokens(docs: DataFrame, n: int, most: int, window: int = 1_500_000, le
     orders made from these counts steer speed only, never results.
     """
 
+    @frugal
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = ([], []), 0
 
@@ -150,6 +151,7 @@ def _node(s: np.ndarray) -> int:
 def _first_pass(docs: DataFrame, n: int, share: int, known: Broadcast) -> DataFrame:
     """(doc_id, key, row, node, size, light, dense, second, third): each row's set id and size, its first-order prefix by class of token, and 32 bits of the tokens of its other prefixes."""
 
+    @frugal
     def task(batches):
         rarity, *rest = known.value
         orders = Orders(*rest)
@@ -175,6 +177,7 @@ def _whole_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int, k
     few = keys.limit(broadcast_most + 1).count() <= broadcast_most
     texts = docs.join(F.broadcast(keys) if few else keys, "key", "left_semi")
 
+    @frugal
     def task(batches):
         for b in batches:
             rows = [s for _, s, _ in shingles.sets(b.column("text"), n, known.value[0]) if len(s)]

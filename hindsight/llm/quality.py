@@ -17,6 +17,7 @@ ignored or kept (`classified`); an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import table
+from .common import frugal, table
 
 WORDS, SHAPES, BANDS = 1024, 512, 64
 DIM = WORDS + SHAPES + BANDS
@@ -137,8 +138,9 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096) -> Mode
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("quality").alias("quality"))
 
+    @frugal
     def task(batches):
-        for b in batches:
+        for b in _few(batches):
             x = features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["doc_id", "quality", "x"])
 
@@ -147,14 +149,22 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096) -> Mode
     return fitted(x, rows.column("quality").to_numpy())
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, as their features take DIM numbers a row."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def scored(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """The columns named in keep, and each row's score from its whole text."""
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(model)
     schema = docs.select(*keep).schema.add("score", "double")
 
+    @frugal
     def task(batches):
-        for b in batches:
+        for b in _few(batches):
             score = known.value.score(features(b.column("text")))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
 
