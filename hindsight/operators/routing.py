@@ -177,22 +177,3 @@ def r4(spark, sf):
     mean, other = sum(p) / 3, sum(a * b for a, b in zip(w, p, strict=True))
     strength = 0.75 * (worst - best) / (worst - best + 0.1)
     return rows.select("sport", "match_id", F.round(mean + strength * (other - mean), 5).alias("p"), F.round(strength, 5).alias("strength"))
-
-
-@query("r13_case_risk")
-def r13(spark, sf):
-    """The chance that the mean of the models is wrong, from its confidence, entropy and the models' spread: each half of the development rows is scored by a model of the other, the holdout by a model of both."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    m = (F.col("p1") + F.col("p2") + F.col("p3")) / 3
-    x = _parted(spark, sf).withColumns({"mean": m, "sure": F.abs(m - 0.5), "entropy": -m * F.ln(m) - (1 - m) * F.ln(1 - m), "gap": F.greatest("p1", "p2", "p3") - F.least("p1", "p2", "p3"), "label": ((m >= 0.5) != (F.col("y") == 1)).cast("double")})
-    x = VectorAssembler(inputCols=["mean", "sure", "entropy", "gap", "p1", "p2", "p3"], outputCol="features").transform(x)
-    x = x.withColumn("fold", F.when(F.col("part") > 0.78, "holdout").when(F.col("part") <= 0.39, "first").otherwise("second"))
-    out = None
-    for fold, learnt in (("first", ["second"]), ("second", ["first"]), ("holdout", ["first", "second"])):
-        model = LogisticRegression(regParam=0.01, probabilityCol="prob", predictionCol="hit", rawPredictionCol="raw").fit(x.where(F.col("fold").isin(learnt)))
-        r = model.transform(x.where(F.col("fold") == fold)).select("sport", "match_id", "fold", F.round(vector_to_array("prob")[1], 4).alias("risk"), F.col("label").cast("int").alias("wrong"))
-        out = r if out is None else out.unionByName(r)
-    return out

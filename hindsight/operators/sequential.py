@@ -358,67 +358,6 @@ def d4x(spark, sf):
     return predictions(spark, sf).select("match_id", (F.col("t") - 3_600_000_000).alias("valid_from"), F.col("t").alias("expires"), F.when(p >= 0.7, "B").when(p <= 0.3, "A").otherwise("NONE").alias("call"))
 
 
-def _calibration(spark, sf, first: float, last: float):
-    """The prediction matrix with logits and features, and its rows between two shares of each sport's order."""
-    from pyspark.ml.feature import VectorAssembler
-
-    x = predictions(spark, sf)
-    x = x.join(x.groupBy("sport").agg(F.max("seq").alias("n")), "sport").withColumn("part", F.col("seq") / F.col("n"))
-    x = x.withColumns({"a": F.ln("p1"), "b": -F.ln(1 - F.col("p1")), "logit": F.ln(F.col("p1") / (1 - F.col("p1"))), "label": F.col("y").cast("double")})
-    for columns, name in ((["logit"], "one"), (["a", "b"], "two")):
-        x = VectorAssembler(inputCols=columns, outputCol=name).transform(x)
-    return x.where(F.col("part") <= first), x.where((F.col("part") > first) & (F.col("part") <= last))
-
-
-def calibrated(train: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with sigmoid, beta and isotonic calibrations of p1 that train fits."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.regression import IsotonicRegression
-
-    for features, name in (("one", "sigmoid"), ("two", "beta")):
-        m = LogisticRegression(featuresCol=features, probabilityCol="prob", predictionCol="hit", rawPredictionCol="raw").fit(train)
-        rows = m.transform(rows).withColumn(name, vector_to_array("prob")[1]).drop("prob", "hit", "raw")
-    return IsotonicRegression(featuresCol="one", predictionCol="isotonic").fit(train).transform(rows)
-
-
-@query("c1_fitted_calibrators")
-def c1(spark, sf):
-    """Per sport the calibrator of least log loss on the rows after those that fitted it, if it gains 0.002 and doesn't lose in Brier score; else none."""
-    from .predicates import brier, log_loss
-
-    t = calibrated(*_calibration(spark, sf, 0.6, 1.0))
-    names = ("p1", "sigmoid", "beta", "isotonic")
-    loss = lambda c: F.avg(log_loss(F.col(c), F.col("y"), 1e-3)).alias(f"ll_{c}")
-    score = lambda c: F.avg(brier(F.col(c), F.col("y"))).alias(f"br_{c}")
-    g = t.groupBy("sport").agg(*map(loss, names), *map(score, names))
-    fair = [F.when((F.col("ll_p1") - F.col(f"ll_{c}") >= 0.002) & (F.col(f"br_{c}") <= F.col("br_p1")), F.struct(F.col(f"ll_{c}").alias("ll"), F.lit(c).alias("name"))) for c in names[1:]]
-    chosen = F.coalesce(F.array_min(F.array_compact(F.array(*fair)))["name"], F.lit("none"))
-    return g.select("sport", *(F.round(f"ll_{c}", 4).alias(c) for c in names), chosen.alias("chosen"))
-
-
-@query("c2_tail_calibration")
-def c2(spark, sf):
-    """Calibration inside the training rows: a logistic base of p1 and p2 is fitted on their first 80 %, its sigmoid on the last 20 %, then the base on all of them, and both are applied to what follows."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    train, test = _calibration(spark, sf, 0.7, 1.0)
-    pair = VectorAssembler(inputCols=["p1", "p2"], outputCol="pair")
-    fit = lambda rows: LogisticRegression(featuresCol="pair", probabilityCol="prob", predictionCol="hit", rawPredictionCol="raw").fit(pair.transform(rows))
-
-    def scored(m, rows):
-        q = vector_to_array("prob")[1]
-        x = m.transform(pair.transform(rows)).withColumn("base", q).withColumn("z", F.ln(q / (1 - q))).drop("prob", "hit", "raw")
-        return VectorAssembler(inputCols=["z"], outputCol="zs").transform(x)
-
-    tail = scored(fit(train.where(F.col("part") <= 0.56)), train.where(F.col("part") > 0.56))
-    sigmoid = LogisticRegression(featuresCol="zs", probabilityCol="prob", predictionCol="hit", rawPredictionCol="raw").fit(tail)
-    out = sigmoid.transform(scored(fit(train), test))
-    return out.select("sport", "match_id", F.round("base", 4).alias("base"), F.round(vector_to_array("prob")[1], 4).alias("calibrated"))
-
-
 @query("l1_model_pool")
 def l1(spark, sf):
     """Held-out accuracy of three model families on the prediction matrix, with medians for missing values and time-decay weights."""

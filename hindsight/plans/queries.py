@@ -1,7 +1,7 @@
 """All queries of the engine's own operators."""
 
 from ..functions import scalars  # noqa: F401
-from ..operators import aggregates, audit, evaluation, nearest, pit, predicates, routing, sequential, tables, windows  # noqa: F401
+from ..operators import aggregates, audit, evaluation, folds, nearest, pit, predicates, routing, sequential, tables, windows  # noqa: F401
 from ..sources import scans  # noqa: F401
 from .catalog import ORACLE_SQL, QUERIES
 
