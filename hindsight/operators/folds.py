@@ -265,6 +265,49 @@ def l3(spark, sf):
     return m.select("sport", "fold", "holdout", "model", "n", *(F.round(c, 5).alias(c) for c in ("logloss", "brier", "ece", "accuracy")))
 
 
+# Model pool
+
+
+LINEAR_POOL = {
+    "logistic": Model(("p1", "p2", "p3"), c=1.0, missing=True, weight="w"),
+    "strict": Model(("p1", "p2", "p3"), c=0.05, missing=True, weight="w"),
+    "recent": Model(("p1", "p2", "p3"), c=1.0, missing=True, weight="newer"),
+    "mirrored": Model(("d1", "d2", "d3"), c=1.0, weight="w"),
+}
+
+
+def tree_pool(train: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows with P(1) by a forest and by boosted trees; a missing p3 is its median, beside a flag. Both are written tables."""
+    from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+    from pyspark.ml.feature import Imputer, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    filled = Imputer(strategy="median", inputCols=["p3"], outputCols=["p3i"]).fit(train)
+    inputs = VectorAssembler(inputCols=["p1", "p2", "p3i", "gap3"], outputCol="features")
+    train, rows = (inputs.transform(filled.transform(x.withColumns({"label": F.col("y").cast("double"), "gap3": F.col("p3").isNull().cast("double")}))) for x in (train, rows))
+    for name, m in (("forest", RandomForestClassifier(weightCol="w", numTrees=10, maxDepth=4, seed=7)), ("boosted", GBTClassifier(weightCol="w", maxIter=5, maxDepth=3, seed=7))):
+        rows = m.setProbabilityCol("prob").setRawPredictionCol("raw").setPredictionCol("hit").fit(train).transform(rows).withColumn(name, vector_to_array("prob")[1]).drop("prob", "raw", "hit")
+    return rows.drop("features", "label", "gap3", "p3i")
+
+
+@query("l1_model_pool")
+def l1(spark, sf):
+    """Held-out scores of a pool on the prediction matrix: logistic models of two strengths, on the newer rows alone, and on rows and their mirror images (sides swapped, label flipped), a forest and boosted trees; missing values have indicators, older rows weigh less. All sports are one set."""
+    share = F.col("seq") / F.col("n")
+    x = sized(predictions(spark, sf)).withColumns({"share": share, "p3": F.when(F.col("match_id") % 9 != 0, F.col("p3")), "w": F.pow(F.lit(0.5), (1 - share) * 2)})
+    x = x.withColumns({"newer": F.when(F.col("share") >= 0.35, F.col("w")).otherwise(F.lit(0.0)), **{f"d{i}": F.coalesce(F.col(f"p{i}") - 0.5, F.lit(0.0)) for i in (1, 2, 3)}})
+    x = stored(x.select(F.lit("all").alias("whole"), "sport", "match_id", "share", "y", "p1", "p2", "p3", "d1", "d2", "d3", "w", "newer"), "pool")
+    train, rows = x.where("share < 0.7").withColumns({"train": F.lit(1).cast("long"), "fold": F.lit(0)}), x.where("share >= 0.7").withColumn("fold", F.lit(0))
+    mirror = train.withColumns({**{f"d{i}": -F.col(f"d{i}") for i in (1, 2, 3)}, "y": 1 - F.col("y"), "p1": 1 - F.col("p1"), "p2": 1 - F.col("p2"), "p3": 1 - F.col("p3")})
+    own = {k: m for k, m in LINEAR_POOL.items() if k != "mirrored"}
+    fits = fitted(train, "whole", own) | fitted(train.unionByName(mirror), "whole", {"mirrored": LINEAR_POOL["mirrored"]})
+    out = stored(scored(tree_pool(train, rows), "whole", LINEAR_POOL, fits), "pool")
+    names = [*LINEAR_POOL, "forest", "boosted"]
+    long = out.select("sport", "y", F.expr(f"stack({len(names)}, " + ", ".join(f"'{m}', {m}" for m in names) + ") AS (model, p)"))
+    m = metrics(long, ["sport", "model"], "p")
+    return m.select("sport", "model", "n", *(F.round(c, 4).alias(c) for c in ("logloss", "brier", "accuracy")))
+
+
 # Calibration over expanding blocks
 
 

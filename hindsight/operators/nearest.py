@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import query
 from ..sources.roles import DAY, HOUR, PREDICTIONS, TARGETS, observations, predictions, table, targets
+from ..sources.work import stored
 from .pit import asof_join, forward_asof
 from .predicates import brier, log_loss
 
@@ -29,22 +31,31 @@ class Tile:
             return
         qid, q = (np.concatenate(v) for v in zip(*self.parts, strict=True))
         self.parts = [(qid, q)]
+        self.dim = x.shape[1]
         got = [] if self.found is None else [self.found]
         for i in range(0, len(qid), rows):
             part = q[i : i + rows]
             d = (part**2).sum(1)[:, None] + (x**2).sum(1) - 2 * part @ x.T
             d[qid[i : i + rows, None] == ids] = np.inf
-            few = min(self.k + 4, d.shape[1])  # some more than k, as the products are only near the distances
-            col = np.argpartition(d, few - 1, axis=1)[:, :few].ravel()
-            row = np.repeat(np.arange(len(part)), few)
-            keep = np.isfinite(d[row, col])
-            row, col = row[keep], col[keep]
-            got.append((i + row, ids[col], np.round(np.sqrt(((part[row] - x[col]) ** 2).mean(1)), 6)))
-        row, ids, d = (np.concatenate(v) for v in zip(*got, strict=True))
+            row, col = self.close(d, (part**2).sum(1)[:, None] + (x**2).sum(1).max())
+            parts = [np.round(np.sqrt(((part[row[j : j + 100_000]] - x[col[j : j + 100_000]]) ** 2).mean(1)), 6) for j in range(0, len(row), 100_000)]
+            got.append(self.best(i + row, ids[col], np.concatenate(parts or [np.empty(0)])))
+        self.found = self.best(*(np.concatenate(v) for v in zip(*got, strict=True)))
+
+    def close(self, d: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of all that may be among the k nearest by their rounded distance: products are only near the squares, by 1e-13 of the vectors' size."""
+        blur = 1e-13 * size
+        if d.shape[1] > self.k:
+            edge = np.partition(d, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            most = (np.sqrt(np.maximum(edge + blur, 0)) + 1.1e-6 * np.sqrt(self.dim)) ** 2 + blur
+            return np.nonzero((d <= most) & np.isfinite(d))
+        return np.nonzero(np.isfinite(d))
+
+    def best(self, row: np.ndarray, ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.lexsort((ids, d, row))
         row, ids, d = row[order], ids[order], d[order]
         pick = np.arange(len(row)) - np.searchsorted(row, row) < self.k
-        self.found = row[pick], ids[pick], d[pick]
+        return row[pick], ids[pick], d[pick]
 
     def lists(self) -> Iterator[pa.RecordBatch]:
         if self.found is not None:
@@ -56,8 +67,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, block_rows: int = 8192,
     """(query_id, row_id, distance, rank): for each of queries(id, x) the k nearest of rows(id, x) but itself, by root mean square distance to six decimals, ties to the smaller id.
 
     Queries come in blocks and rows in shards of bounded size, and a task holds one block and a batch of
-    rows at a time. Distances are computed exactly for the k + 4 that matrix products put first. Vectors
-    have one length and no nulls.
+    rows at a time. Distances are computed exactly for all that matrix products can't tell from the k
+    nearest, ties included. Vectors have one length and no nulls.
     """
     spark = rows.sparkSession
     n_rows = rows.count()
@@ -99,22 +110,22 @@ def j20(spark, sf):
     return nearest(e.where("id % 100 = 0"), e, 5).select("query_id", F.col("row_id").alias("vec_id"), "distance")
 
 
-#: Trajectories: their horizons, and the time (20 January 2024) that parts what is remembered from what is forecast.
 HORIZONS = (HOUR, DAY, 3 * DAY)
+#: 20 January 2024 parts what the queries remember from what they forecast.
 SPLIT = 1_705_708_800_000_000
 STATS = ("view", "click", "error")
 
 
-def trajectory_cases(spark, sf: str) -> DataFrame:
-    """(id, t, done, f1 .. f3, s1 .. s3): a target's features (the latest values of three stats at its cutoff, null if none), its states after each horizon, and when the last of them was seen. Targets that lack a state are dropped. A row a target, which is kept for the passes that follow (and computed again where an executor is lost)."""
-    t, o = targets(spark, sf), observations(spark, sf)
-    probes = t.select("event_id", "pid", "cutoff", F.explode(F.array(*map(F.lit, STATS))).alias("stat"))
+def trajectory_cases(t: DataFrame, o: DataFrame, stats: tuple[str, ...] = STATS, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """(id, t, done, f1 .., s1 ..): a target's features (the latest values of the stats at its cutoff, null if none), its states after each horizon, and when the last of them was seen, a written table. Targets that lack a state are dropped."""
+    probes = t.select("event_id", "pid", "cutoff", F.explode(F.array(*map(F.lit, stats))).alias("stat"))
     known = o.select("pid", "stat", F.greatest("t", "avail").alias("known"), F.struct("t", "event_id", "value").alias("v"))
     last = asof_join(probes, known, ["pid", "stat"], "cutoff", "known", ["v"])
-    f = last.groupBy("event_id").agg(*(F.max(F.when(F.col("stat") == s, F.col("last_v.value"))).alias(f"f{i}") for i, s in enumerate(STATS, 1)))
-    ahead = forward_asof(t.select("pid", F.col("event_id").alias("anchor_id"), "t"), o.select("pid", "t", "value"), ["pid"], list(HORIZONS))
-    s = ahead.groupBy(F.col("anchor_id").alias("event_id")).agg(F.max("at").alias("done"), *(F.max(F.when(F.col("h") == h, F.col("value"))).alias(f"s{i}") for i, h in enumerate(HORIZONS, 1)))
-    return t.join(s, "event_id").join(f, "event_id").select(F.col("event_id").alias("id"), "t", "done", "f1", "f2", "f3", "s1", "s2", "s3").persist()
+    f = last.groupBy("event_id").agg(*(F.max(F.when(F.col("stat") == s, F.col("last_v.value"))).alias(f"f{i}") for i, s in enumerate(stats, 1)))
+    ahead = forward_asof(t.select("pid", F.col("event_id").alias("anchor_id"), "t"), o.select("pid", "t", "value"), ["pid"], list(horizons))
+    s = ahead.groupBy(F.col("anchor_id").alias("event_id")).agg(F.max("at").alias("done"), *(F.max(F.when(F.col("h") == h, F.col("value"))).alias(f"s{i}") for i, h in enumerate(horizons, 1)))
+    cases = t.join(s, "event_id").join(f, "event_id").select(F.col("event_id").alias("id"), "t", "done", *(f"f{i + 1}" for i in range(len(stats))), *(f"s{i + 1}" for i in range(len(horizons))))
+    return stored(cases, "cases")
 
 
 def scaled(cases: DataFrame, memory: DataFrame, names: list[str]) -> DataFrame:
@@ -127,23 +138,24 @@ def scaled(cases: DataFrame, memory: DataFrame, names: list[str]) -> DataFrame:
     return cases.crossJoin(F.broadcast(spread)).select(*cases.columns, F.array(*z, *flags).alias("x"))
 
 
-def trajectories(cases: DataFrame, k: int = 20) -> DataFrame:
-    """(id, h, state, expected, p10, p90, p_high, prior): forecasts of the cases after SPLIT from the whole paths of the k nearest cases that were over by then.
+def trajectories(cases: DataFrame, split: int, high_from: float = 50, k: int = 20) -> DataFrame:
+    """(id, h, state, expected, p10, p90, p_high, prior): forecasts of the cases from `split` on by the whole paths of the k nearest cases that were over by then.
 
-    Neighbours weigh exp(-d / (median d + 0.25, 0.25 at least)); p_high is their weighted share of states
-    above 50, prior that of all remembered cases.
+    cases: as trajectory_cases gives them, for any number of features and horizons. Neighbours weigh
+    exp(-d / (median d + 0.25, 0.25 at least)); p_high is their weighted share of states above
+    `high_from`, prior that of all remembered cases.
     """
-    memory = cases.where(F.col("done") < SPLIT)
-    names = ["f1", "f2", "f3"]
-    rows, asked = scaled(memory, memory, names), scaled(cases.where(F.col("t") >= SPLIT), memory, names)
+    memory = cases.where(F.col("done") < split)
+    names, states = ([c for c in cases.columns if re.fullmatch(rf"{k_}\d+", c)] for k_ in "fs")
+    rows, asked = scaled(memory, memory, names), scaled(cases.where(F.col("t") >= split), memory, names)
     near = nearest(asked.select("id", "x"), rows.select("id", "x"), k)
     heat = near.groupBy("query_id").agg(F.percentile("distance", F.lit(0.5)).alias("m"))
     near = near.join(heat, "query_id").withColumn("w", F.exp(-F.col("distance") / F.greatest(F.col("m") + 0.25, F.lit(0.25))))
-    paths = lambda df: df.select("id", F.explode(F.array(*(F.struct(F.lit(i).alias("h"), F.col(f"s{i}").alias("state")) for i in (1, 2, 3)))).alias("p")).select("id", "p.*")
+    paths = lambda df: df.select("id", F.explode(F.array(*(F.struct(F.lit(i).alias("h"), F.col(f"s{i}").alias("state")) for i in range(1, len(states) + 1)))).alias("p")).select("id", "p.*")
     past = paths(memory)
     seen = near.join(past.withColumnRenamed("id", "row_id"), "row_id")
     mean = lambda v: F.sum(F.col("w") * v) / F.sum("w")
-    high = (F.col("state") > 50).cast("double")
+    high = (F.col("state") > high_from).cast("double")
     out = seen.groupBy(F.col("query_id").alias("id"), "h").agg(mean(F.col("state")).alias("expected"), F.percentile("state", F.lit(0.1)).alias("p10"), F.percentile("state", F.lit(0.9)).alias("p90"), mean(high).alias("p_high"))
     prior = past.groupBy("h").agg(F.avg(high).alias("prior"))
     return paths(asked).join(out, ["id", "h"]).join(prior, "h")
@@ -173,7 +185,7 @@ TRAJECTORIES = f"""{TARGETS},
 
 @query("r10_trajectory_memory", f"WITH {TRAJECTORIES} SELECT id, h, round(expected, 4) AS expected, round(p10, 4) AS p10, round(p90, 4) AS p90, round(p_high, 4) AS p_high FROM forecast")
 def r10(spark, sf):
-    x = trajectories(trajectory_cases(spark, sf))
+    x = trajectories(trajectory_cases(targets(spark, sf), observations(spark, sf)), SPLIT)
     return x.select("id", "h", *(F.round(c, 4).alias(c) for c in ("expected", "p10", "p90", "p_high")))
 
 
@@ -185,7 +197,7 @@ def _clipped(p: Column) -> Column:
 SELECT h, count(*) AS n, round(avg(err), 4) AS mae, round(avg(CASE WHEN y = 1 THEN -ln(p) ELSE -ln(1 - p) END), 4) AS logloss, round(avg(CASE WHEN y = 1 THEN -ln(prior) ELSE -ln(1 - prior) END), 4) AS prior_logloss, round(avg(pow(p - y, 2)), 4) AS brier FROM m GROUP BY 1""")
 def v10(spark, sf):
     """Error of the expected state and of its chance to be high, by horizon, beside the prior's."""
-    x = trajectories(trajectory_cases(spark, sf))
+    x = trajectories(trajectory_cases(targets(spark, sf), observations(spark, sf)), SPLIT)
     y, p = (F.col("state") > 50).cast("int"), _clipped(F.col("p_high"))
     r4 = lambda c, n: F.round(F.avg(c), 4).alias(n)
     return x.groupBy("h").agg(F.count("*").alias("n"), r4(F.abs(F.col("expected") - F.col("state")), "mae"), r4(log_loss(p, y), "logloss"), r4(log_loss(F.col("prior"), y), "prior_logloss"), r4(brier(p, y), "brier"))

@@ -221,14 +221,14 @@ def p18(spark, sf):
     return predictions(spark, sf).select("match_id", r6(log_loss(p, y)).alias("logloss"), r6(brier(p, y)).alias("brier"), ((p >= 0.5) == (y == 1)).alias("correct"))
 
 
-@query("p19_score_multiclass", f"WITH {PREDICTIONS}, n AS (SELECT match_id, y, p1 + p2 + p3 AS s, p1, p2, p3 FROM preds) SELECT match_id, round(pow(p1 / s - (y = 0)::INT, 2) + pow(p2 / s - (y = 1)::INT, 2) + pow(p3 / s, 2), 6) AS brier, CASE WHEN p3 >= p2 AND p3 >= p1 THEN 'm3' WHEN p2 >= p1 THEN 'm2' ELSE 'm1' END AS top FROM n")
+@query("p19_score_multiclass", f"WITH {PREDICTIONS}, n AS (SELECT match_id, y, p1 + p2 + p3 AS s, p1, p2, p3 FROM preds) SELECT match_id, round(pow(p1 / s - (y = 0)::INT, 2) + pow(p2 / s - (y = 1)::INT, 2) + pow(p3 / s, 2) + 1e-9, 6) AS brier, CASE WHEN p3 >= p2 AND p3 >= p1 THEN 'm3' WHEN p2 >= p1 THEN 'm2' ELSE 'm1' END AS top FROM n")
 def p19(spark, sf):
-    """Brier score over a field, and its favourite; of equal probabilities the larger id."""
+    """Brier score over a field, and its favourite; of equal probabilities the larger id. Scores are fractions that often end half-way between two roundings: both sides move them off by 1e-9."""
     p = predictions(spark, sf).withColumn("f", F.array(*(F.struct((F.col(f"p{i}") / (F.col("p1") + F.col("p2") + F.col("p3"))).alias("p"), F.lit(f"m{i}").alias("id")) for i in (1, 2, 3))))
     won = F.when(F.col("y") == 0, "m1").otherwise("m2")
     score = F.aggregate("f", F.lit(0.0), lambda a, x: a + F.pow(x["p"] - (x["id"] == won).cast("int"), F.lit(2)))
     top = F.array_max(F.array(*(F.struct(F.col(f"p{i}").alias("p"), F.lit(f"m{i}").alias("id")) for i in (1, 2, 3))))["id"]
-    return p.select("match_id", r6(score).alias("brier"), top.alias("top"))
+    return p.select("match_id", r6(score + 1e-9).alias("brier"), top.alias("top"))
 
 
 @query("p20_side_difference", f"WITH {MATCHES} SELECT match_id, round(score_a - score_b, 6) AS diff, round((score_a - score_b) / (abs(score_a) + abs(score_b) + 1e-6), 6) AS relative FROM matches")

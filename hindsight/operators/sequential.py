@@ -356,21 +356,3 @@ def d3x(spark, sf):
 def d4x(spark, sf):
     p = F.col("p1")
     return predictions(spark, sf).select("match_id", (F.col("t") - 3_600_000_000).alias("valid_from"), F.col("t").alias("expires"), F.when(p >= 0.7, "B").when(p <= 0.3, "A").otherwise("NONE").alias("call"))
-
-
-@query("l1_model_pool")
-def l1(spark, sf):
-    """Held-out accuracy of three model families on the prediction matrix, with medians for missing values and time-decay weights."""
-    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-    from pyspark.ml.feature import Imputer, VectorAssembler
-
-    x = predictions(spark, sf).withColumn("part", F.percent_rank().over(by_seq()))
-    x = x.select("sport", "match_id", "part", F.col("y").cast("double").alias("label"), "p1", "p2", F.when(F.col("match_id") % 9 != 0, F.col("p3")).alias("p3"), F.pow(F.lit(0.5), (1 - F.col("part")) * 2).alias("w"))
-    x = Imputer(strategy="median", inputCols=["p3"], outputCols=["p3i"]).fit(x.where("part < 0.7")).transform(x)
-    x = VectorAssembler(inputCols=["p1", "p2", "p3i"], outputCol="features").transform(x)
-    train, test = x.where("part < 0.7"), x.where("part >= 0.7")
-    out = None
-    for name, m in (("logistic", LogisticRegression(weightCol="w")), ("forest", RandomForestClassifier(weightCol="w", numTrees=10, maxDepth=4, seed=7)), ("boosted", GBTClassifier(weightCol="w", maxIter=5, maxDepth=3, seed=7))):
-        r = m.fit(train).transform(test).groupBy("sport").agg(F.lit(name).alias("model"), F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == F.col("label")).cast("int")), 4).alias("accuracy"))
-        out = r if out is None else out.unionByName(r)
-    return out
