@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import query
 from ..sources.roles import OBS, PREDICTIONS, observations, predictions, table
+from ..sources.store import Store, freeze, with_holdout
+from ..sources.work import work_dir
 from .aggregates import LEDGER, ledger
 from .predicates import brier, r6
 from .sequential import Pool, matured, maturing
@@ -139,6 +141,18 @@ def f3(spark, sf):
     return x.where((F.col("n") >= 120) & (F.col("n") - cut >= 30)).select("match_id", (F.col("seq") > cut).alias("holdout"))
 
 
+@query("f3_persisted_holdout", f"""WITH {PREDICTIONS}, early AS (SELECT *, count(*) OVER (PARTITION BY sport) AS n FROM preds WHERE match_id % 5 <> 0 OR seq <= 60),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY sport ORDER BY seq) AS i FROM early),
+ frozen AS (SELECT sport, match_id FROM ranked WHERE n >= 60 AND n - floor(n * 0.78) >= 12 AND i > floor(n * 0.78))
+ SELECT sport, match_id, match_id IN (SELECT match_id FROM frozen) AS holdout FROM preds WHERE sport IN (SELECT sport FROM frozen)""")
+def f3_persisted(spark, sf):
+    """A holdout frozen on the rows of a first run; a second run with more rows finds the same ids held out."""
+    x = predictions(spark, sf).select("sport", "match_id", "seq")
+    first = x.where("match_id % 5 <> 0 OR seq <= 60").withColumn("seq", F.row_number().over(by_seq()))
+    store = freeze(Store(spark, work_dir(spark, "holdout")), first, least=60, least_holdout=12)
+    return with_holdout(freeze(store, x, least=60, least_holdout=12), x).select("sport", "match_id", "holdout")
+
+
 @query("f4_canonical_cases", f"WITH {PREDICTIONS} SELECT a, match_id FROM (SELECT a, match_id, row_number() OVER (PARTITION BY a ORDER BY t, match_id) AS rn FROM preds) WHERE rn = 1")
 def f4(spark, sf):
     return predictions(spark, sf).groupBy("a").agg(F.min(F.struct("t", "match_id")).alias("m")).select("a", "m.match_id")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import query
 from ..sources.roles import DAY, HOUR, KNOWN, MATCHES, MIN, OBS, TARGETS, admitted_results, matches, observations, table, targets
+from ..sources.store import Store, merge_stores
+from ..sources.work import work_dir
 
 
 def asof_join(probes: DataFrame, builds: DataFrame, keys: list[str], probe_time: str, build_time: str, values: list[str]) -> DataFrame:
@@ -251,6 +253,21 @@ def j19(spark, sf):
     return a.unionByName(b).groupBy("stat").agg(F.count("*").alias("n"))
 
 
+@query("j19_store_merge", """SELECT event_id, coalesce(b.user_id, a.user_id, c.user_id) AS user_id,
+    CASE WHEN b.event_id IS NOT NULL THEN b.value ELSE coalesce(c.value, a.value) END AS value, b.props
+    FROM (SELECT event_id, user_id, value FROM events WHERE event_id % 5 = 0) a
+    FULL JOIN (SELECT event_id, user_id, value * 2 AS value FROM events WHERE event_id % 3 = 0) c USING (event_id)
+    FULL JOIN (SELECT event_id, user_id, CASE WHEN event_id % 4 <> 0 THEN value END AS value, props FROM events WHERE event_id % 2 = 0) b USING (event_id)""")
+def j19_merge(spark, sf):
+    """A store and two partitions with other columns and values, merged as one version; later partitions override, with nulls, too."""
+    e = table(spark, sf, "events")
+    home = Store(spark, work_dir(spark, "store")).commit({"event": e.where("event_id % 5 = 0").select("event_id", "user_id", "value")})
+    first = Store(spark, work_dir(spark, "store")).commit({"event": e.where("event_id % 3 = 0").select("event_id", "user_id", (F.col("value") * 2).alias("value"))})
+    second = e.where("event_id % 2 = 0").select("event_id", "user_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value"), "props")
+    second = Store(spark, work_dir(spark, "store")).commit({"event": second})
+    return merge_stores(home, [first, second], {"event": ["event_id"]}).read("event")
+
+
 @query("j21_unordered_pair", f"WITH {MATCHES} SELECT least(a, b) AS x, greatest(a, b) AS y, count(*) AS n, count(*) FILTER (WHERE outcome = 'A' AND a < b OR outcome = 'B' AND b < a) AS x_wins FROM matches WHERE a <> b GROUP BY 1, 2")
 def j21(spark, sf):
     m = matches(spark, sf).where("a <> b")

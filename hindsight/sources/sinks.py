@@ -12,17 +12,17 @@ def _there(spark: SparkSession, path: str) -> bool:
 
 
 def append_daily(rows: DataFrame, path: str, key: str, day: str) -> int:
-    """Appends the rows whose key the ledger at path lacks, one folder a day; gives how many. The first of rows that share a key counts, by their contents.
+    """Appends the rows whose key the ledger at path lacks, one folder a day; gives how many. Of rows that share a key the first day's counts, of one day the first by their contents; null is a key like others.
 
-    The ledger itself is the index of its ids, so there is none to repair; a batch that is written again
-    adds nothing. Only the days that the batch touches are read for ids.
+    An id is known whatever day it comes under. The ledger's own key column, the only one that is read, is
+    the index of its ids, so there is none to repair; a batch that is written again adds nothing.
     """
     spark = rows.sparkSession
-    rest = [c for c in rows.columns if c not in (key, day)]
-    new = rows.groupBy(key, day).agg(F.min(F.struct(*rest)).alias("r")).select(key, day, "r.*") if rest else rows.distinct()
+    rest = [c for c in rows.columns if c != key]
+    new = rows.groupBy(key).agg(F.min(F.struct(day, *(c for c in rest if c != day))).alias("r")).select(key, "r.*")
     if _there(spark, path):
-        old = spark.read.parquet(path).select(key, F.col(day).cast(rows.schema[day].dataType).alias(day))
-        new = new.join(old.join(F.broadcast(new.select(day).distinct()), day, "left_semi"), [key, day], "left_anti")
+        old = spark.read.schema(rows.schema).parquet(path).select(F.col(key).alias("_known")).distinct()
+        new = new.join(old, F.col(key).eqNullSafe(F.col("_known")), "left_anti")
     new = new.persist()
     try:
         n = new.count()
@@ -33,6 +33,27 @@ def append_daily(rows: DataFrame, path: str, key: str, day: str) -> int:
     return n
 
 
+class ConflictingRows(Exception):
+    """A key came again with other contents."""
+
+
+def first_write(batch: DataFrame, path: str, key: list[str], number: int) -> None:
+    """A micro-batch's sink in which the first write of a key wins: rows that are known alike are skipped, and one that differs from what is known, in the table or in the batch, fails the batch. Batch `number` replaces itself if it comes again."""
+    spark, rest = batch.sparkSession, [c for c in batch.columns if c not in key]
+    content = F.sha2(F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}), 256)
+    one = batch.withColumn("_c", content).groupBy(*key).agg(F.min(F.struct("_c", *rest)).alias("r"), F.min("_c").alias("lo"), F.max("_c").alias("hi"))
+    same = lambda a, b: F.expr(" AND ".join(f"{a}.`{k}` <=> {b}.`{k}`" for k in key))
+    if _there(spark, path):
+        known = spark.read.parquet(path).where(F.col("batch") != number).select(*key, content.alias("known"))
+        one = one.alias("n").join(known.alias("o"), same("n", "o"), "left").select("n.*", "known")
+    else:
+        one = one.withColumn("known", F.lit(None).cast("string"))
+    bad = one.where("lo <> hi OR lo <> known").select(F.to_json(F.struct(*key))).limit(3).collect()
+    if bad:
+        raise ConflictingRows(", ".join(r[0] for r in bad))
+    one.where("known IS NULL").select(*key, *(f"r.{c}" for c in rest)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def content_print(rows: DataFrame, volatile: tuple[str, ...] = ()) -> str:
     """A fingerprint of a table's rows, whatever their order, without its volatile columns."""
     kept = [c for c in sorted(rows.columns) if c not in volatile]
