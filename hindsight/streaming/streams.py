@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -133,3 +133,117 @@ def meetings(events: DataFrame, most: int = 20) -> DataFrame:
 def restartable(df: DataFrame, mode: str, checkpoint: str, sink: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Starts, or starts again from its checkpoint, a stream whose batches go to sink(batch, number); a number that comes again is the same batch."""
     return df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).start()
+
+
+MATCH = "match_id long, sport string, a long, b long, outcome string, ts timestamp, avail timestamp"
+RATED = "sport string, match_id long, elo_a double, elo_b double"
+_HOUR, _DAY = 3_600_000_000, 86_400_000_000
+
+
+def match_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A file-source stream of matches; files: at most so many a batch."""
+    reader = spark.readStream.schema(MATCH)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
+
+
+class Ratings(StatefulProcessor):
+    """Ratings by sport over a stream of matches, with head-of-line admission.
+
+    State: a rating for each participant (a map); matches that the watermark hasn't passed (a list); what
+    is to be done, in order of time: results that wait to be admitted, and matches that wait for the
+    results before their cutoff (a list); and the latest realization among the matches so far. A timer
+    goes off when the watermark passes the first that waits.
+    """
+
+    def __init__(self, k: float = 24.0, start: float = 1500.0, scale: float = 400.0):
+        self.k, self.first, self.scale = k, start, scale
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rating = handle.getMapState("rating", "pid long", "rating double")
+        self.fresh = handle.getListState("fresh", "t long, match_id long, a long, b long, won int, avail long")
+        self.due = handle.getListState("due", "at long, kind int, t long, match_id long, a long, b long, won int")
+        self.latest = handle.getValueState("latest", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new, first = [], None
+        for f in rows:
+            for i, a, b, won, t, avail in zip(f.match_id, f.a, f.b, f.outcome.map({"A": 1, "B": 0}).fillna(-1), f.ts, f.avail, strict=True):
+                t, avail = t.value // 1000, avail.value // 1000
+                new.append((t, int(i), int(a), int(b), int(won), avail))
+                first = t if first is None else min(first, t)
+        self.fresh.appendList(new)
+        self._wake(first, timerValues)
+        yield pd.DataFrame([], columns=[c.split()[0] for c in RATED.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        fresh = sorted(tuple(r) for r in self.fresh.get()) if self.fresh.exists() else []
+        todo = [tuple(r) for r in self.due.get()] if self.due.exists() else []
+        latest = self.latest.get()[0] if self.latest.exists() else None
+        for t, i, a, b, won, avail in (r for r in fresh if r[0] < passed):  # none before these can come any more
+            todo.append((t - _HOUR, 1, t, i, a, b, -1))
+            if won >= 0 and a != b:
+                latest = max(t + _DAY, avail, latest if latest is not None else t)
+                todo.append((max(latest, t + 1 - _HOUR), 0, t, i, a, b, won))
+        fresh = [r for r in fresh if r[0] >= passed]
+        todo.sort()
+        ready = next((n for n, r in enumerate(todo) if r[0] >= passed - _HOUR), len(todo))
+        out, held = [], {}
+
+        def rating(pid):
+            if pid not in held:
+                held[pid] = self.rating.getValue((pid,))[0] if self.rating.containsKey((pid,)) else self.first
+            return held[pid]
+
+        for _, kind, _, i, a, b, won in todo[:ready]:
+            ra, rb = rating(a), rating(b)
+            if kind == 1:
+                out.append((key[0], i, ra, rb))
+            else:
+                change = self.k * (won - 1 / (1 + 10 ** ((rb - ra) / self.scale)))
+                held[a], held[b] = ra + change, rb - change
+        for pid, r in held.items():
+            self.rating.updateValue((pid,), (r,))
+        for state, left in ((self.fresh, fresh), (self.due, todo[ready:])):
+            if left:
+                state.put(left)
+            else:
+                state.clear()
+        if latest is not None:
+            self.latest.update((latest,))
+        waits = [r[0] for r in fresh[:1]] + [r[0] + _HOUR for r in todo[ready : ready + 1]]
+        self._wake(min(waits) if waits else None, timerValues)
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in RATED.split(", ")])
+
+    def _wake(self, at: int | None, timers) -> None:
+        """A timer for when the watermark has passed `at`, in microseconds."""
+        if at is not None:
+            self.handle.registerTimer(max(at // 1000 + 1, timers.getCurrentWatermarkInMs() + 1))
+
+    def close(self) -> None:
+        pass
+
+
+def streamed_ratings(matches: DataFrame, late: str = "10 minutes", k: float = 24.0) -> DataFrame:
+    """(sport, match_id, elo_a, elo_b) of each match of the stream once the watermark has passed what may still change it: both sides' ratings at its cutoff, by the results admitted then. Needs the RocksDB state store."""
+    rows = matches.withWatermark("ts", late).groupBy("sport")
+    return rows.transformWithStateInPandas(Ratings(k), RATED, "Append", "EventTime")
+
+
+def gated_pairs(observations: DataFrame, cutoffs: DataFrame, reach: str = "30 days", late: str = "10 minutes", late_cutoffs: str = "1 hour") -> DataFrame:
+    """(target_id, version, event_id, t, known, cutoff, allowed): each observation(event_id, pid, ts, known) of a stream with each version of a cutoff(target_id, pid, version, start, cutoff) of another, of the same participant and up to `reach` before the target's start; allowed says that it was known at that cutoff.
+
+    Both streams have a watermark of their own, on the observation's and on the target's time, so the
+    state of either is dropped once the other has passed it by the reach.
+    """
+    o = observations.withWatermark("ts", late).select(F.col("pid"), "event_id", F.col("ts").alias("t"), "known")
+    c = cutoffs.withWatermark("start", late_cutoffs).select(F.col("pid").alias("target_pid"), "target_id", "version", "start", "cutoff")
+    pairs = o.join(c, F.expr(f"pid = target_pid AND t < start AND t >= start - INTERVAL {reach}"))
+    return pairs.select("target_id", "version", "event_id", "t", "known", "cutoff", (F.greatest("t", "known") <= F.col("cutoff")).alias("allowed"))
+
+
+def in_force(pairs: DataFrame) -> DataFrame:
+    """Of a table of gated pairs those of each target's newest version that are allowed."""
+    newest = pairs.groupBy("target_id").agg(F.max("version").alias("version"))
+    return pairs.join(newest, ["target_id", "version"], "left_semi").where("allowed")
