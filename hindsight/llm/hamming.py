@@ -9,8 +9,8 @@ r"""MinHash near-duplicates by a multi-index Hamming join of b-bit signatures.
    hash of the others).
 3. Keys are counted first, and only those that several nodes have make groups; a group's pivot is its
    smallest node, found by a map-side combined aggregate. Groups are joined as in the n-gram Jaccard join:
-   each node with the pivot, then small groups pairwise, then what is still larger by windows of size and
-   by the differences to a pivot (see that module). No group or partner is capped.
+   each node with the pivot, then small groups pairwise, then what is still larger by the differences to a
+   pivot (see that module). No group or partner is capped.
 4. Candidates must be within the distance by their whole signatures; links are confirmed on whole sets.
 
 The join finds all pairs under the signature distance; a link of exactly the least similarity is missed
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard, shingles
-from .common import Scratch
+from .common import Scratch, frugal, partitions
 
 BLOCK = 4096
 
@@ -91,6 +91,7 @@ def alone(size: int, share: int) -> bool:
 def _signed(docs: DataFrame, n: int, codes: int, share: int) -> DataFrame:
     """(doc_id, key, row, node, size, signature) of each row of docs; no signature for sets that have none or need none."""
 
+    @frugal
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes(codes)
         for b in batches:
@@ -111,6 +112,7 @@ def _codes(column: pa.Array, codes: int) -> np.ndarray:
 def _keyed(nodes: DataFrame, codes: int, distance: int) -> DataFrame:
     """(g, node, size): all keys of each node(node, size, signature)."""
 
+    @frugal
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = chunks(codes, distance)
         for b in batches:
@@ -126,6 +128,7 @@ def _keyed(nodes: DataFrame, codes: int, distance: int) -> DataFrame:
 def _within(nodes: DataFrame, codes: int, distance: int, work: Scratch) -> Callable[[DataFrame, str], DataFrame]:
     """A filter of pairs(a, b) by the distance of their signatures."""
 
+    @frugal
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             apart = (_codes(b.column("x"), codes) != _codes(b.column("y"), codes)).sum(axis=1)
@@ -150,7 +153,8 @@ def classes(docs: DataFrame, n: int = 5, share: int = 85, codes: int = 128, miss
     docs = docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64("text")).alias("key"), "text", row)
     distance = reach(codes, share, miss)
     members = work.put("members", _signed(docs, n, codes, share))
-    nodes = work.put("nodes", members.where("signature IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("signature").alias("signature")))
+    nodes = members.where("signature IS NOT NULL").groupBy("node").agg(F.first("size").alias("size"), F.first("signature").alias("signature"))
+    nodes = work.put("nodes", nodes.repartition(partitions(spark), "node"))  # a row becomes `codes` rows: no few large files
     keyed = _keyed(nodes, codes, distance)
     several = work.put("several", keyed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"))
     groups = work.put("groups", keyed.join(several, "g"))
@@ -160,7 +164,7 @@ def classes(docs: DataFrame, n: int = 5, share: int = 85, codes: int = 128, miss
     star = star.where(jaccard._sized(share)).select("a", "b").distinct()
     rows = rows.select("g", "node", "size", F.lit(0).alias("pos"), F.col("hub.node").alias("pivot"))
     known = spark.sparkContext.broadcast((None,))
-    out = jaccard.linked(docs, members.drop("signature"), rows, star, n, share, small, known, work, _within(nodes, codes, distance, work))
+    out = jaccard.linked(docs, members.drop("signature"), rows, star, n, share, small, known, work, _within(nodes, codes, distance, work), placed=False)
     known.unpersist()
     return out
 

@@ -270,10 +270,14 @@ def _cross(rows: DataFrame, share: int) -> DataFrame:
     return both.where(F.get(F.array_intersect("gs_a", "gs_b"), F.lit(0)) == F.col("g")).select("a", "b")
 
 
-def _areas(large: DataFrame, work: Scratch) -> DataFrame:
-    """(area, node, size, pivot): the nodes of large groups that share nodes; pivot: the smallest set of the area, so that no difference to it has more than twice a set's tokens."""
-    hub = large.groupBy("g").agg(F.min("node").alias("b"))
-    edges = large.select("g", F.col("node").alias("a")).join(hub, "g").where("a <> b").select("a", "b").distinct()
+def _areas(large: DataFrame, work: Scratch, shared: bool = False) -> DataFrame:
+    """(area, node, size, pivot): the nodes of large groups that share nodes; pivot: the smallest set of the area, so that no difference to it has more than twice a set's tokens. shared: rows of a group have one pivot, which joins them."""
+    if shared:
+        ties = large.select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    else:
+        hub = large.groupBy("g").agg(F.min("node").alias("b"))
+        ties = large.select("g", F.col("node").alias("a")).join(hub, "g").select("a", "b")
+    edges = ties.where("a <> b").distinct()
     areas = components(edges, f"{work.path}/areas_cc").select("node", F.col("root").alias("area"))
     areas = areas.join(large.select("node", "size").distinct(), "node")
     return work.put("areas", areas.join(areas.groupBy("area").agg(F.min(F.struct("size", "node")).alias("pivot")), "area"))
@@ -356,12 +360,13 @@ def classes(docs: DataFrame, n: int = 5, share: int = 80, heavy: int = 1 << 18,
     return out
 
 
-def linked(docs: DataFrame, members: DataFrame, rows: DataFrame, star: DataFrame, n: int, share: int, small: int, known: Broadcast, work: Scratch, sift: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def linked(docs: DataFrame, members: DataFrame, rows: DataFrame, star: DataFrame, n: int, share: int, small: int, known: Broadcast, work: Scratch, sift: Callable[[DataFrame, str], DataFrame], placed: bool = True) -> DataFrame:
     """classes of docs(doc_id, key, row, text) whose sets are members(doc_id, key, row, node, size).
 
     rows(g, node, size, pos, pivot): groups such that any two nodes that link share one; pivot: the node of
     the group that star(a, b) pairs with all others; sift gives those of some pairs that can still link, a
-    written table by that name.
+    written table by that name. placed: pos says where in its set the node's token stands, so that windows
+    of size leave nodes out; else large groups go to areas at once, by their pivots.
     """
     star = sift(star, "star")
     sets = work.put("sets", _whole_sets(docs, members, _ends(star), n, known))
@@ -375,11 +380,11 @@ def linked(docs: DataFrame, members: DataFrame, rows: DataFrame, star: DataFrame
     rows = work.put("open", _several(_rooted(rows, roots), share))
     work.drop("groups", "star")
     few, large, edited = rows.where(F.col("n") <= small), rows.where(F.col("n") > small), None
-    if not large.isEmpty():
+    if placed and not large.isEmpty():
         cut = _windows(large, share, work)
         few, large = few.unionByName(cut.where(F.col("n") <= small)), cut.where(F.col("n") > small)
     if not large.isEmpty():
-        areas = _areas(large, work)
+        areas = _areas(large, work, shared=not placed)
         sets = with_sets(areas.select("node"), "sets_large")
         delta = work.put("delta", _delta(areas, sets, share))
         near = delta.where("NOT far AND node <> pivot.node").select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
