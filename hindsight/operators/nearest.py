@@ -16,6 +16,7 @@ from ..sources.roles import DAY, HOUR, PREDICTIONS, TARGETS, observations, predi
 from ..sources.work import stored
 from .pit import asof_join, forward_asof
 from .predicates import brier, log_loss
+from .selection import quantiles
 
 FOUND = "query_id long, row_id long, distance double"
 
@@ -130,9 +131,17 @@ def trajectory_cases(t: DataFrame, o: DataFrame, stats: tuple[str, ...] = STATS,
 
 def scaled(cases: DataFrame, memory: DataFrame, names: list[str]) -> DataFrame:
     """cases with x: each feature less the memory's median, by its median absolute deviation (1 if that's tiny), a missing one as the median; then a flag for each that is missing."""
-    one = memory.agg(*(F.percentile(c, F.lit(0.5)).alias(f"m_{c}") for c in names))
+    flat = lambda df: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("f"), F.col(c).alias("v")) for c in names))).alias("e")).select("e.*")
+
+    def middles(df: DataFrame, prefix: str) -> DataFrame:
+        """One row: the exact median of each feature."""
+        q = quantiles(stored(flat(df), "flat"), ["f"], "v", (0.5,))
+        return q.agg(*(F.max(F.when(F.col("f") == c, F.col("q0"))).alias(f"{prefix}_{c}") for c in names))
+
+    one = stored(middles(memory, "m"), "medians")
     filled = lambda c: F.coalesce(F.col(c), F.col(f"m_{c}"), F.lit(0.0))
-    spread = memory.crossJoin(F.broadcast(one)).groupBy(*one.columns).agg(*(F.percentile(F.abs(filled(c) - F.coalesce(F.col(f"m_{c}"), F.lit(0.0))), F.lit(0.5)).alias(f"d_{c}") for c in names))  # one row
+    off = memory.crossJoin(F.broadcast(one)).select(*(F.abs(filled(c) - F.coalesce(F.col(f"m_{c}"), F.lit(0.0))).alias(c) for c in names))  # one row
+    spread = stored(one.crossJoin(middles(off, "d")), "medians")
     z = [(filled(c) - F.coalesce(F.col(f"m_{c}"), F.lit(0.0))) / F.when(F.col(f"d_{c}") > 1e-6, F.col(f"d_{c}")).otherwise(F.lit(1.0)) for c in names]
     flags = [F.col(c).isNull().cast("double") for c in names]
     return cases.crossJoin(F.broadcast(spread)).select(*cases.columns, F.array(*z, *flags).alias("x"))
@@ -147,7 +156,8 @@ def trajectories(cases: DataFrame, split: int, high_from: float = 50, k: int = 2
     """
     memory = cases.where(F.col("done") < split)
     names, states = ([c for c in cases.columns if re.fullmatch(rf"{k_}\d+", c)] for k_ in "fs")
-    rows, asked = scaled(memory, memory, names), scaled(cases.where(F.col("t") >= split), memory, names)
+    whole = scaled(cases, memory, names)
+    rows, asked = whole.where(F.col("done") < split), whole.where(F.col("t") >= split)
     near = nearest(asked.select("id", "x"), rows.select("id", "x"), k)
     heat = near.groupBy("query_id").agg(F.percentile("distance", F.lit(0.5)).alias("m"))
     near = near.join(heat, "query_id").withColumn("w", F.exp(-F.col("distance") / F.greatest(F.col("m") + 0.25, F.lit(0.25))))
