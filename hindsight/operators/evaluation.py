@@ -15,7 +15,7 @@ from ..sources.work import work_dir
 from .aggregates import LEDGER, ledger
 from .predicates import brier, r6
 from .sequential import Pool, matured, maturing
-from .windows import LOSSES, by_seq, losses
+from .windows import LOSSES, by_seq, in_part, losses, own, part_of, parted, sized
 
 
 @query("v1_metric_set", f"WITH {LEDGER} SELECT sport, count(*) AS n, round(avg(ll), 6) AS logloss, round(avg(br), 6) AS brier, round(avg(ok), 6) AS accuracy FROM ledger GROUP BY 1")
@@ -52,7 +52,8 @@ def v4(spark, sf):
 
 @query("v5_stability", f"WITH {PREDICTIONS}, d AS (SELECT sport, abs(p1 - lag(p1) OVER (PARTITION BY sport ORDER BY seq)) AS d FROM preds) SELECT sport, round(1 - avg(d), 6) AS stability FROM d GROUP BY 1")
 def v5(spark, sf):
-    return predictions(spark, sf).select("sport", F.abs(F.col("p1") - F.lag("p1").over(by_seq())).alias("d")).groupBy("sport").agg(r6(1 - F.avg("d")).alias("stability"))
+    d = own(parted(predictions(spark, sf), 1).select("own", "sport", F.abs(F.col("p1") - F.lag("p1").over(in_part())).alias("d")))
+    return d.groupBy("sport").agg(r6(1 - F.avg("d")).alias("stability"))
 
 
 @query("v6_auc", f"WITH {PREDICTIONS}, r AS (SELECT sport, y, rank() OVER (PARTITION BY sport ORDER BY round(p3, 9)) + (count(*) OVER (PARTITION BY sport, round(p3, 9)) - 1) / 2 AS r FROM preds) SELECT sport, round((sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) AS auc FROM r GROUP BY 1")
@@ -106,8 +107,9 @@ def v14(spark, sf):
 SELECT sport, CAST(fold AS BIGINT) AS fold, n, round(ll, 6) AS logloss, round(br, 6) AS brier, round(acc, 6) AS accuracy, round(hi, 6) AS gap_p95, round(lo, 6) AS gap_p10, flips, round(ll, 9) = max(round(ll, 9)) OVER (PARTITION BY sport) AS worst FROM f""")
 def v11(spark, sf):
     """Per block of 150 rows: metrics, the spread of the models' disagreement, flips of the call, and whether it's the sport's worst."""
-    flip = F.coalesce((F.col("p1") >= 0.5) != (F.lag("p1").over(by_seq()) >= 0.5), F.lit(False))
-    x = ledger(spark, sf).withColumns({"fold": F.floor((F.col("seq") - 1) / 150), "gap": F.greatest("p1", "p2", "p3") - F.least("p1", "p2", "p3"), "flip": flip})
+    flip = F.coalesce((F.col("p1") >= 0.5) != (F.lag("p1").over(in_part()) >= 0.5), F.lit(False))
+    x = parted(ledger(spark, sf), 1).withColumns({"fold": F.floor((F.col("seq") - 1) / 150), "gap": F.greatest("p1", "p2", "p3") - F.least("p1", "p2", "p3"), "flip": flip})
+    x = own(x)
     q = lambda v: r6(F.percentile("gap", F.lit(v)))
     f = x.groupBy("sport", "fold").agg(F.count("*").alias("n"), F.avg("ll").alias("ll"), r6(F.avg("br")).alias("brier"), r6(F.avg("ok")).alias("accuracy"), q(0.95).alias("gap_p95"), q(0.1).alias("gap_p10"), F.count_if("flip").alias("flips"))
     worst = F.round("ll", 9) == F.max(F.round("ll", 9)).over(Window.partitionBy("sport"))
@@ -130,7 +132,7 @@ def f1(spark, sf):
 
 @query("f2_split_blocks", f"WITH {PREDICTIONS}, b AS (SELECT sport, seq, ntile(7) OVER (PARTITION BY sport ORDER BY seq) AS block FROM preds) SELECT sport, block, count(*) AS n, min(seq) AS first FROM b GROUP BY 1, 2")
 def f2(spark, sf):
-    b = predictions(spark, sf).select("sport", "seq", F.ntile(7).over(by_seq()).alias("block"))
+    b = sized(predictions(spark, sf)).select("sport", "seq", (part_of(F.col("seq"), F.col("n"), 7) + 1).alias("block"))
     return b.groupBy("sport", "block").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
 
@@ -175,7 +177,7 @@ def f6(spark, sf):
 
 @query("f7_robust_objective", f"WITH {LEDGER}, b AS (SELECT sport, ntile(3) OVER (PARTITION BY sport ORDER BY seq) AS k, ll FROM ledger), m AS (SELECT sport, k, avg(ll) AS m FROM b GROUP BY 1, 2) SELECT sport, round(sum(m * CASE k WHEN 1 THEN 0.2 WHEN 2 THEN 0.3 ELSE 0.5 END) + 0.1 * stddev_pop(m), 6) AS objective FROM m GROUP BY 1")
 def f7(spark, sf):
-    m = ledger(spark, sf).withColumn("k", F.ntile(3).over(by_seq())).groupBy("sport", "k").agg(F.avg("ll").alias("m"))
+    m = sized(ledger(spark, sf)).withColumn("k", part_of(F.col("seq"), F.col("n"), 3) + 1).groupBy("sport", "k").agg(F.avg("ll").alias("m"))
     w = F.when(F.col("k") == 1, 0.2).when(F.col("k") == 2, 0.3).otherwise(0.5)
     return m.groupBy("sport").agg(r6(F.sum(F.col("m") * w) + 0.1 * F.stddev_pop("m")).alias("objective"))
 
@@ -260,7 +262,7 @@ def n4(spark, sf):
 
 @query("n5_block_coverage", f"WITH {PREDICTIONS}, b AS (SELECT sport, ntile(5) OVER (PARTITION BY sport ORDER BY seq) AS block, CAST(abs(p3 - y) <= 0.6 AS INT) AS hit FROM preds) SELECT sport, block, round(avg(hit), 6) AS coverage FROM b GROUP BY 1, 2")
 def n5(spark, sf):
-    b = predictions(spark, sf).select("sport", F.ntile(5).over(by_seq()).alias("block"), (F.abs(F.col("p3") - F.col("y")) <= 0.6).cast("int").alias("hit"))
+    b = sized(predictions(spark, sf)).select("sport", (part_of(F.col("seq"), F.col("n"), 5) + 1).alias("block"), (F.abs(F.col("p3") - F.col("y")) <= 0.6).cast("int").alias("hit"))
     return b.groupBy("sport", "block").agg(r6(F.avg("hit")).alias("coverage"))
 
 

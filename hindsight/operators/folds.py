@@ -25,7 +25,8 @@ from ..plans.catalog import query
 from ..sources.roles import predictions
 from ..sources.work import stored
 from .predicates import brier, log_loss
-from .sequential import maturing, overlapping, weighted_replicates
+from .sequential import maturing, weighted_replicates
+from .windows import overlapping, part_of, sized
 
 EPS = 1e-6
 
@@ -186,18 +187,6 @@ def bits_from(fold: Column, last: Column) -> Column:
     return bit(last + 1) - bit(fold)
 
 
-def sized(rows: DataFrame, key: str = "sport") -> DataFrame:
-    """rows with n, how many their key has."""
-    return rows.join(rows.groupBy(key).agg(F.count("*").cast("int").alias("n")), key)
-
-
-def part_of(seq: Column, n: Column, parts: int) -> Column:
-    """The number (from 0) of the part that row seq of n falls in, if the first n % parts parts hold one row more."""
-    i, small, more = seq - 1, F.floor(n / parts), n % parts
-    cut = more * (small + 1)
-    return F.when(i < cut, F.floor(i / (small + 1))).otherwise(more + F.floor((i - cut) / F.greatest(small, F.lit(1)))).cast("int")
-
-
 def walk_forward(rows: DataFrame, holdout: float = 0.78, first: float = 0.7, least: int = 80, most_folds: int = 12) -> DataFrame:
     """rows(sport, seq, n) with train and fold of expanding folds: rows up to `first` of those before the holdout train all, then come blocks of at least `least` rows and at most most_folds of them, each scored by what's before; fold `last` learns from all before the holdout and scores that. A row of the first stretch has no fold."""
     sel = F.greatest(F.lit(60), F.floor(F.col("n") * holdout))

@@ -11,8 +11,8 @@ from ..plans.catalog import query
 from ..sources.roles import DAY, MIN, PREDICTIONS, matches, observations, predictions
 from .evaluation import SETS, prediction_sets
 from .predicates import brier, r6
-from .sequential import maturing, overlapping, weighted_replicates
-from .windows import LOSSES, by_seq, losses
+from .sequential import maturing, weighted_replicates
+from .windows import LOSSES, in_part, losses, overlapping, own, parted
 
 
 @query("j15_three_way_time", f"WITH {PREDICTIONS} SELECT m.match_id, o.event_id, p.p1 FROM matches m JOIN preds p ON p.match_id = m.match_id JOIN obs o ON o.event_id = m.match_id AND o.avail // 1000000 <= (m.t + 1800000000) // 1000000")
@@ -110,8 +110,8 @@ def r17(spark, sf):
 @query("v12_difficulty_labels", f"WITH {LOSSES}, f AS (SELECT *, CASE WHEN count(*) OVER w = 5 THEN avg(l1) OVER w END AS future FROM losses WINDOW w AS (PARTITION BY sport ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)), q AS (SELECT sport, quantile_cont(future, 0.7) AS hard FROM f WHERE seq <= 400 GROUP BY 1) SELECT match_id, CAST(round(future, 9) >= round(hard, 9) AS INT) AS hard FROM f JOIN q USING (sport) WHERE seq > 400")
 def v12(spark, sf):
     """Hard futures by a threshold from the training prefix alone."""
-    w = by_seq().rowsBetween(1, 5)
-    f = losses(spark, sf).withColumn("future", F.when(F.count("*").over(w) == 5, F.avg("l1").over(w)))
+    w = in_part().rowsBetween(1, 5)
+    f = own(parted(losses(spark, sf), 0, 5).withColumn("future", F.when(F.count("*").over(w) == 5, F.avg("l1").over(w))))
     q = f.where("seq <= 400").groupBy("sport").agg(F.percentile("future", F.lit(0.7)).alias("least"))
     return f.where("seq > 400").join(q, "sport").select("match_id", (F.round("future", 9) >= F.round("least", 9)).cast("int").alias("hard"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.catalog import query
 from ..sources.roles import DAY, HOUR, PREDICTIONS, admitted_results, matches, predictions
 from .predicates import r6
-from .windows import by_seq, losses
+from .windows import losses, overlapping
 
 START, SCALE = 1500.0, 400.0
 
@@ -211,13 +211,6 @@ def platt(x: np.ndarray, y: np.ndarray, used: np.ndarray, steps: int = 25) -> tu
     return a, b
 
 
-def overlapping(rows: DataFrame, size: int, overlap: int) -> DataFrame:
-    """rows(sport, seq) cut into parts of `size` rows, each led by the `overlap` rows before it (own is false), so that trailing windows run in parallel."""
-    part = F.floor((F.col("seq") - 1) / size)
-    after = F.when((F.col("seq") - 1) % size >= size - overlap, part + 1)
-    return rows.withColumn("part", F.explode(F.array_compact(F.array(part, after)))).withColumn("own", F.col("part") == part)
-
-
 def trailing_platt(rows: DataFrame, window: int = 80, least: int = 30) -> DataFrame:
     """p of each row, refitted on the logits and outcomes of up to `window` earlier rows, `least` of them and both outcomes at least; else p as it is. rows(sport, seq, match_id, y, p)."""
     q = F.greatest(F.least("p", F.lit(1 - 1e-6)), F.lit(1e-6))

@@ -16,8 +16,47 @@ def by_seq():
     return Window.partitionBy("sport").orderBy("seq")
 
 
+#: Rows of a part of a sport's order.
+PART = 5000
+
+
+def overlapping(rows: DataFrame, size: int, overlap: int, ahead: int = 0) -> DataFrame:
+    """rows(sport, seq) cut into parts of `size` rows, each led by the `overlap` rows before it and followed by the `ahead` rows after it (own is false), so that windows of bounded reach run in parallel."""
+    i = F.col("seq") - 1
+    part = F.floor(i / size)
+    parts = F.sequence(F.greatest(F.floor((i - ahead) / size), F.lit(0)), F.floor((i + overlap) / size))
+    return rows.withColumn("part", F.explode(parts)).withColumn("own", F.col("part") == part)
+
+
+def parted(rows: DataFrame, before: int, after: int = 0) -> DataFrame:
+    return overlapping(rows, PART, before, after)
+
+
+def sized(rows: DataFrame, key: str = "sport") -> DataFrame:
+    """rows with n, how many their key has."""
+    return rows.join(rows.groupBy(key).agg(F.count("*").cast("int").alias("n")), key)
+
+
+def part_of(seq: Column, n: Column, parts: int) -> Column:
+    """The number (from 0) of the part that row seq of n falls in, if the first n % parts parts hold one row more."""
+    i, small, more = seq - 1, F.floor(n / parts), n % parts
+    cut = more * (small + 1)
+    return F.when(i < cut, F.floor(i / (small + 1))).otherwise(more + F.floor((i - cut) / F.greatest(small, F.lit(1)))).cast("int")
+
+
+def in_part():
+    """The order of a part of a sport, for rows that are parted far enough."""
+    return Window.partitionBy("sport", "part").orderBy("seq")
+
+
+def own(rows: DataFrame) -> DataFrame:
+    """The parts' own rows."""
+    return rows.where("own").drop("own", "part")
+
+
 def trailing(n: int, current: bool = True):
-    return by_seq().rowsBetween(-(n - 1), 0) if current else by_seq().rowsBetween(-n, -1)
+    """Of parted rows the last n, this one included or not."""
+    return in_part().rowsBetween(-(n - 1), 0) if current else in_part().rowsBetween(-n, -1)
 
 
 @query("w1_dedup_five_keys", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END, l_shipdate DESC, l_quantity DESC, l_partkey, l_suppkey, l_linenumber, l_extendedprice) AS rn FROM lineitem) WHERE rn = 1")
@@ -103,7 +142,8 @@ L10 = ROWS.format("9 PRECEDING", "CURRENT ROW")
 
 @query("w9_rolling_mean_std", f"WITH {PREDICTIONS} SELECT match_id, round(avg(p1) {L10}, 6) AS mean, round(stddev_pop(p1) {L10}, 6) AS std FROM preds")
 def w9(spark, sf):
-    return predictions(spark, sf).select("match_id", r6(F.avg("p1").over(trailing(10))).alias("mean"), r6(F.stddev_pop("p1").over(trailing(10))).alias("std"))
+    x = parted(predictions(spark, sf), 9)
+    return own(x.select("own", "match_id", r6(F.avg("p1").over(trailing(10))).alias("mean"), r6(F.stddev_pop("p1").over(trailing(10))).alias("std")))
 
 
 def causal_slope(y: str, n: int) -> Column:
@@ -117,25 +157,26 @@ def causal_slope(y: str, n: int) -> Column:
 
 @query("w10_causal_slope", f"WITH {PREDICTIONS} SELECT match_id, round(coalesce(CASE WHEN count(*) {L10} > 1 THEN regr_slope(p1, seq) {L10} END, 0), 5) AS slope FROM preds")
 def w10(spark, sf):
-    return predictions(spark, sf).select("match_id", F.round(causal_slope("p1", 10), 5).alias("slope"))
+    return own(parted(predictions(spark, sf), 9).select("own", "match_id", F.round(causal_slope("p1", 10), 5).alias("slope")))
 
 
 @query("w11_differences", f"WITH {PREDICTIONS} SELECT match_id, round(p1 - lag(p1) OVER w, 6) AS speed, round(p1 - 2 * lag(p1) OVER w + lag(p1, 2) OVER w, 6) AS acceleration, coalesce((p1 >= 0.5) <> (lag(p1) OVER w >= 0.5), false) AS flip FROM preds WINDOW w AS (PARTITION BY sport ORDER BY seq)")
 def w11(spark, sf):
-    p, one, two = F.col("p1"), F.lag("p1").over(by_seq()), F.lag("p1", 2).over(by_seq())
-    return predictions(spark, sf).select("match_id", r6(p - one).alias("speed"), r6(p - 2 * one + two).alias("acceleration"), F.coalesce((p >= 0.5) != (one >= 0.5), F.lit(False)).alias("flip"))
+    p, one, two = F.col("p1"), F.lag("p1").over(in_part()), F.lag("p1", 2).over(in_part())
+    return own(parted(predictions(spark, sf), 2).select("own", "match_id", r6(p - one).alias("speed"), r6(p - 2 * one + two).alias("acceleration"), F.coalesce((p >= 0.5) != (one >= 0.5), F.lit(False)).alias("flip")))
 
 
 @query("w12_future_loss", f"WITH {LEDGER} SELECT match_id, round(CASE WHEN count(*) OVER w = 5 THEN avg(ll) OVER w END, 6) AS future FROM ledger WINDOW w AS (PARTITION BY sport ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)")
 def w12(spark, sf):
     """The mean loss of the next five rows, a label; null where there are fewer."""
-    w = by_seq().rowsBetween(1, 5)
-    return ledger(spark, sf).select("match_id", r6(F.when(F.count("*").over(w) == 5, F.avg("ll").over(w))).alias("future"))
+    w = in_part().rowsBetween(1, 5)
+    x = parted(ledger(spark, sf), 0, 5)
+    return own(x.select("own", "match_id", r6(F.when(F.count("*").over(w) == 5, F.avg("ll").over(w))).alias("future")))
 
 
 @query("w13_forward_change", f"WITH {PREDICTIONS} SELECT match_id, CAST(lead(p1, 3) OVER w > p1 AS INT) AS rises FROM preds WINDOW w AS (PARTITION BY sport ORDER BY seq)")
 def w13(spark, sf):
-    return predictions(spark, sf).select("match_id", (F.lead("p1", 3).over(by_seq()) > F.col("p1")).cast("int").alias("rises"))
+    return own(parted(predictions(spark, sf), 0, 3).select("own", "match_id", (F.lead("p1", 3).over(in_part()) > F.col("p1")).cast("int").alias("rises")))
 
 
 P60 = ROWS.format("60 PRECEDING", "1 PRECEDING")
@@ -145,7 +186,7 @@ P60 = ROWS.format("60 PRECEDING", "1 PRECEDING")
 def w14(spark, sf):
     w = trailing(60, False)
     z = (F.col("p1") - F.avg("p1").over(w)) / F.greatest(F.stddev_pop("p1").over(w), F.lit(1e-6))
-    return predictions(spark, sf).select("match_id", F.round(F.when(F.count("*").over(w) >= 5, z), 5).alias("z"))
+    return own(parted(predictions(spark, sf), 60).select("own", "match_id", F.round(F.when(F.count("*").over(w) >= 5, z), 5).alias("z")))
 
 
 P200 = ROWS.format("200 PRECEDING", "1 PRECEDING")
@@ -163,7 +204,7 @@ def w15(spark, sf):
     """The candidate (p2) is used where it beat the base (p1) by 0.01 over up to 200 earlier rows, 20 at least."""
     w = trailing(200, False)
     use = F.coalesce((F.count("*").over(w) >= 20) & (F.avg(F.col("l2") - F.col("l1")).over(w) <= -0.01), F.lit(False))
-    return losses(spark, sf).withColumn("used", use).select("match_id", "used", r6(F.when(F.col("used"), F.col("p2")).otherwise(F.col("p1"))).alias("p"))
+    return own(parted(losses(spark, sf), 200).withColumn("used", use)).select("match_id", "used", r6(F.when(F.col("used"), F.col("p2")).otherwise(F.col("p1"))).alias("p"))
 
 
 P40 = ROWS.format("40 PRECEDING", "1 PRECEDING")
@@ -172,7 +213,7 @@ P40 = ROWS.format("40 PRECEDING", "1 PRECEDING")
 @query("w16_soft_routing", f"WITH {LOSSES}, m AS (SELECT match_id, p1, p2, p3, coalesce(avg(l1) {P40}, 0) AS a, coalesce(avg(l2) {P40}, 0) AS b, coalesce(avg(l3) {P40}, 0) AS c FROM losses), e AS (SELECT *, exp(-a / 0.15) AS x, exp(-b / 0.15) AS y, exp(-c / 0.15) AS z FROM m) SELECT match_id, round((x * p1 + y * p2 + z * p3) / (x + y + z), 5) AS p FROM e")
 def w16(spark, sf):
     w = trailing(40, False)
-    e = losses(spark, sf).select("match_id", "p1", "p2", "p3", *(F.exp(-F.coalesce(F.avg(f"l{i}").over(w), F.lit(0.0)) / 0.15).alias(f"w{i}") for i in (1, 2, 3)))
+    e = own(parted(losses(spark, sf), 40).select("own", "match_id", "p1", "p2", "p3", *(F.exp(-F.coalesce(F.avg(f"l{i}").over(w), F.lit(0.0)) / 0.15).alias(f"w{i}") for i in (1, 2, 3))))
     return e.select("match_id", F.round(sum(F.col(f"w{i}") * F.col(f"p{i}") for i in (1, 2, 3)) / sum(F.col(f"w{i}") for i in (1, 2, 3)), 5).alias("p"))
 
 
@@ -190,7 +231,8 @@ L30 = ROWS.format("29 PRECEDING", "CURRENT ROW")
 
 @query("w18_worst_window", f"WITH {LOSSES}, r AS (SELECT sport, seq, round(avg(l1) {L30}, 9) AS m, count(*) {L30} AS n FROM losses) SELECT sport, round(max(m), 6) AS loss, arg_max(seq, (m, -seq)) AS at_seq FROM r WHERE n = 30 GROUP BY 1")
 def w18(spark, sf):
-    r = losses(spark, sf).select("sport", "seq", F.round(F.avg("l1").over(trailing(30)), 9).alias("m"), F.count("*").over(trailing(30)).alias("n")).where("n = 30")
+    x = parted(losses(spark, sf), 29)
+    r = own(x.select("own", "sport", "seq", F.round(F.avg("l1").over(trailing(30)), 9).alias("m"), F.count("*").over(trailing(30)).alias("n"))).where("n = 30")
     g = r.groupBy("sport").agg(F.max(F.struct("m", (-F.col("seq")).alias("s"))).alias("x"))
     return g.select("sport", r6("x.m").alias("loss"), (-F.col("x.s")).alias("at_seq"))
 
@@ -267,11 +309,11 @@ def q7(spark, sf):
 @query("q11_regime", f"WITH {PREDICTIONS}, r AS (SELECT match_id, sport, seq, CASE WHEN stddev_pop(p1) {L10} > 0.28 THEN 'volatile' WHEN avg(p1) {L10} > 0.52 THEN 'up' WHEN avg(p1) {L10} < 0.46 THEN 'down' ELSE 'flat' END AS regime FROM preds) SELECT match_id, regime, coalesce(regime <> lag(regime) OVER (PARTITION BY sport ORDER BY seq), false) AS moved FROM r")
 def q11(spark, sf):
     w = trailing(10)
-    r = predictions(spark, sf).withColumn("regime", F.when(F.stddev_pop("p1").over(w) > 0.28, "volatile").when(F.avg("p1").over(w) > 0.52, "up").when(F.avg("p1").over(w) < 0.46, "down").otherwise("flat"))
-    return r.select("match_id", "regime", F.coalesce(F.col("regime") != F.lag("regime").over(by_seq()), F.lit(False)).alias("moved"))
+    r = parted(predictions(spark, sf), 10).withColumn("regime", F.when(F.stddev_pop("p1").over(w) > 0.28, "volatile").when(F.avg("p1").over(w) > 0.52, "up").when(F.avg("p1").over(w) < 0.46, "down").otherwise("flat"))
+    return own(r.select("own", "match_id", "regime", F.coalesce(F.col("regime") != F.lag("regime").over(in_part()), F.lit(False)).alias("moved")))
 
 
 @query("q12_revision_metrics", f"WITH {PREDICTIONS}, d AS (SELECT sport, p1 - lag(p1) OVER (PARTITION BY sport ORDER BY seq) AS d FROM preds) SELECT sport, count(d) AS n, round(avg(abs(d)), 6) AS mean_abs, round(max(abs(d)), 6) AS max_abs, count(*) FILTER (WHERE abs(d) > 0.3) AS jumps FROM d GROUP BY 1")
 def q12(spark, sf):
-    d = predictions(spark, sf).select("sport", (F.col("p1") - F.lag("p1").over(by_seq())).alias("d"))
+    d = own(parted(predictions(spark, sf), 1).select("own", "sport", (F.col("p1") - F.lag("p1").over(in_part())).alias("d")))
     return d.groupBy("sport").agg(F.count("d").alias("n"), r6(F.avg(F.abs("d"))).alias("mean_abs"), r6(F.max(F.abs("d"))).alias("max_abs"), F.count_if(F.abs("d") > 0.3).alias("jumps"))
