@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shingles
-from .common import frugal, new_dir, shipped
+from .common import frugal, new_dir, release, shipped
 from .words import ChunkCoder, ragged
 
 #: How the tokenizer file splits (its white-space class spelt out).
@@ -286,6 +286,8 @@ def build_lexicon(docs: DataFrame, tokenizer: str, most: int = 50_000) -> str:
     with fs.open_output_stream(f"{root}/{name}", compression=None) as f:
         f.write(data)
     spark.sparkContext.addFile(f"{out}/{name}")
+    del v, words, data
+    release()
     return name
 
 

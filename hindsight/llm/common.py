@@ -75,13 +75,18 @@ def frugal(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     @functools.wraps(task)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from task(batches)
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        release()
 
     return run
 
 
+def release() -> None:
+    """Gives this process's freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library is another one
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Scratch:
     """The written tables of one run in the shared folder, which are deleted once they are consumed."""
 
@@ -132,9 +137,8 @@ def components(links: DataFrame, work: str) -> DataFrame:
     step = 0
     while n:
         step += 1
-        hook = edges.groupBy(F.col("hi").alias("node")).agg(F.min("lo").alias("root"))
-        tops = edges.select(F.col("lo").alias("node")).distinct().join(hook, "node", "left_anti")
-        forest = stored(hook.unionByName(tops.select("node", F.col("node").alias("root"))), f"{work}/forest{step}_0")
+        ends = F.explode(F.array(F.struct(F.col("hi").alias("node"), F.col("lo").alias("root")), F.struct(F.col("lo").alias("node"), F.col("lo").alias("root"))))
+        forest = stored(edges.select(ends.alias("e")).groupBy("e.node").agg(F.min("e.root").alias("root")), f"{work}/forest{step}_0")
         jump, moved = 0, 1
         while moved:
             up = forest.select(F.col("node").alias("root"), F.col("root").alias("above"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import frugal, table
+from .common import frugal, release, table
 
 WORDS, SHAPES, BANDS = 1024, 512, 64
 DIM = WORDS + SHAPES + BANDS
@@ -146,7 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096) -> Mode
 
     rows = texts.mapInArrow(task, "doc_id long, quality double, x binary").toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).astype(np.float32).reshape(-1, DIM)
-    return fitted(x, rows.column("quality").to_numpy())
+    model = fitted(x, rows.column("quality").to_numpy())
+    del x, rows
+    release()
+    return model
 
 
 def _few(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
