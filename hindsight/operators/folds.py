@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..plans.catalog import query
 from ..sources.roles import predictions
-from ..sources.work import stored
+from ..sources.work import stored, work_dir
 from .predicates import brier, log_loss
 from .sequential import maturing, weighted_replicates
 from .windows import overlapping, part_of, sized
@@ -275,7 +275,10 @@ def tree_pool(train: DataFrame, rows: DataFrame) -> DataFrame:
     inputs = VectorAssembler(inputCols=["p1", "p2", "p3i", "gap3"], outputCol="features")
     train, rows = (inputs.transform(filled.transform(x.withColumns({"label": F.col("y").cast("double"), "gap3": F.col("p3").isNull().cast("double")}))) for x in (train, rows))
     for name, m in (("forest", RandomForestClassifier(weightCol="w", numTrees=10, maxDepth=4, seed=7)), ("boosted", GBTClassifier(weightCol="w", maxIter=5, maxDepth=3, seed=7))):
-        rows = m.setProbabilityCol("prob").setRawPredictionCol("raw").setPredictionCol("hit").fit(train).transform(rows).withColumn(name, vector_to_array("prob")[1]).drop("prob", "raw", "hit")
+        fit, path = m.setProbabilityCol("prob").setRawPredictionCol("raw").setPredictionCol("hit").fit(train), work_dir(train.sparkSession, name)
+        fit.write().save(path)
+        fit = type(fit).load(path)  # without its summary, which drags the session into its tasks
+        rows = fit.transform(rows).withColumn(name, vector_to_array("prob")[1]).drop("prob", "raw", "hit")
     return rows.drop("features", "label", "gap3", "p3i")
 
 

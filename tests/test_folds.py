@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from hindsight.operators import folds
@@ -204,3 +205,12 @@ def test_r20_learns_which_expert_helps(spark):
     gain = pd.Series(loss(x.fixed) - loss(x.routed)).groupby(x.fold).mean()
     learnt = x.groupby("fold")["loss_0"].apply(lambda v: v.notna().all())
     assert learnt.any() and (gain[learnt] > 0.03).all() and (gain[~learnt] == 0).all()
+
+
+def test_l1_works_once_the_session_has_observed_something(spark):
+    """A fitted model's summary holds the session, which can't be sent to tasks once it has an observation."""
+    seen = Observation()
+    spark.range(5).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get["n"] == 5
+    out = folds.l1(spark, "/root/testdata/sf0.001").collect()
+    assert len(out) == 5 * 6 and all(0 <= r.accuracy <= 1 for r in out)
