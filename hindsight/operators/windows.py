@@ -306,13 +306,35 @@ def q7(spark, sf):
     return b.groupBy("pid", "day", "bin").agg(*(c for s in ("view", "click") for c in (F.coalesce(last(s), F.lit(0.0)).alias(s), (F.count_if(F.col("stat") == s) > 0).cast("int").alias(f"has_{s}"))))
 
 
-@query("q11_regime", f"WITH {PREDICTIONS}, r AS (SELECT match_id, sport, seq, CASE WHEN stddev_pop(p1) {L10} > 0.28 THEN 'volatile' WHEN avg(p1) {L10} > 0.52 THEN 'up' WHEN avg(p1) {L10} < 0.46 THEN 'down' ELSE 'flat' END AS regime FROM preds) SELECT match_id, regime, coalesce(regime <> lag(regime) OVER (PARTITION BY sport ORDER BY seq), false) AS moved FROM r")
-def q11(spark, sf):
+def spread(values: Column) -> Column:
+    """Population standard deviation of an array in its order, by Welford's update, mean first.
+
+    Spark's own stddev_pop rounds an update in another way, which tells at a threshold that values meet exactly.
+    """
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1
+        mean = acc["mean"] + (x - acc["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (acc["m2"] + (x - mean) * (x - acc["mean"])).alias("m2"))
+
+    return F.aggregate(values, start, add, lambda acc: F.sqrt(acc["m2"] / acc["n"]))
+
+
+def regimes(rows: DataFrame) -> DataFrame:
+    """(match_id, regime, moved) of rows(sport, seq, match_id, p1): what the last ten values look like, and whether that is new."""
     w = trailing(10)
-    r = parted(predictions(spark, sf), 10).withColumn("regime", F.when(F.stddev_pop("p1").over(w) > 0.28, "volatile").when(F.avg("p1").over(w) > 0.52, "up").when(F.avg("p1").over(w) < 0.46, "down").otherwise("flat"))
+    mean = F.avg("p1").over(w)
+    regime = F.when(spread(F.collect_list("p1").over(w)) > 0.28, "volatile").when(mean > 0.52, "up").when(mean < 0.46, "down").otherwise("flat")
+    r = parted(rows, 10).withColumn("regime", regime)
     return own(r.select("own", "match_id", "regime", F.coalesce(F.col("regime") != F.lag("regime").over(in_part()), F.lit(False)).alias("moved")))
 
 
+@query("q11_regime", f"WITH {PREDICTIONS}, r AS (SELECT match_id, sport, seq, CASE WHEN stddev_pop(p1) {L10} > 0.28 THEN 'volatile' WHEN avg(p1) {L10} > 0.52 THEN 'up' WHEN avg(p1) {L10} < 0.46 THEN 'down' ELSE 'flat' END AS regime FROM preds) SELECT match_id, regime, coalesce(regime <> lag(regime) OVER (PARTITION BY sport ORDER BY seq), false) AS moved FROM r")
+def q11(spark, sf):
+    return regimes(predictions(spark, sf))
+
+
 @query("q12_revision_metrics", f"WITH {PREDICTIONS}, d AS (SELECT sport, p1 - lag(p1) OVER (PARTITION BY sport ORDER BY seq) AS d FROM preds) SELECT sport, count(d) AS n, round(avg(abs(d)), 6) AS mean_abs, round(max(abs(d)), 6) AS max_abs, count(*) FILTER (WHERE abs(d) > 0.3) AS jumps FROM d GROUP BY 1")
 def q12(spark, sf):
     d = own(parted(predictions(spark, sf), 1).select("own", "sport", (F.col("p1") - F.lag("p1").over(in_part())).alias("d")))
