@@ -14,7 +14,7 @@ from ..sources.store import Store, freeze, with_holdout
 from ..sources.work import work_dir
 from .aggregates import LEDGER, ledger
 from .predicates import brier, r6
-from .sequential import Pool, matured, maturing
+from .sequential import Pool, in_order, matured, maturing
 from .windows import LOSSES, by_seq, in_part, losses, own, part_of, parted, sized
 
 
@@ -237,7 +237,7 @@ def prediction_sets(rows: DataFrame, alpha: float = 0.2, last: int = 240, least:
                 got.append((s, i, n, "SINGLE" if size == 1 else "SET" if size else "EMPTY"))
             yield pd.DataFrame(got, columns=["sport", "match_id", "n", "kind"])
 
-    return matured(rows, "y", "p").mapInPandas(task, out)
+    return in_order(matured(rows, "y", "p")).mapInPandas(task, out)
 
 
 SETS = f"""{PREDICTIONS}, s AS (SELECT *, greatest(t + 86400000000, avail) AS mature, CASE WHEN y = 1 THEN 1 - p1 ELSE p1 END AS score FROM preds),

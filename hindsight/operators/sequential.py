@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.catalog import query
-from ..sources.roles import DAY, HOUR, PREDICTIONS, admitted_results, matches, predictions
+from ..sources.roles import DAY, HOUR, PREDICTIONS, admitted_results, matches, predictions, running
+from ..sources.work import stored
 from .predicates import r6
 from .windows import losses, overlapping
 
@@ -76,7 +77,12 @@ def matured(rows: DataFrame, *columns: str) -> DataFrame:
     """
     times = F.array(F.struct(F.greatest("mature", F.col("t") + 1).alias("at"), F.lit(0).alias("kind")), F.struct(F.col("t").alias("at"), F.lit(1).alias("kind")))
     both = rows.select("sport", "match_id", "t", *columns, F.explode(times).alias("e")).select("sport", "match_id", "t", *columns, "e.at", "e.kind")
-    return both.repartition("sport").sortWithinPartitions("sport", "at", "kind", "t", "match_id")
+    return both
+
+
+def in_order(stream: DataFrame) -> DataFrame:
+    """A stream whose sports are one task each, in order."""
+    return stream.repartition("sport").sortWithinPartitions("sport", "at", "kind", "t", "match_id")
 
 
 def maturing(x: DataFrame) -> DataFrame:
@@ -96,6 +102,102 @@ class Pool:
             heapq.heappop(self.rows)
 
 
+#: Rows of a part of a sport's stream.
+STREAM_PART = 20_000
+
+
+def pooled(stream: DataFrame, last: int, part_rows: int) -> DataFrame:
+    """A stream (sport, match_id, t, at, kind, ...) cut into parts of `part_rows` rows, in columns part and kind -1 led by the `last` newest labels (by time and id) of all parts before, so that parts run in parallel."""
+    numbered = running(stream.withColumn("_k", F.struct("kind", "t", "match_id")), "sport", "at", "_k", F.lit(1), "_n", "sum")
+    rows = stored(numbered.withColumn("part", F.floor((F.col("_n") - 1) / part_rows)).drop("_k", "_n"), "stream")
+    newest = Window.partitionBy("sport", "part").orderBy(F.desc("t"), F.desc("match_id"))
+    top = rows.where("kind = 0").withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= last).drop("_r")
+    n_parts = rows.groupBy("sport").agg(F.max("part").alias("_last_part"))
+
+    def task(frames):
+        """A sport's labels, at most `last` a part, in the order of its parts: the pool before each part."""
+        sport, done, end, pool = None, 0, 0, None
+        for f in frames:
+            for (s, part, last_part), g in f.groupby(["sport", "part", "_last_part"], sort=False):
+                if s != sport:
+                    yield from led(pool, done + 1, end)
+                    sport, done, end, pool = s, part, last_part, None
+                else:
+                    yield from led(pool, done + 1, part)
+                    done = part
+                pool = (g if pool is None else pd.concat([pool, g])).sort_values(["t", "match_id"]).tail(last)
+        yield from led(pool, done + 1, end)
+
+    def led(pool, first, until):
+        for part in range(first, until + 1):
+            yield pool.assign(part=part, kind=-1).drop(columns="_last_part")
+
+    ordered = top.join(n_parts, "sport").repartition("sport").sortWithinPartitions("sport", "part").select(*rows.columns, "_last_part")
+    return rows.unionByName(ordered.mapInPandas(task, rows.schema))
+
+
+class Pools:
+    """The pools of a part of a stream, whose rows are given in order: for the predictions (kind 1) the `last` newest labels (by time and id) that came before.
+
+    rows holds the labels' positions from old to new, n how many there are.
+    """
+
+    def __init__(self, f: pd.DataFrame, last: int):
+        self.last, self.kind = last, f.kind.to_numpy()
+        self.labels = np.flatnonzero(self.kind < 1)
+        self.labels = self.labels[np.lexsort((f.match_id.to_numpy()[self.labels], f.t.to_numpy()[self.labels]))]
+        self.rank = np.zeros(len(f), np.int64)
+        self.rank[self.labels] = np.arange(len(self.labels))
+
+    def batches(self, size: int = 256):
+        """(rows, n, asking, pool): up to `size` pools at a time, the positions of the predictions that meet them, and the number of the pool that each meets."""
+        held, n, new = np.zeros(self.last, np.int64), 0, True
+        rows, count, asking, pool = [], [], [], []
+        for i, (kind, r) in enumerate(zip(self.kind.tolist(), self.rank.tolist(), strict=True)):
+            if kind < 1:
+                j = n if n and held[n - 1] < r else int(np.searchsorted(held[:n], r))
+                if n < self.last:
+                    held[j + 1 : n + 1] = held[j:n].copy()
+                    held[j], n, new = r, n + 1, True
+                elif j:
+                    held[: j - 1] = held[1:j].copy()
+                    held[j - 1], new = r, True
+                continue
+            if new:
+                if len(rows) == size:
+                    yield self._batch(rows, count, asking, pool)
+                    rows, count, asking, pool = [], [], [], []
+                rows.append(held.copy())
+                count.append(n)
+                new = False
+            elif not rows:
+                rows.append(held.copy())
+                count.append(n)
+            asking.append(i)
+            pool.append(len(rows) - 1)
+            if len(asking) == 16 * size:
+                yield self._batch(rows, count, asking, pool)
+                rows, count, asking, pool = [], [], [], []
+        if asking:
+            yield self._batch(rows, count, asking, pool)
+
+    def _batch(self, rows, count, asking, pool):
+        at = np.stack(rows)
+        at = self.labels[at] if len(self.labels) else at
+        return at, np.array(count), np.array(asking), np.array(pool)
+
+
+def by_part(stream: DataFrame, last: int, part_rows: int, fold, out: str) -> DataFrame:
+    """fold(rows of a part in order, their pools) of every part of a stream."""
+
+    def task(f: pd.DataFrame) -> pd.DataFrame:
+        lead = f[f.kind < 0].sort_values(["t", "match_id"])
+        f = pd.concat([lead, f[f.kind >= 0].sort_values(["at", "kind", "t", "match_id"])], ignore_index=True)
+        return fold(f, Pools(f, last))
+
+    return pooled(stream, last, part_rows).groupBy("sport", "part").applyInPandas(task, out)
+
+
 def online_experts(rows: DataFrame, rate: float = 0.05, least: int = 30, vote: float = 0.5, floor: float = 1e-12) -> DataFrame:
     """Weighted votes of prediction sets, whose weights follow what has matured.
 
@@ -125,7 +227,7 @@ def online_experts(rows: DataFrame, rate: float = 0.05, least: int = 30, vote: f
                     w = w / w.sum()
             yield pd.DataFrame(out, columns=["sport", "match_id", "n", "voted", "w"])
 
-    return matured(rows, "y", "sets").mapInPandas(task, "sport string, match_id long, n long, voted array<int>, w array<double>")
+    return in_order(matured(rows, "y", "sets")).mapInPandas(task, "sport string, match_id long, n long, voted array<int>, w array<double>")
 
 
 def label_sets(width: float = 0.35) -> Column:
@@ -179,7 +281,7 @@ def local_sets(rows: DataFrame, alpha: float = 0.1, least: int = 30, last: int =
                 got.append((s, i, n, float(d[near[0]]), *pv, ("ABSTAIN", "SINGLE", "SET")[size]))
             yield pd.DataFrame(got, columns=[c.split()[0] for c in out.split(", ")])
 
-    return matured(rows, "y", "p", "x").mapInPandas(task, out)
+    return in_order(matured(rows, "y", "p", "x")).mapInPandas(task, out)
 
 
 @query("n3_local_sets", f"""WITH {PREDICTIONS}, s AS (SELECT *, greatest(t + 86400000000, avail) AS mature, CASE WHEN y = 1 THEN 1 - p1 ELSE p1 END AS score FROM preds),
@@ -208,6 +310,8 @@ def platt(x: np.ndarray, y: np.ndarray, used: np.ndarray, steps: int = 25) -> tu
         da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
         step = np.minimum(1, 4 / np.maximum(np.abs(da) + np.abs(db), 1e-12))
         a, b = a - step * da, b - step * db
+        if (np.abs(step * da) + np.abs(step * db)).max(initial=0) < 1e-13:
+            break
     return a, b
 
 
@@ -240,41 +344,39 @@ def q9(spark, sf):
     return trailing_platt(predictions(spark, sf).withColumn("p", F.col("p1"))).select("sport", "match_id", "fitted", F.round("p", 5).alias("p"))
 
 
-def frozen_calibration(rows: DataFrame, locked: float = 0.7, least: int = 120, last: int = 600) -> DataFrame:
+def frozen_calibration(rows: DataFrame, locked: float = 0.7, least: int = 120, last: int = 600, part_rows: int = STREAM_PART) -> DataFrame:
     """A raw score calibrated to the chance of being right, refitted on the `last` newest matured rows and frozen at the first of the locked rows.
 
     rows(sport, match_id, seq, n, t, mature, x, right): the rows after the share `locked` of a sport's n
     are locked, and their labels are never learnt from. With fewer than `least` rows or one outcome only
-    the calibrated value is (right + 1) / (rows + 2) of what has matured.
+    the calibrated value is (right + 1) / (rows + 2) of what has matured. A sport's stream is cut into
+    parts, each led by the pool that it starts with; locked rows take the fit of the first of them.
     """
-    out = "sport string, match_id long, rows long, state string, p double"
-
-    def task(frames):
-        sport, pool, frozen = None, Pool(last), None
-        for f in frames:
-            got = []
-            for s, i, t, kind, x, right, lock in zip(f.sport, f.match_id, f.t, f.kind, f.x, f.right, f.locked, strict=True):
-                if s != sport:
-                    sport, pool, frozen = s, Pool(last), None
-                if kind == 0:
-                    if not lock:
-                        pool.add(t, i, x, right)
-                    continue
-                fit = frozen
-                if fit is None:
-                    n, ones = len(pool.rows), sum(r[3] for r in pool.rows)
-                    if n >= least and 0 < ones < n:
-                        v = np.array([r[2:] for r in pool.rows], float)
-                        a, b = platt(v[None, :, 0], v[None, :, 1], np.ones((1, n), bool))
-                        fit = (n, "FITTED", float(a[0]), float(b[0]))
-                    else:
-                        fit = (n, "PRIOR", 0.0, float(np.log((ones + 1) / (n - ones + 1))))
-                    frozen = fit if lock else None
-                got.append((s, i, fit[0], fit[1], float(1 / (1 + np.exp(-(fit[2] * x + fit[3]))))))
-            yield pd.DataFrame(got, columns=[c.split()[0] for c in out.split(", ")])
-
-    rows = rows.withColumn("locked", F.col("seq") > F.floor(F.col("n") * locked))
-    return matured(rows, "x", "right", "locked").mapInPandas(task, out)
+    out = "sport string, match_id long, x double, first boolean, rows long, state string, a double, b double"
+
+    def fold(f: pd.DataFrame, pools: Pools) -> pd.DataFrame:
+        x, right = f.x.to_numpy(float), f.right.to_numpy(float)
+        got = []
+        for at, n, ask, pool in pools.batches():
+            used = np.arange(last) < n[:, None]
+            ones = np.where(used, right[at], 0).sum(axis=1)
+            fits = (n >= least) & (ones > 0) & (ones < n)
+            a, b = np.zeros(len(n)), np.log((ones + 1) / (n - ones + 1))
+            if fits.any():
+                a[fits], b[fits] = platt(x[at[fits]], right[at[fits]], used[fits])
+            got.append(pd.DataFrame({"match_id": f.match_id.to_numpy()[ask], "x": x[ask], "first": f.locked.to_numpy(bool)[ask], "rows": n[pool], "state": np.where(fits, "FITTED", "PRIOR")[pool], "a": a[pool], "b": b[pool]}))
+        if not got:
+            return pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")])
+        return pd.concat(got).assign(sport=f.sport.iloc[0])[[c.split()[0] for c in out.split(", ")]]
+
+    cut = F.floor(F.col("n") * locked)
+    rows = rows.withColumn("locked", F.col("seq") > cut).withColumn("later", F.col("seq") > cut + 1)
+    stream = matured(rows, "x", "right", "locked", "later").where("kind = 0 AND NOT locked OR kind = 1 AND NOT later").drop("later")
+    fits = stored(by_part(stream, last, part_rows, fold, out), "fits")
+    frozen = fits.where("first").select("sport", "rows", "state", "a", "b")
+    later = rows.where("later").select("sport", "match_id", "x").join(F.broadcast(frozen), "sport")
+    both = fits.drop("first").unionByName(later)
+    return both.select("sport", "match_id", "rows", "state", (1 / (1 + F.exp(-(F.col("a") * F.col("x") + F.col("b"))))).alias("p"))
 
 
 @query("q10_frozen_calibration")
