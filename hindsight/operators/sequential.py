@@ -247,41 +247,45 @@ def q8(spark, sf):
     return online_experts(x).select("sport", "match_id", "n", *(F.round(F.col("w")[i - 1], 5).alias(f"w{i}") for i in (1, 2, 3)))
 
 
-def local_sets(rows: DataFrame, alpha: float = 0.1, least: int = 30, last: int = 200, k: int = 30) -> DataFrame:
+def local_sets(rows: DataFrame, alpha: float = 0.1, least: int = 30, last: int = 200, k: int = 30, part_rows: int = STREAM_PART) -> DataFrame:
     """Conformal sets from a row's neighbours: of the `last` newest matured rows the `k` nearest, by root mean square distance of x scaled to that pool, give p-values.
 
-    rows(sport, match_id, t, mature, y, p, x): p is P(1), x an array of features. A sport is one fold with
-    a pool of bounded size. Of equal distances the older row is nearer. Fewer than `least` rows: ABSTAIN.
+    rows(sport, match_id, t, mature, y, p, x): p is P(1), x an array of features. A sport's stream is cut
+    into parts, each led by the pool that it starts with. Of equal distances the older row is nearer.
+    Fewer than `least` rows: ABSTAIN.
     """
     out = "sport string, match_id long, pool long, nearest double, p0 double, p1 double, kind string"
+    kinds = np.array(["ABSTAIN", "SINGLE", "SET"], object)
 
-    def task(frames):
-        sport, pool = None, Pool(last)
-        for f in frames:
-            got = []
-            for s, i, t, kind, y, p, x in zip(f.sport, f.match_id, f.t, f.kind, f.y, f.p, f.x, strict=True):
-                if s != sport:
-                    sport, pool = s, Pool(last)
-                if kind == 0:
-                    pool.add(t, i, 1 - p if y == 1 else p, np.asarray(x, float))
-                    continue
-                n = len(pool.rows)
-                if n < least:
-                    got.append((s, i, n, None, None, None, "ABSTAIN"))
-                    continue
-                held = sorted(pool.rows, key=lambda r: r[:2])
-                z = np.stack([r[3] for r in held])
-                std = z.std(axis=0)
-                std[~(std > 1e-9)] = 1.0
-                d = np.round(np.sqrt((((z - np.asarray(x, float)) / std) ** 2).mean(axis=1)), 9)
-                near = np.argsort(d, kind="stable")[:k]
-                score = np.array([held[j][2] for j in near])
-                pv = [float(1 + (score >= v - 1e-12).sum()) / (len(near) + 1) for v in (p, 1 - p)]  # a label's score is 1 less its probability
-                size = sum(v > alpha for v in pv)
-                got.append((s, i, n, float(d[near[0]]), *pv, ("ABSTAIN", "SINGLE", "SET")[size]))
-            yield pd.DataFrame(got, columns=[c.split()[0] for c in out.split(", ")])
-
-    return in_order(matured(rows, "y", "p", "x")).mapInPandas(task, out)
+    def fold(f: pd.DataFrame, pools: Pools) -> pd.DataFrame:
+        x, p = np.array(f.x.tolist(), float), f.p.to_numpy(float)
+        miss = np.where(f.y.to_numpy() == 1, 1 - p, p)  # a label's score is 1 less its probability
+        got = []
+        for at, n, asking, pool in pools.batches():
+            used = np.arange(last) < n[:, None]
+            z = np.where(used[:, :, None], x[at], 0.0)
+            some = np.maximum(n, 1)[:, None]
+            off = np.where(used[:, :, None], z - (z.sum(axis=1) / some)[:, None], 0.0)
+            std = np.sqrt((off * off).sum(axis=1) / some)
+            std[~(std > 1e-9)] = 1.0
+            for i in range(0, len(asking), 256):
+                ask, of = asking[i : i + 256], pool[i : i + 256]
+                d = np.round(np.sqrt((((z[of] - x[ask][:, None]) / std[of][:, None]) ** 2).mean(axis=2)), 9)
+                d[~used[of]] = np.inf
+                near = np.argsort(d, axis=1, kind="stable")[:, :k]
+                found = np.arange(near.shape[1]) < n[of][:, None]
+                score = miss[np.take_along_axis(at[of], near, axis=1)]
+                size = found.sum(axis=1) + 1
+                pv = np.stack([(1 + (found & (score >= v[:, None] - 1e-12)).sum(axis=1)) / size for v in (p[ask], 1 - p[ask])], axis=1)
+                enough = n[of] >= least
+                g = pd.DataFrame({"match_id": f.match_id.to_numpy()[ask], "pool": n[of], "nearest": d[np.arange(len(ask)), near[:, 0]], "p0": pv[:, 0], "p1": pv[:, 1], "kind": np.where(enough, kinds[(pv > alpha).sum(axis=1)], "ABSTAIN")})
+                g.loc[~enough, ["nearest", "p0", "p1"]] = np.nan  # null
+                got.append(g)
+        if not got:
+            return pd.DataFrame(columns=[c.split()[0] for c in out.split(", ")])
+        return pd.concat(got).assign(sport=f.sport.iloc[0])[[c.split()[0] for c in out.split(", ")]]
+
+    return by_part(matured(rows, "y", "p", "x"), last, part_rows, fold, out)
 
 
 @query("n3_local_sets", f"""WITH {PREDICTIONS}, s AS (SELECT *, greatest(t + 86400000000, avail) AS mature, CASE WHEN y = 1 THEN 1 - p1 ELSE p1 END AS score FROM preds),

@@ -24,6 +24,24 @@ def pool(given, row, last, most=10**9):
     return sorted(old, key=lambda r: (r[3], r[1]))[-last:]
 
 
+@pytest.mark.parametrize("part_rows", [17, 20_000])
+def test_local_sets(spark, given, part_rows):
+    want = []
+    for r in given:
+        held = pool(given, r, 25)
+        if len(held) < 12:
+            want.append((r[1], len(held), None, None, None, "ABSTAIN"))
+            continue
+        z = np.array([h[7] for h in held])
+        d = np.round(np.sqrt((((z - np.array(r[7])) / z.std(axis=0)) ** 2).mean(axis=1)), 9)
+        near = np.argsort(d, kind="stable")[:15]
+        score = np.array([1 - held[j][6] if held[j][5] == 1 else held[j][6] for j in near])
+        p0, p1 = ((1 + (score >= v - 1e-12).sum()) / (len(near) + 1) for v in (r[6], 1 - r[6]))
+        want.append((r[1], len(held), round(float(d[near[0]]), 6), round(float(p0), 6), round(float(p1), 6), ("ABSTAIN", "SINGLE", "SET")[int(p0 > 0.1) + int(p1 > 0.1)]))
+    got = sequential.local_sets(frame(spark, given), least=12, last=25, k=15, part_rows=part_rows).collect()
+    assert sorted((r.match_id, r.pool, *(None if v is None else round(v, 6) for v in (r.nearest, r.p0, r.p1)), r.kind) for r in got) == sorted(want)
+
+
 @pytest.mark.parametrize("part_rows", [17, 20_000])
 def test_frozen_calibration(spark, given, part_rows):
     want, frozen = {}, {}
