@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import query
 from ..sources.roles import DAY, MIN, PREDICTIONS, matches, observations, predictions
+from ..sources.work import stored
 from .evaluation import SETS, prediction_sets
 from .predicates import brier, r6
 from .sequential import maturing, weighted_replicates
@@ -166,7 +167,8 @@ def r4(spark, sf):
     from pyspark.ml.regression import GBTRegressor
 
     gap = F.greatest("p1", "p2", "p3") - F.least("p1", "p2", "p3")
-    x = VectorAssembler(inputCols=["p1", "p2", "p3", "gap"], outputCol="features").transform(_parted(spark, sf).withColumn("gap", gap))
+    context = stored(_parted(spark, sf).select("sport", "match_id", "part", "p1", "p2", "p3", "l1", "l2", "l3", gap.alias("gap")), "context")  # read by each fit, many times
+    x = VectorAssembler(inputCols=["p1", "p2", "p3", "gap"], outputCol="features").transform(context)
     train, rows = x.where("part <= 0.78"), x.where("part > 0.78")
     for i in (1, 2, 3):
         rows = GBTRegressor(labelCol=f"l{i}", predictionCol=f"e{i}", maxIter=5, maxDepth=3, seed=7).fit(train).transform(rows)
