@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html as entities
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,7 +13,6 @@ from pyspark.sql.functions import udtf
 
 from ..plans.catalog import query
 from .roles import MATCHES, matches
-from .work import stored
 
 #: Spans beyond this are taken as this, so that a page can't make more cells than it has bytes for.
 MOST_SPAN = 100
@@ -57,41 +58,92 @@ class _Reader(HTMLParser):
         return min(max(int(value), 1), MOST_SPAN) if value and value.isascii() and value.isdigit() else 1
 
 
-def grid_cells(html: str | None) -> Iterator[tuple[int, int, int, bool, str]]:
-    """(table, row, col, header, text) of every place of every table's grid: a cell that spans rows or columns is in each of its places. Text is trimmed, its white space collapsed."""
+#: A tag in plain form, after its text.
+_TAG = re.compile(r"""([^<]*)<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\s+[a-zA-Z][-a-zA-Z]*(?:=(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=`/&]+))?)*)\s*>""")
+_SPAN = re.compile(r"""\s([a-zA-Z][-a-zA-Z]*)(?:=(?:"([^"]*)"|'([^']*)'|(\S+)))?""")
+#: Tags whose content is no markup.
+_RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
+
+
+def _read(html: str) -> list[list[list[list]]]:
+    """The tables that _Reader collects. Pages of plain tags are read by one pattern, all others (comments, scripts, stray signs) by the parser."""
+    page, at = _Reader(), 0
+    for m in iter(_TAG.scanner(html).match, None):
+        data, end, tag, attrs = m.groups()
+        at, tag = m.end(), tag.lower()
+        if tag in _RAW:
+            break
+        if data and page.open:
+            page.handle_data(entities.unescape(data) if "&" in data else data)
+        if tag not in ("table", "tr", "td", "th"):
+            continue
+        if end:
+            if attrs:
+                break
+            page.handle_endtag(tag)
+        else:
+            page.handle_starttag(tag, [(k.lower(), entities.unescape(next((v for v in values if v), ""))) for k, *values in _SPAN.findall(attrs)] if attrs else ())
+    else:
+        if "<" not in html[at:]:
+            if page.open and at < len(html):
+                page.handle_data(entities.unescape(html[at:]))
+            return page.tables
     page = _Reader()
-    page.feed(html or "")
+    page.feed(html)
     page.close()
-    for t, rows in enumerate(page.tables):
-        below: dict[int, tuple[int, bool, str]] = {}  # by column: rows that a cell from above still takes
-        for r, cells in enumerate(rows):
-            row, col = {}, 0
-            for c, (left, header, text) in list(below.items()):
+    return page.tables
+
+
+def _grid(rows: list[list[list]]) -> Iterator[dict[int, tuple[bool, str]]]:
+    """A table's rows as (header, text) by column: a cell that spans rows or columns is in each of its places. Text is trimmed, its white space collapsed."""
+    below: dict[int, tuple[int, bool, str]] = {}  # by column: rows that a cell from above still takes
+    for cells in rows:
+        row, col = {}, 0
+        for c, (left, header, text) in list(below.items()):
+            row[c] = (header, text)
+            below[c] = (left - 1, header, text)
+            if left == 1:
+                del below[c]
+        for header, down, across, parts in cells:
+            while col in row:
+                col += 1
+            text = " ".join("".join(parts).split())
+            for c in range(col, col + across):
                 row[c] = (header, text)
-                below[c] = (left - 1, header, text)
-                if left == 1:
-                    del below[c]
-            for header, down, across, parts in cells:
-                while col in row:
-                    col += 1
-                text = " ".join("".join(parts).split())
-                for c in range(col, col + across):
-                    row[c] = (header, text)
-                    if down > 1:
-                        below[c] = (down - 1, header, text)
-                col += across
+                if down > 1:
+                    below[c] = (down - 1, header, text)
+            col += across
+        yield row
+
+
+def grid_cells(html: str | None) -> Iterator[tuple[int, int, int, bool, str]]:
+    """(table, row, col, header, text) of every place of every table's grid."""
+    for t, rows in enumerate(_read(html or "")):
+        for r, row in enumerate(_grid(rows)):
             yield from ((t, r, c, *row[c]) for c in sorted(row))
 
 
-@udtf(returnType="table int, row int, col int, header boolean, text string")
-class TableCells:
+def grid_tables(html: str | None) -> Iterator[tuple]:
+    """(table, corner, middle, cells): a table's places in order, each with what it stands beside and below; corner is the first text of row 0, middle its place in column 1 as (header, text). Tables whose row 0 is empty are left out."""
+    for t, rows in enumerate(_read(html or "")):
+        top, cells, none = None, [], (None, None)
+        for r, row in enumerate(_grid(rows)):
+            top = row if top is None else top
+            first, second = row.get(0, none), row.get(1, none)[1]
+            cells += [(r, c, *row[c], *first, second, *top.get(c, none)) for c in sorted(row)]
+        if top:
+            yield t, top[min(top)][1], top.get(1), cells
+
+
+@udtf(returnType="table int, corner string, middle struct<header: boolean, text: string>, cells array<struct<row: int, col: int, header: boolean, text: string, label_header: boolean, label: string, second: string, top_header: boolean, top: string>>")
+class Tables:
     def eval(self, html: str):
-        yield from grid_cells(html)
+        yield from grid_tables(html)
 
 
-def cells(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, table, row, col, header, text) of pages, by a lateral join with the table function."""
-    return pages.select(key, html).lateralJoin(TableCells(F.col(html).outer())).drop(html)
+def tables(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """(key, table, corner, middle, cells) of pages, by a lateral join with the table function."""
+    return pages.select(key, html).lateralJoin(Tables(F.col(html).outer())).drop(html)
 
 
 def number(text: Column) -> Column:
@@ -99,49 +151,26 @@ def number(text: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(text, ",", ""), r"^\s*(-?[0-9]+(?:\.[0-9]+)?)", 1).try_cast("double")
 
 
-def facts(grid: DataFrame, key: str) -> DataFrame:
-    """(key, section, name, side, value, text) of label and value rows: a header cell and the cell after it."""
-    label = grid.where("header AND col = 0").select(key, "table", "row", F.lower("text").alias("name"))
-    return grid.where("NOT header AND col = 1").join(label, [key, "table", "row"]).select(key, F.lit("fact").alias("section"), "name", F.lit("").alias("side"), number(F.col("text")).alias("value"), "text")
-
-
-def periods(grid: DataFrame, key: str) -> DataFrame:
-    """Points by period: a header row of periods over a row for each side; totals are left out."""
-    top = grid.where("header AND row = 0 AND col > 0").select(key, "table", "col", F.lower("text").alias("name"))
-    side = grid.where("row > 0 AND col = 0").select(key, "table", "row", F.col("text").alias("side"))
-    r = grid.where("NOT header AND row > 0 AND col > 0").join(top, [key, "table", "col"]).join(side, [key, "table", "row"])
-    return r.where("name <> 'total'").select(key, F.lit("period").alias("section"), "name", "side", number(F.col("text")).alias("value"), "text")
-
-
-def comparison(grid: DataFrame, key: str) -> DataFrame:
-    """A stat between the values of the two sides, which are named in the header row."""
-    label = grid.where("row > 0 AND col = 1").select(key, "table", "row", F.lower("text").alias("name"))
-    side = grid.where("row = 0 AND col IN (0, 2)").select(key, "table", "col", F.col("text").alias("side"))
-    r = grid.where("row > 0 AND col IN (0, 2)").join(label, [key, "table", "row"]).join(side, [key, "table", "col"])
-    return r.select(key, F.lit("stat").alias("section"), "name", "side", number(F.col("text")).alias("value"), "text")
-
-
-def sets(grid: DataFrame, key: str) -> DataFrame:
-    """Points by set: the set's cell spans the rows of its sides."""
-    name = grid.where("header AND row > 0 AND col = 0").select(key, "table", "row", F.lower("text").alias("name"))
-    side = grid.where("row > 0 AND col = 1").select(key, "table", "row", F.col("text").alias("side"))
-    r = grid.where("row > 0 AND col = 2").join(name, [key, "table", "row"]).join(side, [key, "table", "row"])
-    return r.select(key, F.lit("set").alias("section"), "name", "side", number(F.col("text")).alias("value"), "text")
-
-
+#: The layouts: section, which cells count, and what names them and their side. A cell knows its row's first cell (label) and second, and its column's top.
+LAYOUTS = {
+    "facts": ("fact", "NOT header AND col = 1 AND label_header", "label", "''"),  # a header cell and the cell after it
+    "periods": ("period", "NOT header AND row > 0 AND col > 0 AND top_header AND label IS NOT NULL AND lower(top) <> 'total'", "top", "label"),  # a header row of periods over a row for each side
+    "comparison": ("stat", "row > 0 AND col IN (0, 2) AND second IS NOT NULL AND top IS NOT NULL", "second", "top"),  # a stat between the values of the two sides, named in the header row
+    "sets": ("set", "row > 0 AND col = 2 AND label_header AND second IS NOT NULL", "label", "second"),  # the set's cell spans the rows of its sides
+}
 
 
 def details(pages: DataFrame, key: str) -> DataFrame:
-    """(key, section, name, side, value, text): typed rows of all tables of the pages, each read by its layout: periods if its corner says Team, sets if it says Set, a comparison if the middle of three header cells says Stat, facts if its first cell is a label beside a value."""
-    grid = stored(cells(pages, key), "cells")  # parsed once, read by each layout
-    first = grid.where("row = 0").groupBy(key, "table").agg(F.min_by("text", "col").alias("corner"), F.max(F.when(F.col("col") == 1, F.lower("text"))).alias("middle"), F.max(F.when(F.col("col") == 1, F.col("header"))).alias("second"))
-    layout = F.when(F.lower("corner") == "team", "periods").when(F.lower("corner") == "set", "sets").when(F.col("middle") == "stat", "comparison").when(~F.col("second"), "facts")
-    grid = grid.join(first.select(key, "table", layout.alias("layout")), [key, "table"])
-    out = None
-    for f in (periods, sets, comparison, facts):
-        part = f(grid.where(F.col("layout") == f.__name__), key)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(key, section, name, side, value, text): typed rows of all tables of the pages, each read by its layout: periods if its corner says Team, sets if it says Set, a comparison if the middle of three header cells says Stat, facts if its first cell is a label beside a value.
+
+    A cell comes with its headers, so rows are made where a page is read, without a shuffle.
+    """
+    corner = F.lower("corner")
+    layout = F.when(corner == "team", "periods").when(corner == "set", "sets").when(F.lower("middle.text") == "stat", "comparison").when(~F.col("middle.header"), "facts")
+    c = tables(pages, key).select(key, layout.alias("layout"), F.inline("cells"))
+    by_layout = lambda i: F.expr("CASE layout " + " ".join(f"WHEN '{k}' THEN {v[i]}" for k, v in LAYOUTS.items()) + " END")
+    section = F.expr("CASE layout " + " ".join(f"WHEN '{k}' THEN '{v[0]}'" for k, v in LAYOUTS.items()) + " END")
+    return c.where(by_layout(1)).select(key, section.alias("section"), F.lower(by_layout(2)).alias("name"), by_layout(3).alias("side"), number(F.col("text")).alias("value"), "text")
 
 
 def _pages(m: DataFrame) -> DataFrame:
