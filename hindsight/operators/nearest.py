@@ -64,44 +64,117 @@ class Tile:
             yield pa.RecordBatch.from_arrays([pa.array(self.parts[0][0][row]), pa.array(ids), pa.array(d)], names=["query_id", "row_id", "distance"])
 
 
-def nearest(queries: DataFrame, rows: DataFrame, k: int, block_rows: int = 8192, shard_rows: int = 65_536) -> DataFrame:
-    """(query_id, row_id, distance, rank): for each of queries(id, x) the k nearest of rows(id, x) but itself, by root mean square distance to six decimals, ties to the smaller id.
-
-    Queries come in blocks and rows in shards of bounded size, and a task holds one block and a batch of
-    rows at a time. Distances are computed exactly for all that matrix products can't tell from the k
-    nearest, ties included. Vectors have one length and no nulls.
-    """
-    spark = rows.sparkSession
-    n_rows = rows.count()
-    n_blocks = max(1, -(-queries.count() // block_rows))
-    n_shards = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // 1024)), -(-n_rows // shard_rows))
-    place = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    dealt = lambda df, kind, block, shard: df.select("id", "x", block.alias("block")).select("id", "x", "block", shard.alias("shard"), F.lit(kind).alias("kind"))
+class Cells:
+    """Cells of space by a tree of medians of a sample."""
+
+    def __init__(self, sample: np.ndarray, most: int):
+        self.dim, self.cut, self.down, self.n = [], [], [], 0
+        self._grow(sample, most)
+
+    def _grow(self, x: np.ndarray, most: int) -> int:
+        """Adds a node and what is below it; a leaf's number is negative, less one."""
+        width = x.max(0) - x.min(0) if len(x) > 1 and most > 1 else np.zeros(1)
+        if not width.max() > 0:
+            self.n += 1
+            return -self.n
+        c = int(width.argmax())
+        cut = np.median(x[:, c])
+        if not (x[:, c] > cut).any():
+            cut = x[x[:, c] < cut, c].max()
+        i = len(self.dim)
+        self.dim.append(c)
+        self.cut.append(float(cut))
+        self.down.append(None)
+        low = x[:, c] <= cut
+        self.down[i] = (self._grow(x[low], most - most // 2), self._grow(x[~low], most // 2))
+        return i
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The cell of each vector, from 0."""
+        at = np.zeros(len(x), np.int64) if self.dim else np.full(len(x), -1)
+        dim, cut, down = np.array(self.dim, int), np.array(self.cut), np.array(self.down, int).reshape(-1, 2)
+        while (go := np.flatnonzero(at >= 0)).size:
+            node = at[go]
+            at[go] = down[node, (x[go, dim[node]] > cut[node]).astype(int)]
+        return -at - 1
+
+
+def _vectors(b: pa.RecordBatch) -> np.ndarray:
+    return b.column("x").flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
+
+
+def _in_tiles(queries: DataFrame, rows: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(query_id, row_id, distance): for each of queries(id, x, cell) the k nearest of each of its cells in rows(id, x, cell); a task holds at most about block_rows queries, and a batch of a cell's rows at a time."""
 
     def task(batches):
         key, tile = None, Tile(k)
         for b in batches:
-            block, shard, kind, ids = (b.column(c).to_numpy() for c in ("block", "shard", "kind", "id"))
+            cell, block, kind, ids = (b.column(c).to_numpy() for c in ("cell", "block", "kind", "id"))
             if not len(ids):
                 continue
-            x = b.column("x").flatten().to_numpy().astype(np.float64).reshape(len(ids), -1)
-            change = (np.diff(block) != 0) | (np.diff(shard) != 0) | (np.diff(kind) != 0)
+            x = _vectors(b)
+            change = (np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)
             cuts = [0, *(np.flatnonzero(change) + 1).tolist(), len(ids)]
             for i, j in zip(cuts, cuts[1:], strict=False):
-                if (block[i], shard[i]) != key:
+                if (cell[i], block[i]) != key:
                     yield from tile.lists()
-                    key, tile = (block[i], shard[i]), Tile(k)
+                    key, tile = (cell[i], block[i]), Tile(k)
                 if kind[i] == 0:
                     tile.parts.append((ids[i:j], x[i:j]))
                 else:
                     tile.meet(ids[i:j], x[i:j])
         yield from tile.lists()
 
-    both = dealt(queries, 0, place(n_blocks), every(n_shards)).unionByName(dealt(rows, 1, every(n_blocks), place(n_shards)))
-    both = both.repartition(min(n_blocks * n_shards, 100_000), "block", "shard").sortWithinPartitions("block", "shard", "kind")
+    blocks = queries.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).alias("blocks"))
+    asked = queries.join(F.broadcast(blocks), "cell").select("id", "x", "cell", F.expr("pmod(xxhash64(id), blocks)").alias("block"), F.lit(0).alias("kind"))
+    met = rows.join(F.broadcast(blocks), "cell").select("id", "x", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"))
+    both = asked.unionByName(met).repartition("cell", "block").sortWithinPartitions("cell", "block", "kind")
+    return both.mapInArrow(task, FOUND)
+
+
+def nearest(queries: DataFrame, rows: DataFrame, k: int, block_rows: int = 8192, shard_rows: int = 4096) -> DataFrame:
+    """(query_id, row_id, distance, rank): for each of queries(id, x) the k nearest of rows(id, x) but itself, by root mean square distance to six decimals, ties to the smaller id.
+
+    Rows are dealt to cells of about shard_rows by a tree of medians of a sample; of rows with one vector
+    the k + 1 smallest ids stay, which is all that can be asked for. A query searches its own cell, then
+    every other whose box is no farther than the k-th found, so the result is exact. Distances are
+    computed exactly for all that matrix products can't tell from the k nearest, ties included. Vectors
+    have one length and no nulls.
+    """
+    copies = Window.partitionBy("x").orderBy("id")
+    zero = lambda df: df.select("id", F.transform("x", lambda v: v + 0.0).alias("x"))  # noqa: E731  (-0.0 is 0.0)
+    some = stored(zero(rows).withColumn("_n", F.row_number().over(copies)).where(F.col("_n") <= k + 1).drop("_n"), "rows")
+    n = some.count()
+    n_cells = max(1, min(-(-n // shard_rows), 4096))
+    sample = some.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // (64 * n_cells)))) == 0).select("x").toPandas().x
+    tree = Cells(np.stack(sample.to_list()) if len(sample) else np.zeros((1, 1)), n_cells)
+
+    def dealt(batches):
+        for b in batches:
+            if b.num_rows:
+                yield b.append_column("cell", pa.array(tree.of(_vectors(b))))
+
+    kinds = "id long, x array<double>, cell long"
+    some, asked = (stored(df.mapInArrow(dealt, kinds), "cells") for df in (some, zero(queries)))
+    near = stored(_in_tiles(asked, some, k, block_rows), "near")
+    boxes = some.groupBy("cell").agg(*(f(F.col("x")[i]).alias(f"{f.__name__}{i}") for f in (F.min, F.max) for i in range(len(sample.iloc[0]) if len(sample) else 1))).toPandas()
+    cells, box = boxes["cell"].to_numpy(), boxes.drop(columns="cell").to_numpy(float).reshape(len(boxes), 2, -1)
+    reach = near.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.max("distance")).alias("reach"))
+
+    def others(batches):
+        for b in batches:
+            x, r, home = _vectors(b), b.column("reach").to_numpy(zero_copy_only=False).astype(float), b.column("cell").to_numpy()
+            r = np.where(np.isnan(r), np.inf, r)
+            for i in range(0, len(x), 128):
+                q = x[i : i + 128, None]
+                far = np.sqrt((np.maximum(np.maximum(box[:, 0] - q, q - box[:, 1]), 0) ** 2).mean(2))
+                row, c = np.nonzero((far <= r[i : i + 128, None] * (1 + 1e-9) + 1.1e-6) & (cells != home[i : i + 128, None]))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(i + row)), b.column("x").take(pa.array(i + row)), pa.array(cells[c])], names=["id", "x", "cell"])
+
+    more = stored(asked.join(reach, "id", "left").select("id", "x", "cell", "reach").mapInArrow(others, kinds), "others")
+    near = near.unionByName(_in_tiles(more, some, k, block_rows))
     w = Window.partitionBy("query_id").orderBy("distance", "row_id")
-    return both.mapInArrow(task, FOUND).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 @query("j20_knn", "WITH q AS (SELECT * FROM embeddings WHERE vec_id % 100 = 0), d AS (SELECT q.vec_id AS query_id, e.vec_id, round(sqrt(list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: pow(z[1]::DOUBLE - z[2]::DOUBLE, 2))) / 64), 6) AS distance FROM q JOIN embeddings e ON e.vec_id <> q.vec_id) SELECT query_id, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rn FROM d) WHERE rn <= 5")

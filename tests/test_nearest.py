@@ -42,3 +42,22 @@ def test_trajectories_of_other_horizons(spark):
     assert {"f1", "f2", "s1", "s2"} <= set(cases.columns) and "f3" not in cases.columns
     out = nearest.trajectories(cases, split=2000, high_from=3, k=4).collect()
     assert {r.h for r in out} == {1, 2} and all(0 <= r.p_high <= 1 and r.p10 <= r.expected <= r.p90 for r in out)
+
+
+def test_a_query_meets_few_cells(spark, monkeypatch):
+    """Queries go on to the cells within reach only, and of equal vectors no more stay than can be asked for."""
+    g, kept = np.random.default_rng(2), {}
+    stored = nearest.stored
+
+    def keep(df, name):
+        kept[name] = stored(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(nearest, "stored", keep)
+    rows = [(i, g.random(2).tolist()) for i in range(4000)] + [(5000 + i, [0.5, 0.5]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    asked = df.where("id % 10 = 0")
+    got = nearest.nearest(asked, df, 3, shard_rows=50).collect()
+    assert len(got) == 3 * asked.count()
+    assert kept["rows"].count() == 4004
+    assert kept["others"].count() < 8 * asked.count()
