@@ -60,9 +60,22 @@ def drop_dir(spark: SparkSession, path: str) -> None:
 def stored(df: DataFrame, path: str) -> DataFrame:
     """Writes a table in the shared folder and reads it again, which cuts the lineage for good."""
     df.write.mode("overwrite").parquet(path)
+    tidy(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Share of the driver's heap that past jobs may fill with what nothing refers to any more.
+HEAP_SHARE = 0.35
+
+
+def tidy(spark: SparkSession, share: float | None = None) -> None:
+    """Collects the driver's garbage (plans, task metrics, shuffles and broadcasts of past jobs) once it holds more than a share of the heap, which would grow to its limit before it shrinks by itself."""
+    system = spark.sparkContext._jvm.java.lang
+    heap = system.Runtime.getRuntime()
+    if heap.totalMemory() - heap.freeMemory() > (HEAP_SHARE if share is None else share) * heap.maxMemory():
+        system.System.gc()
+
+
 def counted(df: DataFrame, path: str, what: str = "true") -> tuple[DataFrame, int]:
     """stored, with the number of rows for which `what` holds, which the write itself counts."""
     seen = Observation()

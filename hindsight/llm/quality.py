@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import frugal, release, table
+from .common import frugal, release, table, tidy
 
 WORDS, SHAPES, BANDS = 1024, 512, 64
 DIM = WORDS + SHAPES + BANDS
@@ -112,17 +112,20 @@ def weighted(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x
 
 
-def fitted(x: np.ndarray, labels: np.ndarray, rank: int = 64, k: int = 15, width: float = 0.05) -> Model:
+def fitted(x: np.ndarray, labels: np.ndarray, rank: int = 64, k: int = 15, width: float = 0.05, block: int = 512) -> Model:
+    """The model of some features, which are weighted in blocks of rows, as the driver holds them beside their Gram matrix."""
     n = len(x)
     if not n or len(np.unique(labels)) < 2:
         return Model(np.ones(DIM, np.float32), np.zeros((DIM, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), k, width, float(labels.mean()) if n else 0.5)
     idf = np.log((1 + n) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32) + np.float32(0.1)
     idf[WORDS:] = 1
-    y = weighted(x, idf)
-    value, vector = np.linalg.eigh(y.T.astype(np.float64) @ y)
-    axes = vector[:, ::-1][:, : min(rank, n)].astype(np.float32)
+    gram = np.zeros((DIM, DIM))
+    for i in range(0, n, block):
+        y = weighted(x[i : i + block].astype(np.float32), idf).astype(np.float64)
+        gram += y.T @ y
+    axes = np.linalg.eigh(gram)[1][:, ::-1][:, : min(rank, n)].astype(np.float32)
     m = Model(idf, axes, np.zeros((0, 1), np.float32), labels.astype(np.float64), k, width, float(labels.mean()))
-    m.vectors = m.latent(x)
+    m.vectors = np.concatenate([m.latent(x[i : i + block].astype(np.float32)) for i in range(0, n, block)])
     return m
 
 
@@ -145,9 +148,13 @@ def train(docs: DataFrame, labels: DataFrame, most_labelled: int = 4096) -> Mode
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("quality"), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["doc_id", "quality", "x"])
 
     rows = texts.mapInArrow(task, "doc_id long, quality double, x binary").toArrow().sort_by("doc_id")
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float16).astype(np.float32).reshape(-1, DIM)
-    model = fitted(x, rows.column("quality").to_numpy())
-    del x, rows
+    x = np.concatenate([np.zeros(0, np.float16), *(np.frombuffer(v.as_buffer(), np.float16) for v in rows.column("x"))]).reshape(-1, DIM)
+    quality = rows.column("quality").to_numpy().copy()
+    del rows
+    release()
+    tidy(docs.sparkSession, 0)
+    model = fitted(x, quality)
+    del x
     release()
     return model
 
