@@ -237,9 +237,9 @@ class Decoder:
 
 @functools.lru_cache(maxsize=1)
 def _worker(tokenizer: str, lexicon: str) -> tuple[ChunkCoder, Decoder]:
-    """This Python worker's coder and decoder: later tasks of the worker find its chunks."""
+    """This Python worker's coder and decoder: later tasks of the worker find its chunks. Its ids take 16 MB at most, as workers hold them on through stages of other work."""
     v = Vocabulary(tokenizer)
-    return ChunkCoder(WordCoder(v, Lexicon(lexicon))), Decoder(v)
+    return ChunkCoder(WordCoder(v, Lexicon(lexicon)), most=3 << 20), Decoder(v)
 
 
 def frequent_chunks(docs: DataFrame, most: int, window: int = 2_000_000, least: int = 4) -> list[str]:

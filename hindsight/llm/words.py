@@ -79,7 +79,7 @@ class ChunkCoder:
         return start, size
 
     def slices(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first row, rows, all ids, ids per row) of a text column, about a megabyte at a time; a null is an empty text."""
+        """(first row, rows, all ids, ids per row) of a text column, a slice at a time; a null is an empty text."""
         for first, rows, data, off in shingles.text_slices(column):
             if self.used > self.most:
                 self.bytes[:], self.used = 0, 0
