@@ -135,6 +135,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bits of a bitmap that bitmap_construct_agg makes.
+BITMAP = 1 << 15
+
+
+def likely(rows: DataFrame, keys: DataFrame, name: str, many: int, room: int = 16) -> DataFrame:
+    """The rows whose column `name` is among about `many` keys(name), and about one in `room` of all others.
+
+    A bitmap of `room` bits a key is broadcast, so rows that a join by key would drop aren't shuffled for it,
+    whatever their number.
+    """
+    maps = max(partitions(rows.sparkSession), -(-many * room // BITMAP))
+    place = F.pmod(F.xxhash64(name), F.lit(maps * BITMAP).cast("long"))
+    split = lambda df: df.withColumn("_at", place).withColumn("_map", F.expr(f"_at div {BITMAP}")).withColumn("_at", F.expr(f"_at % {BITMAP}"))
+    # dealt by bitmap first, else each task would make its own of all of them
+    bits = split(keys.select(name)).select("_map", "_at").repartition("_map").groupBy("_map").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = "cast(conv(hex(substring(_bits, cast(_at div 8 + 1 AS int), 1)), 16, 10) AS int)"
+    return split(rows).join(F.broadcast(bits), "_map").where(f"(shiftright({byte}, cast(_at % 8 AS int)) & 1) = 1").select(*rows.columns)
+
+
 def components(links: DataFrame, work: str) -> DataFrame:
     """(node, root) for every node of links(a, b): root is the smallest node reachable.
 

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import Scratch, components, drop_dir, frugal, new_dir, stored
+from .common import Scratch, components, drop_dir, frugal, likely, new_dir, stored
 
 ORDERS = 3
 
@@ -171,11 +171,10 @@ def _first_pass(docs: DataFrame, n: int, share: int, known: Broadcast) -> DataFr
     return docs.select("doc_id", "key", "row", "text").mapInArrow(task, "doc_id long, key long, row string, node long, size int, light array<long>, dense array<long>, second array<int>, third array<int>")
 
 
-def _whole_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int, known: Broadcast, broadcast_most: int = 1 << 20) -> DataFrame:
-    """(node, tokens) of the nodes(node), from one text of each. Their keys are broadcast up to broadcast_most of 8 bytes, else joined by a shuffle."""
-    keys = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key").distinct()
-    few = keys.limit(broadcast_most + 1).count() <= broadcast_most
-    texts = docs.join(F.broadcast(keys) if few else keys, "key", "left_semi")
+def _whole_sets(docs: DataFrame, members: DataFrame, nodes: DataFrame, n: int, known: Broadcast) -> DataFrame:
+    """(node, tokens) of the nodes(node), from one text of each. Texts are found by a bitmap of their keys; what it lets through besides goes by its node."""
+    keys = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("key").alias("key")).select("key")
+    texts = likely(docs, keys, "key", keys.count())
 
     @frugal
     def task(batches):
@@ -195,9 +194,10 @@ def _filtered(pairs: DataFrame, members: DataFrame, share: int, work: Scratch, n
     first shared ones, and likewise for y. Tokens that coincide in their 32 bits are allowed for.
     """
     pairs = work.put(f"{name}_pairs", pairs)  # they are read three times
-    nodes = _ends(pairs)
+    # prefixes of all members would be most of what is shuffled; what the bitmap lets through besides is in no pair
+    sig = likely(members, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", pairs.count())
+    sig = sig.select("node", "size", F.concat("light", "dense").alias("first"), "second", "third").dropDuplicates(["node"])
     p = lambda n: f"({n} - ceil({n} * {share} / 100) + 1)"
-    sig = members.join(nodes, "node", "left_semi").select("node", "size", F.concat("light", "dense").alias("first"), "second", "third").dropDuplicates(["node"])
     left, right = (sig.select(*(F.col(c).alias(f"{c}_{s}" if c != "node" else s) for c in sig.columns)) for s in "ab")
     need = f"ceil({share} * (size_a + size_b) / (100 + {share}))"
     floor = f"greatest(1, least({p('size_a')} - size_a, {p('size_b')} - size_b) + {need})"
