@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,15 +66,26 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 
 
 #: Share of the driver's heap that past jobs may fill with what nothing refers to any more.
-HEAP_SHARE = 0.35
+HEAP_SHARE = 0.25
 
 
 def tidy(spark: SparkSession, share: float | None = None) -> None:
-    """Collects the driver's garbage (plans, task metrics, shuffles and broadcasts of past jobs) once it holds more than a share of the heap, which would grow to its limit before it shrinks by itself."""
-    system = spark.sparkContext._jvm.java.lang
-    heap = system.Runtime.getRuntime()
+    """Collects the driver's garbage (plans, task metrics, shuffles and broadcasts of past jobs) once it holds more than a share of the heap, which would grow to its limit before it shrinks by itself; then gives back native memory."""
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
     if heap.totalMemory() - heap.freeMemory() > (HEAP_SHARE if share is None else share) * heap.maxMemory():
-        system.System.gc()
+        jvm.java.lang.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Gives the native memory that the driver's JVM has freed back to the system, as jcmd's System.trim_native_heap does; release() is the same for Python."""
+    jvm = spark.sparkContext._jvm
+    with contextlib.suppress(Py4JError):  # where the JVM has no such command (before JDK 17.0.9)
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
 
 
 def counted(df: DataFrame, path: str, what: str = "true") -> tuple[DataFrame, int]:

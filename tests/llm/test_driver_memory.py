@@ -1,6 +1,7 @@
 """What the driver holds while it fits and between the jobs of a query."""
 
 import tracemalloc
+from pathlib import Path
 
 import numpy as np
 
@@ -33,3 +34,25 @@ def test_written_tables_leave_no_garbage(spark, tmp_path, monkeypatch):
         before = full()
         common.stored(spark.range(3), f"file://{tmp_path}/t{times}")
         assert full() - before == times
+
+
+def test_driver_trims_native_memory(spark):
+    """Native memory that the driver's JVM has freed, which lies in pieces between what is in use, goes back to the system."""
+    jvm = spark.sparkContext._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status"
+    held = lambda: next(int(x.split()[1]) for x in Path(status).read_text().splitlines() if x.startswith("RssAnon")) / 1024
+    common.tidy(spark, 0.0)
+    before = held()
+    some = [jvm.java.util.zip.Deflater() for _ in range(1000)]
+    for x in some:
+        x.setInput(bytearray(100))
+        x.deflate(bytearray(100))
+    for i, x in enumerate(some):
+        if i % 25:
+            x.end()
+    freed = held() - before
+    common.tidy(spark, 1.0)
+    left = held() - before
+    for x in some[::25]:
+        x.end()
+    assert left < 0.5 * freed, (freed, left)
